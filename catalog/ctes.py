@@ -103,7 +103,7 @@ def _lines_expr() -> str:
         if label == "JSHSHIR":
             both = f"(CASE WHEN doc_id % 7 = 0 THEN CAST([] AS VARCHAR[]) ELSE {both} END)"
         parts.append(both)
-    parts.append("[l1, l2, l3]")
+    parts.append("['I<' || substr(l1, 3), l2, l3]")
     out = parts[0]
     for p in parts[1:]:
         out = f"list_concat({out}, {p})"

@@ -139,7 +139,8 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         if label == "JSHSHIR":
             both = F.when(d % 7 == 0, F.array().cast("array<string>")).otherwise(both)
         rows.append(both)
-    rows.append(F.array("l1", "l2", "l3"))
+    # Two fillers make the first line recognisable as part of a zone.
+    rows.append(F.array(F.concat(F.lit("I<"), F.expr("substring(l1, 3)")), F.col("l2"), F.col("l3")))
     out = z.select("doc_id", F.posexplode(F.concat(*rows)).alias("pos", "text"))
     return out.select("doc_id", (F.col("pos") + 1).alias("line_no"), "text",
                       F.array(F.lit(0), F.col("pos") * 20, F.lit(200), F.col("pos") * 20 + 18)

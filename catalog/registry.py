@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "zones"]
+MODULES = ["scalars", "zones", "mapping"]
 
 _queries: dict = {}
 _sql: dict[str, str] = {}

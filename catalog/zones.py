@@ -531,7 +531,7 @@ def _(spark, d):
 
 
 @register("mrz_candidates", sql(
-    "SELECT doc_id, l1 || '|' || l2 || '|' || l3 AS lines FROM mrz_ocr", "mrz_ocr"))
+    "SELECT doc_id, 'I<' || substr(l1, 3) || '|' || l2 || '|' || l3 AS lines FROM mrz_ocr", "mrz_ocr"))
 def _(spark, d):
     return mrz.mrz_candidates(i.ocr_lines(spark, d)).select("doc_id", F.array_join("lines", "|").alias("lines"))
 

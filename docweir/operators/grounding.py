@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir import messages as msg
@@ -119,40 +120,73 @@ def parse_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
         F.coalesce(F.try_element_at("_l", F.col("path")), F.lit(True))).drop("_l")
 
 
-def contamination(documents: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
+def _fingerprint_udf(gram: int, window: int):
+    """Window minima of hashed character n-grams (winnowing).
+
+    Any two strings that share a run of ``gram + window - 1`` characters share
+    at least one fingerprint, because the shared windows choose the same minimum.
+    """
+    def fingerprints(batch: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def one(text):
+            if text is None or len(text) < gram + window - 1:
+                return []
+            codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+            count = len(codes) - gram + 1
+            h = np.zeros(count, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(gram):
+                    h = h * np.uint64(1099511628211) + codes[k:k + count]
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            low = np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1)
+            return np.unique(low).astype(np.int64).tolist()
+
+        return batch.map(one)
+
+    return F.pandas_udf(fingerprints, "array<bigint>")
+
+
+def contamination(documents: DataFrame, passages: DataFrame, gram: int = 8,
+                  window: int = 8) -> DataFrame:
     """(doc_id, item_id): passages whose comparison form occurs in a document.
 
-    Word n-grams of a fixed length prefilter the pairs: the first n-gram of each
-    passage is looked up among the distinct n-grams of each document, and only
-    those pairs are verified by containment.  Passages shorter than n words are
-    matched on their first word instead, so no pair is lost.
+    Long passages meet documents through winnowing fingerprints: one fingerprint
+    per distinct passage, the one the fewest documents carry, is enough to find
+    every document that contains it.  Passages too short for a fingerprint are
+    looked up among the n-grams of their own length.  Candidate pairs are then
+    verified by containment; copies of a passage are checked once.
     """
-    def tokens(c: Column) -> Column:
-        return F.filter(F.split(F.upper(c), r"(?U)[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
-
-    def grams(ws: Column, n: int) -> Column:
-        last = F.size(ws) - n + 1
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda s: F.xxhash64(
-            F.lit(n), F.array_join(F.slice(ws, s, F.lit(n)), " "))))
-
-    items = passages.select("item_id", tokens(F.col("text")).alias("_w"),
-                            norm_for_grounding(F.col("text")).alias("_needle")) \
-        .filter(F.col("_needle") != "")
-    size = F.least(F.size("_w"), F.lit(words))
-    # The first and last word of a passage may be cut inside a document word, so
-    # the key skips the first word and never touches the last one.
-    inner = F.slice("_w", F.lit(2), F.greatest(F.least(size, F.size("_w") - 2), F.lit(1)))
-    long_enough = F.size("_w") >= words + 2
-    keyed = items.withColumn("_key", F.when(long_enough, F.xxhash64(
-        F.lit(words), F.array_join(F.slice("_w", 2, words), " "))))
-    del inner
-    docs = documents.select("doc_id", tokens(F.col("text")).alias("_w"))
-    doc_keys = docs.select("doc_id", F.explode(grams(F.col("_w"), words)).alias("_key"))
-    pairs = doc_keys.join(keyed.filter(F.col("_key").isNotNull()).select("item_id", "_key"), "_key") \
-        .select("doc_id", "item_id").distinct()
-    verified = (pairs.join(items.select("item_id", "_needle"), "item_id")
-                .join(documents.select("doc_id", norm_for_grounding(F.col("text")).alias("_hay")),
-                      "doc_id")
-                .filter(F.contains(F.col("_hay"), F.col("_needle"))).select("doc_id", "item_id"))
-    return verified
+    shortest = gram + window - 1
+    items = passages.select("item_id", norm_for_grounding(F.col("text")).alias("needle")) \
+        .filter(F.col("needle") != "")
+    needles = items.select("needle").distinct().withColumn("size", F.length("needle"))
+    docs = documents.select("doc_id", norm_for_grounding(F.col("text")).alias("hay")) \
+        .filter(F.col("hay") != "")
+    mark = _fingerprint_udf(gram, window)
+
+    doc_marks = docs.select("doc_id", F.explode(mark(F.col("hay"))).alias("mark"))
+    own = needles.filter(F.col("size") >= shortest).select("needle", F.explode(
+        mark(F.col("needle"))).alias("mark"))
+    # Only marks some passage carries are counted, so the count table stays small.
+    wanted = doc_marks.join(own.select("mark").distinct(), "mark", "left_semi")
+    counts = wanted.groupBy("mark").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "mark").groupBy("needle").agg(
+        F.min_by(F.struct("mark", "n"), F.struct("n", "mark")).alias("m"),
+        F.count("*").alias("_found"))
+    long_pairs = wanted.join(rarest.select("needle", F.col("m.mark").alias("mark")), "mark") \
+        .select("doc_id", "needle")
+
+    short = needles.filter(F.col("size") < shortest)
+    lengths = short.groupBy("size").agg(F.count("*").alias("_n")).select("size")
+    grams = docs.crossJoin(F.broadcast(lengths)).filter(F.length("hay") >= F.col("size")).select(
+        "doc_id", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length("hay") - F.col("size") + 1),
+            lambda p: F.substring(F.col("hay"), p, F.col("size"))))).alias("needle"))
+    short_pairs = grams.join(short.select("needle"), "needle").select("doc_id", "needle")
+
+    checked = long_pairs.join(docs, "doc_id").filter(F.contains(F.col("hay"), F.col("needle"))) \
+        .select("doc_id", "needle")
+    return checked.unionByName(short_pairs).join(items, "needle").select("doc_id", "item_id")

@@ -54,10 +54,16 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(out, key=repr)
 
 
+TIMES = {}
+
+
 def compare(spark, con, sf_dir, query, sql) -> str | None:
     """None when equal, else a short description of the difference."""
+    start = time.time()
     df = query(spark, sf_dir)
+    TIMES["build"] = time.time() - start
     mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     theirs = rows_of(names, cur.fetchall())
@@ -103,7 +109,7 @@ def main() -> None:
         took = time.time() - start
         if problem:
             failed.append(name)
-        print(f"{'FAIL' if problem else 'ok  '} {name} {took:.1f}s"
+        print(f"{'FAIL' if problem else 'ok  '} {name} {took:.1f}s (spark {TIMES.get('spark', 0):.1f}, of it build {TIMES.get('build', 0):.1f})"
               f"{'' if name in sqls else ' (rows only)'}{' ' + problem if problem else ''}", flush=True)
     print(f"{n - len(failed)}/{n} ok; failed: {failed}")
 
