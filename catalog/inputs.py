@@ -255,7 +255,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
-        F.col("event_id").alias("call_id"), "ts",
+        F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("key-"), (F.col("user_id") % 5).cast("string")).alias("key_id"),
         F.concat(F.lit("provider-"), (F.col("user_id") % 3).cast("string")).alias("provider"),
         F.concat(F.lit("model-"), (F.col("user_id") % 2).cast("string")).alias("model"),

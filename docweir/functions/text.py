@@ -215,21 +215,36 @@ def strip_fences(c: Column) -> Column:
     return strip(F.regexp_replace(strip(c), r"(?dm)^```(?:json)?|```$", ""))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a Column once and use it many times inside ``body``.
+
+    Without the binding every use would repeat the whole expression, and plans
+    built from such uses grow exponentially with the number of steps.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def extract_json(c: Column) -> Column:
-    """The JSON object inside a model reply as JSON text, NULL when there is none."""
-    bare = strip_fences(c)
-    first = F.instr(bare, "{")
-    last = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    inner = F.when((first > 0) & (F.instr(bare, "}") > 0) & (last > first),
-                   F.substring(bare, first, last - first + 1))
-
-    def object_text(text: Column) -> Column:
-        parsed = F.try_parse_json(text)
-        return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), text)
-
-    # A text that parses but is no object is final; only unparsable text is cut.
-    return F.when(F.try_parse_json(bare).isNotNull(), object_text(bare)).otherwise(
-        object_text(inner))
+    """The JSON object inside a model reply as JSON text, NULL when there is none.
+
+    A text that parses but is no object is final; only text that does not parse
+    is cut from its first to its last brace and tried again.
+    """
+    def inner(bare: Column) -> Column:
+        first = F.instr(bare, "{")
+        last = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
+        return F.when((first > 0) & (last > first) & F.contains(bare, F.lit("}")),
+                      F.substring(bare, first, last - first + 1))
+
+    def kind(text: Column) -> Column:
+        return F.schema_of_variant(F.try_parse_json(text))
+
+    def parsed(bare: Column) -> Column:
+        return let(kind(bare), lambda k: F.when(k.startswith("OBJECT"), bare).when(
+            k.isNull(), let(inner(bare), lambda cut: F.when(
+                kind(cut).startswith("OBJECT"), cut))))
+
+    return let(strip_fences(c), parsed)
 
 
 # Progress labels shown per job status.

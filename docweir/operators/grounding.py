@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docweir import messages as msg
 from docweir.functions import patterns as p
 from docweir.functions.similarity import fuzz_partial_ratio
-from docweir.functions.text import digits, extract_json, norm_for_grounding, strip
+from docweir.functions.text import digits, extract_json, let, norm_for_grounding, strip
 from docweir.schema import EXACT_MATCH_PATHS, is_empty
 
 REASON_DATE = "date not present in the recognised text"
@@ -109,15 +109,17 @@ def parse_reply(replies: DataFrame, reply: str = "reply") -> DataFrame:
     A reply that nests ``values`` and ``legible`` loses the fields it marked
     illegible; NULL values are kept so that callers can count them.
     """
-    body = replies.select("doc_id", extract_json(F.col(reply)).alias("_j"))
-    flat = F.from_json("_j", "map<string,string>")
-    nested = F.from_json(F.get_json_object("_j", "$.values"), "map<string,string>")
-    legible = F.from_json(F.get_json_object("_j", "$.legible"), "map<string,boolean>")
-    shaped = body.filter(F.col("_j").isNotNull()).select(
-        "doc_id", F.coalesce(nested, flat).alias("_m"),
-        F.coalesce(legible, F.expr("map()").cast("map<string,boolean>")).alias("_l"))
-    return shaped.select("doc_id", "_l", F.explode("_m").alias("path", "value")).filter(
-        F.coalesce(F.try_element_at("_l", F.col("path")), F.lit(True))).drop("_l")
+    def entries(j: Column) -> Column:
+        values = F.from_json(F.coalesce(F.get_json_object(j, "$.values"), j), "map<string,string>")
+        legible = F.from_json(F.get_json_object(j, "$.legible"), "map<string,boolean>")
+        return let(legible, lambda ok: F.filter(F.map_entries(values), lambda e: F.coalesce(
+            F.try_element_at(ok, e["key"]), F.lit(True))))
+
+    found = let(extract_json(F.col(reply)), entries)
+    # The outer form keeps the optimizer from evaluating the replies a second
+    # time in an inferred non-empty filter.
+    return replies.select("doc_id", F.inline_outer(found)).filter(F.col("key").isNotNull()).select(
+        "doc_id", F.col("key").alias("path"), "value")
 
 
 def _fingerprint_udf(gram: int, window: int):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweir import messages as msg
@@ -24,7 +26,7 @@ class Slot:
     digit: int | None = None
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Layout:
     """Fixed values of a zone format."""
     name: str
@@ -246,13 +248,15 @@ def repair_zone(df: DataFrame, layout: Layout, lines: str = "lines",
         *df.columns, "_z.*")
 
 
-def zone_fields(df: DataFrame, layout: Layout, today: Column, lines: str = "lines",
-                conf: str | None = None) -> DataFrame:
-    """Whole zone evaluation per document.
+@functools.cache
+def _zone_column(layout: Layout, with_conf: bool, gateway: int) -> Column:
+    """The zone evaluation over the columns ``_lines``, ``_today`` and ``_conf``.
 
-    Adds ``found, format, fields`` (array of field entries), ``corrections``,
-    ``warnings``, ``ambiguous_fields``, ``all_valid``, ``zone`` and ``doc_type``.
+    Building a few thousand expression nodes takes seconds in Python, so each
+    layout is built once per driver process (``gateway`` names its JVM).
     """
+    today = F.col("_today")
+
     def body(zone: Column, fix: dict[str, Column]) -> Column:
         carrier = (fix["personal_number"]["value"] if "personal_number" in fix
                    else _cut(zone, layout.slots["optional1"]))
@@ -267,8 +271,20 @@ def zone_fields(df: DataFrame, layout: Layout, today: Column, lines: str = "line
             _all_valid(zone, layout).alias("valid"))
         return repair.let(parts, lambda x: _evaluated(zone, fix, x, layout))
 
-    c = None if conf is None else F.col(conf)
-    return df.withColumn("_z", _repaired(F.col(lines), layout, c, body)).select(
+    return _repaired(F.col("_lines"), layout, F.col("_conf") if with_conf else None, body)
+
+
+def zone_fields(df: DataFrame, layout: Layout, today: Column, lines: str = "lines",
+                conf: str | None = None) -> DataFrame:
+    """Whole zone evaluation per document.
+
+    Adds ``found, format, fields`` (array of field entries), ``corrections``,
+    ``warnings``, ``ambiguous_fields``, ``all_valid``, ``zone`` and ``doc_type``.
+    """
+    column = _zone_column(layout, conf is not None, id(SparkContext._gateway))
+    inputs = df.withColumns({"_lines": F.col(lines), "_today": today,
+                             **({"_conf": F.col(conf)} if conf else {})})
+    return inputs.withColumn("_z", column).select(
         *df.columns, F.lit(layout.name).alias("format"), F.lit(True).alias("found"),
         F.lit("id_card" if layout is TD1 else "passport").alias("doc_type"), "_z.*")
 

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions.checkdigit import ALPHABET, WEIGHTS, check_digit
+from docweir.functions.text import let
 
 # Glyph pairs that recognisers confuse.
 CONFUSION_PAIRS = [
@@ -33,11 +34,6 @@ CORRECTION = ("struct<original:string,value:string,valid:boolean,ambiguous:boole
               "edits:int,corroborated:boolean,candidates:array<string>,positions:array<int>>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a Column once and use it many times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def confusions(charset: str | None = None) -> dict[str, str]:
     """Character -> its confusable characters, sorted, restricted to ``charset``."""
     table: dict[str, set[str]] = {}

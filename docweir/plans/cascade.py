@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.operators import gates, grounding, merge, mrz, rules
+from docweir.session import materialise
 from docweir.schema import STAGE_RANK, is_empty, string_array
 
 
@@ -27,6 +28,7 @@ class CascadeConfig:
     image_min_unresolved: int = 3
     exclude_mrz_lines: bool = True
     whole_word_labels: bool = False
+    materialise: bool = True
 
 
 @dataclass(frozen=True)
@@ -74,7 +76,11 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
     recognition must be filtered out by the caller (see ``admit``).
     """
     documents = lines.select("doc_id").distinct()
-    zones = zone_stage(lines, today)
+    # Zones and the free stages feed several later branches; writing each once
+    # keeps the plans short and survives the loss of an executor.
+    zones = zone_stage(lines, today).select("doc_id", "fields", "warnings")
+    if config.materialise:
+        zones = materialise(zones, "zones")
     zone_rows = mrz.explode_fields(zones, "doc_id")
     allowed = F.array_contains(merge.paths_for(), F.col("path"))
     stages = zones.select("doc_id", F.lit(0).alias("n"), F.lit("L0_mrz").alias("stage"))
@@ -83,6 +89,8 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
         found = rules.map_by_rules(lines, config.whole_word_labels).filter(allowed)
         pool = pool.unionByName(_ranked(_as_candidates(found, "ocr_visual", config.rule_confidence)))
     first = merge.merge_fields(pool)
+    if config.materialise:
+        first = materialise(first, "free-stages")
     stages = stages.unionByName(first.filter("source = 'ocr_visual'").select(
         "doc_id", F.lit(1).alias("n"), F.lit("L1_rules").alias("stage")).distinct())
     requests = open_requests(first, documents, config.threshold)

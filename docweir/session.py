@@ -15,6 +15,7 @@ def local_session(cores: int = 8, app: str = "docweir") -> SparkSession:
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
@@ -50,6 +51,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     files instead of re-running the plan above them.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, f"docweir/{name}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
