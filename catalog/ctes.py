@@ -179,6 +179,11 @@ cte("templates")("SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {q(text)})" for i, text in TEMPLATES.items()) + ") AS t(template_id, text)")
 
 
+cte("template_texts")(
+    f"SELECT p_partkey AS template_id, {sql_list(TEMPLATES.values())}[p_partkey % 6 + 1] || ' {{{{ extra.x' || (p_partkey % 9) || "
+    + q("|default('') }} ") + " || p_name AS text FROM part")
+
+
 def sql(body: str, *names: str, **extra: str) -> str:
     """Body with its CTEs; ``extra`` adds CTEs private to the query, in order."""
     order: list[str] = []

@@ -296,3 +296,12 @@ TEMPLATES = {
 
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "template_id int, text string")
+
+
+def template_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One template per part: a literal text by key, with its own typed-in value."""
+    k = F.col("p_partkey")
+    texts = F.array(*[F.lit(x) for x in TEMPLATES.values()])
+    return table(spark, sf_dir, "part").select(
+        k.alias("template_id"), F.concat(F.get(texts, (k % 6).cast("int")), F.lit(" {{ extra.x"), (k % 9).cast("string"),
+                                         F.lit("|default('') }} "), "p_name").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "zones", "mapping", "routing", "privacy", "evaluation"]
+MODULES = ["scalars", "zones", "mapping", "routing", "privacy", "evaluation", "templating"]
 
 _queries: dict = {}
 _sql: dict[str, str] = {}

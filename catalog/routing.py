@@ -102,7 +102,7 @@ def keys(spark, d):
     wait = F.when(F.col("last") == "quota", 3600).when(F.col("last") == "ok", 0).otherwise(30)
     return c.select("key_id", "provider", "last_used_at",
                     F.when(F.col("last") == "ok", "healthy").otherwise("cooling").alias("state"),
-                    F.timestamp_micros(F.unix_micros("last_used_at") + wait * 1000000).alias("available_at"),
+                    F.timestamp_micros(F.unix_micros("last_used_at") + wait.cast("bigint") * 1000000).alias("available_at"),
                     (F.substring("key_id", 5, 1).cast("int") % 2 == 0).alias("allows_real_pii"))
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docweir.functions import scores
 from docweir.operators import scan
@@ -166,7 +166,7 @@ def score_logits(df: DataFrame, model_factory: Callable[[], Callable[[list], lis
     ``model_factory()`` returns a function from a list of inputs to a list of
     score vectors.  A vector of the wrong length fails the job.
     """
-    schema = df.schema.add("logits", "array<double>")
+    schema = T.StructType(df.schema.fields + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None

@@ -136,8 +136,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float],
         F.percentile_approx(v, marks, accuracy).alias("_m"))
     entries = []
     for k, q in enumerate(qs):
-        lo = F.col("_min") if q - eps <= 0 else F.get("_m", F.lit(2 * k))
-        hi = F.col("_max") if q + eps >= 1 else F.get("_m", F.lit(2 * k + 1))
+        lo, hi = F.get("_m", F.lit(2 * k)), F.get("_m", F.lit(2 * k + 1))
+        # Up to ``accuracy`` rows the bracket is the whole (small) range; above
+        # that its margin exceeds the sketch error by several ranks.
+        lo = F.when((F.col("_n") <= accuracy) | F.lit(q - eps <= 0), F.col("_min")).otherwise(lo)
+        hi = F.when((F.col("_n") <= accuracy) | F.lit(q + eps >= 1), F.col("_max")).otherwise(hi)
         entries.append(F.struct(F.lit(q).alias("q"), lo.alias("_lo"), hi.alias("_hi"),
                                 (F.lit(q) * (F.col("_n") - 1)).alias("_pos")))
     brackets = sketch.select(*by, F.inline(F.array(*entries)))
