@@ -217,11 +217,15 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads of existing jobs only; the job supplies the creation time."""
-    li = table(spark, sf_dir, "lineitem").select(
+    return uploads_of(table(spark, sf_dir, "lineitem"))
+
+
+def uploads_of(items: DataFrame) -> DataFrame:
+    li = items.select(
         F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("n"),
         (F.col("l_quantity") * 1000).cast("bigint").alias("size"),
         F.col("l_partkey").alias("part"),
-        F.col("l_shipdate").alias("created_at"))
+        F.col("l_shipdate").cast("timestamp").alias("created_at"))
     return li.withColumn("expires_at", F.col("created_at") + F.expr("INTERVAL 24 HOURS")) \
         .withColumn("storage_key", F.concat_ws("/", F.lit("uploads"), F.col("job_id").cast("string"),
                                                F.col("n").cast("string"), F.col("part").cast("string")))
@@ -252,7 +256,10 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider call log."""
-    e = table(spark, sf_dir, "events")
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"),

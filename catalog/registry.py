@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "zones", "mapping", "routing", "privacy", "evaluation", "templating"]
+MODULES = ["scalars", "zones", "mapping", "routing", "privacy", "evaluation", "templating", "files",
+           "streams"]
 
 _queries: dict = {}
 _sql: dict[str, str] = {}

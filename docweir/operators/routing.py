@@ -161,17 +161,18 @@ def _gap_seconds() -> Column:
             - F.unix_micros(F.col("prev.ts").cast("timestamp"))) / 1e6
 
 
-def key_health(calls: DataFrame) -> DataFrame:
+def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``failures`` (capped count), ``state`` and ``cooldown_s`` after each call.
 
     An expired cool-down resets the count before the call is recorded; success
     resets it; a bad request changes nothing.  The count only matters up to the
     point where the back-off reaches its limit, so the key is a ten-state machine.
+    ``carry`` (key_id, prev, state) continues from an earlier batch.
     """
     slot = F.date_trunc("minute", F.col("ts"))
     nested = [F.to_date("ts"), F.date_trunc("hour", F.col("ts"))]
     order = ["ts", "call_id"]
-    seen = scan.previous(calls, ["key_id"], slot, order, ["ts", "outcome"], F.col("outcome") != "bad_request")
+    seen = scan.previous(calls, ["key_id"], slot, order, ["ts", "outcome"], F.col("outcome") != "bad_request", carry)
     gap, before = _gap_seconds(), F.col("prev.outcome")
 
     def nxt(s: int) -> Column:
@@ -185,7 +186,7 @@ def key_health(calls: DataFrame) -> DataFrame:
                 .otherwise(F.least(base + 1, F.lit(_BACKOFF_STATES - 1)))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(_BACKOFF_STATES)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], nested, order, "_f", _BACKOFF_STATES, "failures")
+    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], nested, order, "_f", _BACKOFF_STATES, "failures", start=carry)
     kind = F.col("outcome")
     return (out.withColumn("state", F.when(kind == "ok", "healthy").when(kind == "invalid_key", "invalid")
                            .when(kind == "quota", "quota_exhausted").when(kind == "rate_limited", "rate_limited")
@@ -195,13 +196,13 @@ def key_health(calls: DataFrame) -> DataFrame:
                         .otherwise(0).cast("int")).drop("prev", "_f"))
 
 
-def circuit_breaker(calls: DataFrame) -> DataFrame:
+def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``failures`` (capped at the threshold) and ``open`` per provider after each call."""
     slot = F.date_trunc("minute", F.col("ts"))
     nested = [F.to_date("ts"), F.date_trunc("hour", F.col("ts"))]
     order = ["ts", "call_id"]
     top = BREAKER_THRESHOLD
-    seen = scan.previous(calls, ["provider"], slot, order, ["ts", "outcome"], F.lit(True))
+    seen = scan.previous(calls, ["provider"], slot, order, ["ts", "outcome"], F.lit(True), carry)
     closed_again = F.coalesce(_gap_seconds() >= BREAKER_SECONDS, F.lit(False))
 
     def nxt(s: int) -> Column:
@@ -209,7 +210,7 @@ def circuit_breaker(calls: DataFrame) -> DataFrame:
         return F.when(F.col("outcome") == "ok", 0).otherwise(F.least(base + 1, F.lit(top))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(top + 1)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], nested, order, "_f", top + 1, "failures")
+    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], nested, order, "_f", top + 1, "failures", start=carry)
     return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f")
 
 

@@ -44,10 +44,10 @@ def running_total(df: DataFrame, keys: list[str], buckets: list[Column], order:
 
 
 def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
-             values: list[str], keep: Column) -> DataFrame:
+             values: list[str], keep: Column, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``prev``: struct of ``values`` of the last earlier row where ``keep`` holds.
 
-    Within a bucket a window looks back; across buckets the last kept row of
+    ``carry`` (keys, prev) stands in before the first row of a key.  Within a bucket a window looks back; across buckets the last kept row of
     each bucket is carried forward over bucket rows only.
     """
     entry = F.when(keep, F.struct(*values))
@@ -58,15 +58,21 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
     back = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.withColumn("_c", F.last("_l", ignorenulls=True).over(back)).drop("_l")
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.withColumn("_i", F.last("_e", ignorenulls=True).over(inside))
-            .join(carried, keys + ["_b"])
-            .withColumn("prev", F.coalesce("_i", "_c")).drop("_b", "_e", "_i", "_c"))
+    out = (rows.withColumn("_i", F.last("_e", ignorenulls=True).over(inside))
+           .join(carried, keys + ["_b"]).withColumn("_p", F.coalesce("_i", "_c")))
+    if carry is not None:
+        out = out.join(carry.select(*keys, F.col("prev").alias("_before")), keys, "left") \
+            .withColumn("_p", F.coalesce("_p", "_before")).drop("_before")
+    return out.withColumn("prev", F.col("_p")).drop("_b", "_e", "_i", "_c", "_p")
 
 
 def state_scan(df: DataFrame, keys: list[str], buckets: list[Column], order: list[str],
-               transition: str, states: int, out: str, chunk: int = 256) -> DataFrame:
+               transition: str, states: int, out: str, chunk: int = 256,
+               start: DataFrame | None = None) -> DataFrame:
     """Fold a finite state machine in order and add the state after each row.
 
+    ``start`` (keys, state) gives the state of a key before its first row, else 0.
+
     ``transition`` names an array<int> column: entry s is the next state from
     state s.  Transitions compose associatively, so each piece of ``chunk`` rows
     is reduced to one composed transition, pieces to groups, groups to buckets,
@@ -96,6 +102,9 @@ def state_scan(df: DataFrame, keys: list[str], buckets: list[Column], order: lis
             F.struct(levels[depth], "_f"))).alias("_items")))
     # Downwards: the state in which each group, and finally each row, starts.
     starts = ladder[-1].withColumn("_s", F.lit(0))
+    if start is not None:
+        starts = ladder[-1].join(start.select(*keys, F.col("state").cast("int").alias("_s")), keys, "left") \
+            .withColumn("_s", F.coalesce("_s", F.lit(0)))
     for depth, level in enumerate(levels):
         child = starts.select(*keys, *levels[:depth], F.inline(F.transform(
             _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(
