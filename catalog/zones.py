@@ -247,8 +247,7 @@ def repair_ctes(parts: str = PARTS, key: str = "doc_id, name") -> dict[str, str]
     "mrz_ocr", **repair_ctes()))
 def _(spark, d):
     parts = zone_parts(spark, d)
-    found = F.when(F.col("name") == "doc_number", repair.repair_candidates(F.col("raw"), F.col("cd"))) \
-        .otherwise(repair.repair_candidates(F.col("raw"), F.col("cd"), repair.DIGITS))
+    found = repair.repair_candidates(F.col("raw"), F.col("cd"), repair.confusion_map_for(F.col("name")))
     x = parts.select("doc_id", "name", F.posexplode(found).alias("pos", "x"))
     return x.select("doc_id", "name", F.col("x.value").alias("candidate"), F.size("x.ps").alias("edits"),
                     F.array_join(F.col("x.ps").cast("array<string>"), ",").alias("positions"),
@@ -390,7 +389,7 @@ def _(spark, d):
     line = F.rpad(F.concat("surname", F.lit("<<"), "given",
                            F.when(F.col("doc_id") % 2 == 0, "<OGLI<X").otherwise("")), 39, "<")
     rows = p.select("doc_id", mrz.split_names(line).alias("x")).select(
-        "doc_id", F.inline(F.array(*mrz.name_fields(F.col("x")))))
+        "doc_id", F.inline(mrz.name_fields(F.col("x"))))
     return flat(rows)
 
 

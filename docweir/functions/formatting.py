@@ -88,22 +88,31 @@ def _below_thousand(n: Column) -> Column:
 
 def amount_words(c: Column) -> Column:
     """Whole amounts in Uzbek words; NULL from one trillion up."""
-    bare = F.translate(t.strip(c), " ,", "")
-    number = bare.try_cast("double")
-    n = F.when(F.abs(number) < 1e15, number).cast("bigint")
-    groups = []
-    for size, label in SCALES:
-        count = F.floor(n / size) % 1000 if size < 10**9 else F.floor(n / size)
-        words = _below_thousand(count)
-        if size == 1000:
-            words = F.when(count == 1, F.lit("")).otherwise(words)
-        groups.append(F.when(count > 0, F.trim(F.concat(words, F.lit(" " + label))))
-                      .otherwise(F.lit("")))
-    return (F.when(number.isNull(), F.coalesce(c, F.lit("")))
-            .when(n >= 10**12, F.lit(None).cast("string"))
-            .when(n == 0, F.lit("nol"))
-            .when(n < 0, F.lit(""))
-            .otherwise(_joined(*groups)))
+    number = F.translate(t.strip(c), " ,", "").try_cast("double")
+
+    def group(size: int, label: str):
+        def said(k: Column) -> Column:
+            words = _below_thousand(k)
+            if size == 1000:
+                words = F.when(k == 1, F.lit("")).otherwise(words)
+            return F.when(k > 0, F.trim(F.concat(words, F.lit(" " + label)))).otherwise(F.lit(""))
+
+        return said
+
+    def words(n: Column) -> Column:
+        groups = []
+        for size, label in SCALES:
+            count = F.floor(n / size) if size == 10**9 else F.floor(n / size) % 1000
+            groups.append(t.let(count.cast("int"), group(size, label)))
+        return _joined(*groups)
+
+    def spoken(n: Column) -> Column:
+        return (F.when(n.isNull(), F.coalesce(c, F.lit("")))
+                .when(F.abs(n) >= 1e12, F.lit(None).cast("string"))
+                .when(F.abs(n) < 1, F.lit("nol")).when(n < 0, F.lit(""))
+                .otherwise(words(n.cast("bigint"))))
+
+    return t.let(number, spoken)
 
 
 def initials(c: Column) -> Column:

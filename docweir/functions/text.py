@@ -203,7 +203,10 @@ def norm_for_grounding(c: Column, python_fallback: bool = True) -> Column:
     Text in the covered scripts never leaves the JVM; anything else is folded
     by an Arrow-batched UDF which receives NULL for all other rows.
     """
-    folded = F.when(is_covered(c), fold_covered(c))
+    # Plain ASCII, the common case, needs no character table.
+    ascii_only = c.rlike(r"^[\x00-\x7f]*\z")
+    folded = F.when(ascii_only, F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "")).when(
+        is_covered(c), fold_covered(c))
     if not python_fallback:
         return folded
     rest = F.when(~is_covered(c), c)

@@ -10,6 +10,7 @@ from docweir.functions import patterns as p
 from docweir.functions.similarity import fuzz_partial_ratio
 from docweir.functions.text import digits, extract_json, let, norm_for_grounding, strip
 from docweir.schema import EXACT_MATCH_PATHS, is_empty
+from docweir.session import materialise
 
 REASON_DATE = "date not present in the recognised text"
 REASON_ID = "identifier not found verbatim in the recognised text"
@@ -151,8 +152,14 @@ def _fingerprint_udf(gram: int, window: int):
     return F.pandas_udf(fingerprints, "array<bigint>")
 
 
-def contamination(documents: DataFrame, passages: DataFrame, gram: int = 8,
-                  window: int = 8) -> DataFrame:
+def _small(df: DataFrame, size: Column, limit: int) -> bool:
+    """Whether the summed size of ``df`` stays within ``limit`` (runs a count)."""
+    total = df.agg(F.sum(size).alias("n")).first()["n"]
+    return total is None or total <= limit
+
+
+def contamination(documents: DataFrame, passages: DataFrame, gram: int = 16,
+                  window: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, item_id): passages whose comparison form occurs in a document.
 
     Long passages meet documents through winnowing fingerprints: one fingerprint
@@ -160,35 +167,51 @@ def contamination(documents: DataFrame, passages: DataFrame, gram: int = 8,
     every document that contains it.  Passages too short for a fingerprint are
     looked up among the n-grams of their own length.  Candidate pairs are then
     verified by containment; copies of a passage are checked once.
+
+    Document text is read twice and never shuffled as long as the passage side
+    is measured to be small; above ``broadcast_bytes`` the same joins shuffle.
     """
     shortest = gram + window - 1
     items = passages.select("item_id", norm_for_grounding(F.col("text")).alias("needle")) \
         .filter(F.col("needle") != "")
-    needles = items.select("needle").distinct().withColumn("size", F.length("needle"))
-    docs = documents.select("doc_id", norm_for_grounding(F.col("text")).alias("hay")) \
-        .filter(F.col("hay") != "")
+    needles = items.select("needle").distinct()
+    docs = documents.select("doc_id", norm_for_grounding(F.col("text")).alias("hay"))
     mark = _fingerprint_udf(gram, window)
 
-    doc_marks = docs.select("doc_id", F.explode(mark(F.col("hay"))).alias("mark"))
-    own = needles.filter(F.col("size") >= shortest).select("needle", F.explode(
-        mark(F.col("needle"))).alias("mark"))
-    # Only marks some passage carries are counted, so the count table stays small.
-    wanted = doc_marks.join(own.select("mark").distinct(), "mark", "left_semi")
+    own = materialise(needles.filter(F.length("needle") >= shortest).select(
+        "needle", F.explode(mark(F.col("needle"))).alias("mark")), "passage-marks")
+    keys = own.select("mark").distinct()
+    if _small(keys, F.lit(16), broadcast_bytes):
+        keys = F.broadcast(keys)
+    wanted = materialise(docs.select("doc_id", F.explode(mark(F.col("hay"))).alias("mark"))
+                         .join(keys, "mark", "left_semi"), "document-marks")
     counts = wanted.groupBy("mark").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "mark").groupBy("needle").agg(
-        F.min_by(F.struct("mark", "n"), F.struct("n", "mark")).alias("m"),
-        F.count("*").alias("_found"))
-    long_pairs = wanted.join(rarest.select("needle", F.col("m.mark").alias("mark")), "mark") \
-        .select("doc_id", "needle")
-
-    short = needles.filter(F.col("size") < shortest)
-    lengths = short.groupBy("size").agg(F.count("*").alias("_n")).select("size")
-    grams = docs.crossJoin(F.broadcast(lengths)).filter(F.length("hay") >= F.col("size")).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("hay") - F.col("size") + 1),
-            lambda p: F.substring(F.col("hay"), p, F.col("size"))))).alias("needle"))
-    short_pairs = grams.join(short.select("needle"), "needle").select("doc_id", "needle")
-
-    checked = long_pairs.join(docs, "doc_id").filter(F.contains(F.col("hay"), F.col("needle"))) \
-        .select("doc_id", "needle")
-    return checked.unionByName(short_pairs).join(items, "needle").select("doc_id", "item_id")
+    rarest = own.join(counts, "mark", "left").groupBy("needle").agg(
+        F.min_by(F.struct("mark", "n"), F.struct(F.coalesce("n", F.lit(0)), "mark")).alias("m"))
+    pairs = wanted.join(rarest.filter(F.col("m.n").isNotNull()).select(
+        "needle", F.col("m.mark").alias("mark")), "mark").select("doc_id", "needle")
+    pairs = materialise(pairs, "candidate-pairs")
+    if _small(pairs, F.length("needle") + 16, broadcast_bytes):
+        pairs = F.broadcast(pairs)
+    found = docs.join(pairs, "doc_id").filter(F.contains("hay", "needle")).select("doc_id", "needle")
+
+    # At most ``shortest - 1`` distinct lengths exist below the fingerprint size.
+    short = needles.filter(F.length("needle") < shortest)
+    sizes = sorted(r["n"] for r in short.groupBy(F.length("needle").alias("n")).agg(F.lit(1)).collect())
+    if sizes:
+        grams = docs.select("doc_id", F.explode(F.array_distinct(_spans(sizes))).alias("needle"))
+        if _small(short, F.length("needle") + 16, broadcast_bytes):
+            short = F.broadcast(short)
+        found = found.unionByName(grams.join(short, "needle", "left_semi"))
+    return found.join(items, "needle").select("doc_id", "item_id")
+
+
+def _spans(sizes: list[int]) -> Column:
+    """Every substring of ``hay`` with one of the given lengths."""
+    def of_size(n: int) -> Column:
+        def cut(at: Column) -> Column:
+            return F.substring(F.col("hay"), at, F.lit(n))
+
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("hay") - n + 1, F.lit(1))), cut)
+
+    return F.flatten(F.array(*[of_size(n) for n in sizes]))

@@ -130,18 +130,23 @@ def split_names(names: Column) -> Column:
         .alias("patronymic"))
 
 
-def name_fields(parts: Column) -> list[Column]:
-    """Six name entries: Latin as read, Cyrillic derived; none is ever validated."""
-    out = []
-    for part, stem in (("surname", "surname"), ("given", "given_name"),
-                       ("patronymic", "patronymic")):
-        shown = F.when(parts[part] != "", t.title_case_name(parts[part]))
-        sure = shown.isNotNull()
-        out.append(field_struct(f"person.name.{stem}_latin", shown,
-                                F.when(sure, NAME).otherwise(0.0), "mrz"))
-        out.append(field_struct(f"person.name.{stem}_cyrillic", t.latin_to_cyrillic(shown),
-                                F.when(sure, DERIVED).otherwise(0.0), "derived"))
-    return out
+def name_fields(parts: Column) -> Column:
+    """Array of six name entries: Latin as read, Cyrillic derived; none is ever validated."""
+    read = F.array(*[F.struct(F.lit(stem).alias("stem"), parts[part].alias("raw")) for part, stem in (
+        ("surname", "surname"), ("given", "given_name"), ("patronymic", "patronymic"))])
+
+    def entries(r: Column) -> Column:
+        def both(shown: Column) -> Column:
+            sure = shown.isNotNull()
+            return F.array(
+                field_struct(F.concat(F.lit("person.name."), r["stem"], F.lit("_latin")), shown,
+                             F.when(sure, NAME).otherwise(0.0), F.lit("mrz")),
+                field_struct(F.concat(F.lit("person.name."), r["stem"], F.lit("_cyrillic")),
+                             t.latin_to_cyrillic(shown), F.when(sure, DERIVED).otherwise(0.0), F.lit("derived")))
+
+        return repair.let(F.when(r["raw"] != "", t.title_case_name(r["raw"])), both)
+
+    return F.flatten(F.transform(read, entries))
 
 
 def zone_field(path: str, value: Column, valid: Column,
@@ -174,25 +179,27 @@ def _overwrite(lines: Column, slot: Slot, value: Column) -> Column:
 
 
 def _repaired(lines: Column, layout: Layout, conf: Column | None, body) -> Column:
-    """Bind normalised lines, candidates, choices and the composite solution in turn.
+    """Bind normalised lines, corrections and the composite solution in turn.
 
-    ``body`` receives (zone lines after repair, {field: correction}).  Every step
-    is a lambda binding, so the expression stays linear in size however often a
-    later step looks at an earlier one.
+    ``body`` receives (zone lines after repair, array of corrections).  Every step
+    is a lambda binding over an array of fields, so the search appears once in
+    the expression however many fields there are and however often a later step
+    looks at an earlier one.
     """
-    names = layout.repaired
+    names, let = layout.repaired, repair.let
 
-    def candidates(norm: Column) -> Column:
-        return F.struct(*[repair.repair_candidates(
-            _cut(norm, layout.slots[n]), _digit(norm, layout.slots[n]), repair.charset_of(n))
-            .alias(n) for n in names])
+    def parts(norm: Column) -> Column:
+        return F.array(*[F.struct(
+            F.lit(n).alias("name"), _cut(norm, layout.slots[n]).alias("raw"),
+            _digit(norm, layout.slots[n]).alias("cd"),
+            (F.lit(None) if conf is None else F.try_element_at(conf, F.lit(n))).cast("array<double>").alias("conf"))
+            for n in names])
 
-    def choices(norm: Column, cand: Column) -> Column:
-        return F.struct(*[repair.choose(
-            _cut(norm, layout.slots[n]), cand[n],
-            None if conf is None else F.try_element_at(conf, F.lit(n))).alias(n) for n in names])
+    def correct(part: Column) -> Column:
+        return repair.repair_field(part["raw"], part["cd"], repair.confusion_map_for(part["name"]),
+                                   None if conf is None else part["conf"])
 
-    def solution(norm: Column, fix: Column) -> Column:
+    def solution(norm: Column, fixes: Column) -> Column:
         blanked = norm
         for n in names:
             slot = layout.slots[n]
@@ -200,34 +207,23 @@ def _repaired(lines: Column, layout: Layout, conf: Column | None, body) -> Colum
 
         def solve(blank: Column) -> Column:
             source, digit = _composite(blank, layout)
-            return repair.resolve_composite({n: fix[n] for n in names},
-                                            {n: composite_offset(layout, n) for n in names},
-                                            source, digit)
-
-        anything = F.lit(False)
-        for n in names:
-            anything = anything | fix[n]["ambiguous"]
-        return F.when(anything, repair.let(blanked, solve))
+            return repair.resolve_composite(
+                fixes, [composite_offset(layout, n) for n in names], source, digit)
 
-    def settled(fix: Column, won: Column) -> Column:
-        return F.struct(*[repair.apply_solution(fix[n], won, k).alias(n)
-                          for k, n in enumerate(names)])
+        return F.when(F.exists(fixes, lambda c: c["ambiguous"]), let(blanked, solve))
 
-    def final(norm: Column, fix: Column) -> Column:
+    def final(norm: Column, fixes: Column) -> Column:
         out = norm
-        for n in names:
-            out = _overwrite(out, layout.slots[n], fix[n]["value"])
+        for k, n in enumerate(names):
+            out = _overwrite(out, layout.slots[n], F.get(fixes, F.lit(k))["value"])
         return out
 
-    let = repair.let
     return let(
         F.transform(lines, lambda x: t.normalize_line(x, layout.width)),
-        lambda norm: let(candidates(norm), lambda cand: let(
-            choices(norm, cand), lambda fix: let(
-                solution(norm, fix), lambda won: let(
-                    settled(fix, won), lambda done: let(
-                        final(norm, done),
-                        lambda zone: body(zone, {n: done[n] for n in names})))))))
+        lambda norm: let(F.transform(parts(norm), correct), lambda fixes: let(
+            solution(norm, fixes), lambda won: let(
+                F.transform(fixes, lambda c, i: repair.apply_solution(c, won, i)),
+                lambda done: let(final(norm, done), lambda zone: body(zone, done))))))
 
 
 def repair_zone(df: DataFrame, layout: Layout, lines: str = "lines",
@@ -238,10 +234,10 @@ def repair_zone(df: DataFrame, layout: Layout, lines: str = "lines",
     repaired field and ``composite_ok``.  ``conf`` may name a map column
     field -> array<double> with a confidence per character.
     """
-    def body(zone: Column, fix: dict[str, Column]) -> Column:
+    def body(zone: Column, fixes: Column) -> Column:
         source, digit = _composite(zone, layout)
         return F.struct(zone.alias("zone"), verify_check_digit(source, digit).alias("composite_ok"),
-                        *[c.alias(f"fix_{n}") for n, c in fix.items()])
+                        *[F.get(fixes, F.lit(k)).alias(f"fix_{n}") for k, n in enumerate(layout.repaired)])
 
     c = None if conf is None else F.col(conf)
     return df.withColumn("_z", _repaired(F.col(lines), layout, c, body)).select(
@@ -257,7 +253,8 @@ def _zone_column(layout: Layout, with_conf: bool, gateway: int) -> Column:
     """
     today = F.col("_today")
 
-    def body(zone: Column, fix: dict[str, Column]) -> Column:
+    def body(zone: Column, fixes: Column) -> Column:
+        fix = {n: F.get(fixes, F.lit(k)) for k, n in enumerate(layout.repaired)}
         carrier = (fix["personal_number"]["value"] if "personal_number" in fix
                    else _cut(zone, layout.slots["optional1"]))
         number = t.digits(carrier)
@@ -269,7 +266,7 @@ def _zone_column(layout: Layout, with_conf: bool, gateway: int) -> Column:
             t.mrz_to_display(_cut(zone, layout.slots["nationality"])).alias("nation"),
             number.alias("pinfl"), decode_pinfl(number).alias("decoded"),
             _all_valid(zone, layout).alias("valid"))
-        return repair.let(parts, lambda x: _evaluated(zone, fix, x, layout))
+        return repair.let(parts, lambda x: _evaluated(zone, fixes, fix, x, layout))
 
     return _repaired(F.col("_lines"), layout, F.col("_conf") if with_conf else None, body)
 
@@ -300,44 +297,45 @@ def _all_valid(zone: Column, layout: Layout) -> Column:
                     verify_check_digit(source, digit).alias("composite"))
 
 
-def _evaluated(zone: Column, fix: dict[str, Column], x: Column, layout: Layout) -> Column:
+def _evaluated(zone: Column, fixes: Column, fix: dict[str, Column], x: Column, layout: Layout) -> Column:
+    names = F.array(*[F.lit(n) for n in layout.repaired])
     has_pinfl = F.length(x["pinfl"]) == 14
     pinfl_sure = x["decoded"]["structure_valid"]
     if "personal_number" in fix:
         pinfl_sure = pinfl_sure & repair.trustworthy(fix["personal_number"])
-    trusted = {n: repair.trustworthy(c) for n, c in fix.items()}
-    entries = name_fields(x["names"]) + [
-        zone_field("documents.0.doc_number", t.mrz_to_display(fix["doc_number"]["value"]),
-                   trusted["doc_number"], fix["doc_number"]),
+    number = repair.let(fix["doc_number"], lambda c: zone_field(
+        "documents.0.doc_number", t.mrz_to_display(c["value"]), repair.trustworthy(c), c))
+    entries = F.array(
+        number,
         zone_field("documents.0.expiry_date", F.date_format(x["expiry"], "yyyy-MM-dd"),
-                   trusted["expiry_date"]),
+                   repair.trustworthy(fix["expiry_date"])),
         zone_field("person.birth_date", F.date_format(x["birth"], "yyyy-MM-dd"),
-                   trusted["birth_date"]),
+                   repair.trustworthy(fix["birth_date"])),
         zone_field("person.sex", x["sex"], x["sex"] != ""),
         zone_field("person.nationality", x["nation"], F.lit(True)),
         zone_field("person.citizenship", x["nation"], F.lit(True)),
         F.when(has_pinfl, field_struct(
             "person.pinfl", x["pinfl"], F.when(pinfl_sure, 0.9).otherwise(0.4), "mrz",
-            False, None, F.nullif(F.array_join(x["decoded"]["errors"], "; "), F.lit("")))),
-    ]
-    warnings = [F.when(c["ambiguous"], F.concat(
-        F.lit(msg.AMBIGUOUS_FIELD[0] + n + msg.AMBIGUOUS_FIELD[1]),
-        F.array_join(F.slice(c["candidates"], 1, 3), ", "), F.lit(msg.AMBIGUOUS_FIELD[2])))
-        for n, c in fix.items()]
+            False, None, F.nullif(F.array_join(x["decoded"]["errors"], "; "), F.lit("")))))
+
+    def per_field(text) -> Column:
+        return F.array_compact(F.transform(fixes, lambda c, i: text(F.get(names, i), c)))
+
+    doubts = per_field(lambda n, c: F.when(c["ambiguous"], F.concat(
+        F.lit(msg.AMBIGUOUS_FIELD[0]), n, F.lit(msg.AMBIGUOUS_FIELD[1]),
+        F.array_join(F.slice(c["candidates"], 1, 3), ", "), F.lit(msg.AMBIGUOUS_FIELD[2]))))
+    own = [F.when(~x["valid"]["composite"], F.lit(msg.COMPOSITE_FAILED))]
     if layout is TD1:
-        warnings += pinfl_consistency(has_pinfl, x["decoded"], x["sex"], x["birth"])
-    warnings.append(F.when(~x["valid"]["composite"], F.lit(msg.COMPOSITE_FAILED)))
-    repaired = [F.when(repair.changed(c), F.concat(F.lit(msg.REPAIRED), repair.describe(n, c)))
-                for n, c in fix.items()]
+        own = pinfl_consistency(has_pinfl, x["decoded"], x["sex"], x["birth"]) + own
+    repaired = per_field(lambda n, c: F.when(
+        repair.changed(c), F.concat(F.lit(msg.REPAIRED), repair.describe(n, c))))
     return F.struct(
         zone.alias("zone"),
-        F.array_compact(F.array(*entries)).alias("fields"),
-        F.array_compact(F.array(*[F.when(c["ambiguous"], F.lit(n)) for n, c in fix.items()]))
-        .alias("ambiguous_fields"),
-        F.array_compact(F.array(*warnings, *repaired)).alias("warnings"),
-        F.array_compact(F.array(*[F.when(repair.changed(c) | c["ambiguous"], F.struct(
-            F.lit(n).alias("name"), c.alias("correction"))) for n, c in fix.items()]))
-        .alias("corrections"),
+        F.array_compact(F.concat(name_fields(x["names"]), entries)).alias("fields"),
+        per_field(lambda n, c: F.when(c["ambiguous"], n)).alias("ambiguous_fields"),
+        F.concat(doubts, F.array_compact(F.array(*own)), repaired).alias("warnings"),
+        per_field(lambda n, c: F.when(repair.changed(c) | c["ambiguous"], F.struct(
+            n.alias("name"), c.alias("correction")))).alias("corrections"),
         (x["valid"]["fields"] & x["valid"]["composite"]).alias("all_valid"))
 
 

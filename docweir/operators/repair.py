@@ -45,12 +45,6 @@ def confusions(charset: str | None = None) -> dict[str, str]:
     return {ch: "".join(others) for ch, others in allowed.items() if others}
 
 
-def charset_of(field: str) -> str | None:
-    if field in DIGIT_FIELDS:
-        return DIGITS
-    return LETTERS if field in LETTER_FIELDS else None
-
-
 def alternatives_for(ch: Column, charset: str | None = None) -> Column:
     """Characters that may stand at this place, the read one included, sorted."""
     entries = [F.lit(x) for kv in confusions(charset).items() for x in kv]
@@ -68,9 +62,19 @@ def confusion_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "from_ch string, to_ch string, delta int")
 
 
-def _edits(raw: Column, charset: str | None) -> Column:
+def confusion_map(charset: str | None = None) -> Column:
+    """Map character -> confusable characters as a literal."""
+    return F.create_map(*[F.lit(x) for kv in confusions(charset).items() for x in kv])
+
+
+def confusion_map_for(field: Column) -> Column:
+    """The map that fits a field name, so that one search expression serves all fields."""
+    return (F.when(field.isin(DIGIT_FIELDS), confusion_map(DIGITS))
+            .when(field.isin(LETTER_FIELDS), confusion_map(LETTERS)).otherwise(confusion_map()))
+
+
+def _edits(raw: Column, table: Column) -> Column:
     """array<struct<p,c,d>>: place, new character, change modulo ten; ordered by (p, c)."""
-    table = F.create_map(*[F.lit(x) for kv in confusions(charset).items() for x in kv])
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
 
     def value(ch: Column) -> Column:
@@ -123,7 +127,7 @@ def _three(raw: Column, edits: Column, need: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(edits, second)))
 
 
-def repair_candidates(raw: Column, cd: Column, charset: str | None = None,
+def repair_candidates(raw: Column, cd: Column, table: Column | None = None,
                       max_edits: int = 3) -> Column:
     """All substitutions that satisfy the digit at the smallest number of edits.
 
@@ -152,7 +156,7 @@ def repair_candidates(raw: Column, cd: Column, charset: str | None = None,
                                  raw.alias("value")))
     return (F.when(~F.coalesce(cd.rlike("^[0-9]$"), F.lit(False)), nothing)
             .when(check_digit(raw) == cd.cast("int"), unchanged)
-            .otherwise(let(_edits(raw, charset), search)).cast(element))
+            .otherwise(let(_edits(raw, confusion_map() if table is None else table), search)).cast(element))
 
 
 def choose(raw: Column, candidates: Column, conf: Column | None = None) -> Column:
@@ -193,9 +197,9 @@ def choose(raw: Column, candidates: Column, conf: Column | None = None) -> Colum
     return let(ranked, decide).cast(CORRECTION)
 
 
-def repair_field(raw: Column, cd: Column, charset: str | None = None,
+def repair_field(raw: Column, cd: Column, table: Column | None = None,
                  conf: Column | None = None, max_edits: int = 3) -> Column:
-    return choose(raw, repair_candidates(raw, cd, charset, max_edits), conf)
+    return choose(raw, repair_candidates(raw, cd, table, max_edits), conf)
 
 
 def trustworthy(c: Column) -> Column:
@@ -207,14 +211,14 @@ def changed(c: Column) -> Column:
     return c["value"] != c["original"]
 
 
-def describe(name: str, c: Column) -> Column:
+def describe(name: Column, c: Column) -> Column:
     """Audit text of one correction."""
     tag = F.when(c["ambiguous"], "ambiguous").otherwise("repaired")
-    return F.concat(F.lit(f"{name}: '"), c["original"], F.lit("' -> '"), c["value"],
+    return F.concat(name, F.lit(": '"), c["original"], F.lit("' -> '"), c["value"],
                     F.lit("' ["), tag, F.lit("]"))
 
 
-def residue(value: Column, offset: int) -> Column:
+def residue(value: Column, offset: Column) -> Column:
     """Weighted residue of a candidate placed at ``offset`` of the composite."""
     res = F.transform(F.split(value, ""), lambda ch: F.greatest(
         F.instr(F.lit(ALPHABET), ch) - 1, F.lit(0)))
@@ -223,48 +227,42 @@ def residue(value: Column, offset: int) -> Column:
                        F.lit(0), lambda a, b: a + b) % 10
 
 
-def resolve_composite(corrections: dict[str, Column], offsets: dict[str, int],
-                      blanked: Column, digit: Column,
+def resolve_composite(fixes: Column, offsets: list[int], blanked: Column, digit: Column,
                       max_combinations: int = 5000) -> Column:
-    """Combinations of candidate values that satisfy the composite digit.
+    """The one combination of candidate values that satisfies the composite digit.
 
-    ``blanked`` is the composite source with every repaired field replaced by
-    filler.  Returns the single solution as array<string> in the order of
-    ``corrections``; NULL when nothing is ambiguous, or none or several fit.
+    ``fixes`` is an array of corrections, ``offsets`` where each stands in the
+    composite, ``blanked`` the composite source with those fields replaced by
+    filler.  Returns array<string>; NULL when none or several combinations fit.
     A search above ``max_combinations`` is declined, as the semantics require.
     """
-    names = list(corrections)
-    options = [F.when(corrections[n]["ambiguous"], corrections[n]["candidates"])
-               .otherwise(F.array(corrections[n]["value"])) for n in names]
-    ambiguous, product = F.lit(False), F.lit(1)
-    for n, opts in zip(names, options):
-        ambiguous = ambiguous | corrections[n]["ambiguous"]
-        product = product * F.size(opts)
+    options = F.transform(fixes, lambda c, i: F.struct(
+        F.get(F.array(*[F.lit(o) for o in offsets]), i).alias("at"),
+        F.when(c["ambiguous"], c["candidates"]).otherwise(F.array(c["value"])).alias("vs")))
+    product = F.aggregate(options, F.lit(1), lambda acc, o: acc * F.size(o["vs"]))
     need = F.pmod(digit.try_cast("int") - check_digit(blanked), F.lit(10))
     # Fold field by field over (residue so far, values so far).
     start = F.array(F.struct(F.lit(0).alias("r"), F.array().cast("array<string>").alias("v")))
-    partial = start
-    for n, opts in zip(names, options):
-        partial = _extend(partial, opts, offsets[n])
+    partial = F.aggregate(options, start, _extend)
     hits = F.filter(partial, lambda s: s["r"] % 10 == need)
     solved = let(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))["v"]))
-    return F.when(ambiguous & (product <= max_combinations)
+    return F.when((product <= max_combinations)
                   & F.coalesce(digit.rlike("^[0-9]$"), F.lit(False)), solved)
 
 
-def _extend(partial: Column, opts: Column, offset: int) -> Column:
-    scored = F.transform(opts, lambda v: F.struct(residue(v, offset).alias("r"), v.alias("v")))
+def _extend(partial: Column, option: Column) -> Column:
+    scored = F.transform(option["vs"], lambda v: F.struct(residue(v, option["at"]).alias("r"), v.alias("v")))
     return let(scored, lambda s: F.flatten(F.transform(partial, lambda p: F.transform(
         s, lambda o: F.struct((p["r"] + o["r"]).alias("r"),
                               F.concat(p["v"], F.array(o["v"])).alias("v"))))))
 
 
-def apply_solution(correction: Column, solution: Column, index: int) -> Column:
+def apply_solution(correction: Column, solution: Column, index: Column) -> Column:
     """Replace an ambiguous correction by its composite-backed value."""
     won = solution.isNotNull() & correction["ambiguous"]
     return F.struct(
         correction["original"].alias("original"),
-        F.when(won, F.get(solution, F.lit(index))).otherwise(correction["value"]).alias("value"),
+        F.when(won, F.get(solution, index)).otherwise(correction["value"]).alias("value"),
         correction["valid"].alias("valid"),
         (correction["ambiguous"] & ~won).alias("ambiguous"),
         correction["edits"].alias("edits"),
@@ -274,18 +272,10 @@ def apply_solution(correction: Column, solution: Column, index: int) -> Column:
 
 
 def repair_long(df: DataFrame, conf: str | None = None) -> DataFrame:
-    """Repair a long table (…, name, raw, cd); adds ``correction``.
-
-    The charset follows the field name, so each charset is one CASE branch.
-    """
-    raw, cd = F.col("raw"), F.col("cd")
-    c = None if conf is None else F.col(conf)
-    by_charset = (
-        F.when(F.col("name").isin(DIGIT_FIELDS), repair_candidates(raw, cd, DIGITS))
-        .when(F.col("name").isin(LETTER_FIELDS), repair_candidates(raw, cd, LETTERS))
-        .otherwise(repair_candidates(raw, cd)))
-    found = df.withColumn("_candidates", by_charset)
-    return found.withColumn("correction", choose(raw, F.col("_candidates"), c)).drop("_candidates")
+    """Repair a long table (…, name, raw, cd); adds ``correction``."""
+    found = repair_candidates(F.col("raw"), F.col("cd"), confusion_map_for(F.col("name")))
+    return df.withColumn("correction", choose(
+        F.col("raw"), found, None if conf is None else F.col(conf)))
 
 
 def audit(corrected: DataFrame) -> DataFrame:

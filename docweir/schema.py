@@ -79,7 +79,7 @@ def string_array(values: list[str]) -> Column:
 
 
 def field_struct(path: Column | str, value: Column, confidence: Column | float,
-                 source: str, validated: Column | bool = False,
+                 source: Column | str, validated: Column | bool = False,
                  alternatives: Column | None = None, note: Column | None = None) -> Column:
     """One entry of the long field table as a struct Column."""
     def as_col(x):
@@ -89,7 +89,7 @@ def field_struct(path: Column | str, value: Column, confidence: Column | float,
         as_col(path).alias("path"),
         value.cast("string").alias("value"),
         as_col(confidence).cast("double").alias("confidence"),
-        F.lit(source).alias("source"),
+        as_col(source).alias("source"),
         as_col(validated).cast("boolean").alias("validated"),
         (string_array([]) if alternatives is None else alternatives).alias("alternatives"),
         (F.lit(None) if note is None else note).cast("string").alias("note"),

@@ -54,3 +54,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, f"docweir/{name}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str, limit: int = 1 << 30) -> DataFrame:
+    """Spread a small input that arrives in fewer splits than there are cores.
+
+    A compressed file of a few megabytes fills one task however much work each
+    row costs.  Inputs above ``limit`` bytes have splits enough and are returned
+    unchanged, so no large input is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > limit or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
