@@ -64,7 +64,7 @@ def spread(df: DataFrame, *keys: str, limit: int = 1 << 30) -> DataFrame:
     unchanged, so no large input is ever shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > limit or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
