@@ -103,13 +103,17 @@ def estimate_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price
     return tokens_in / 1_000_000 * price_in + tokens_out / 1_000_000 * price_out
 
 
+def _dated(calls: DataFrame, order: list[str]) -> DataFrame:
+    """Calls in time-ordered parts with their UTC day and month, both monotone in time."""
+    parts = scan.ordered_parts(calls, [], order)
+    return parts.withColumns({"day": F.to_date("ts"), "month": F.date_trunc("month", "ts").cast("date")})
+
+
 def running_spend(calls: DataFrame) -> DataFrame:
     """Adds spend before each call in its day and month (UTC), in micro-dollars."""
-    days = calls.withColumn("day", F.to_date("ts")).withColumn("month", F.date_trunc("month", "ts").cast("date"))
     order = ["ts", "call_id"]
-    by_day = scan.running_total(days, ["day"], scan.time_buckets("ts"), order, "cost_micros", "spent_day")
-    return scan.running_total(by_day, ["month"], [F.to_date("ts")] + scan.time_buckets("ts"), order,
-                              "cost_micros", "spent_month")
+    by_day = scan.running_total(_dated(calls, order), ["day"], order, "cost_micros", "spent_day")
+    return scan.running_total(by_day, ["month"], order, "cost_micros", "spent_month").drop(scan.PART)
 
 
 def budget_gate(calls: DataFrame, daily_micros: int, monthly_micros: int) -> DataFrame:
@@ -120,15 +124,13 @@ def budget_gate(calls: DataFrame, daily_micros: int, monthly_micros: int) -> Dat
     runs over the calls the daily pass let through.
     """
     order = ["ts", "call_id"]
-    days = calls.withColumn("day", F.to_date("ts")).withColumn("month", F.date_trunc("month", "ts").cast("date"))
-    by_day = scan.running_total(days, ["day"], scan.time_buckets("ts"), order, "cost_micros", "spent_day")
+    by_day = scan.running_total(_dated(calls, order), ["day"], order, "cost_micros", "spent_day")
     marked = by_day.withColumn("_ok", F.col("spent_day") < daily_micros).withColumn(
         "_cost", F.when(F.col("_ok"), F.col("cost_micros")).otherwise(F.lit(0)))
-    by_month = scan.running_total(marked, ["month"], [F.to_date("ts")] + scan.time_buckets("ts"), order,
-                                  "_cost", "spent_month")
+    by_month = scan.running_total(marked, ["month"], order, "_cost", "spent_month")
     return (by_month.withColumn("accepted", F.col("_ok") & (F.col("spent_month") < monthly_micros))
             .withColumn("near_limit", F.least("spent_day", F.lit(daily_micros)) >= 0.8 * daily_micros)
-            .drop("_ok", "_cost"))
+            .drop("_ok", "_cost", scan.PART))
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
@@ -169,10 +171,8 @@ def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     point where the back-off reaches its limit, so the key is a ten-state machine.
     ``carry`` (key_id, prev, state) continues from an earlier batch.
     """
-    slot = F.date_trunc("minute", F.col("ts"))
-    nested = [F.to_date("ts"), F.date_trunc("hour", F.col("ts"))]
     order = ["ts", "call_id"]
-    seen = scan.previous(calls, ["key_id"], slot, order, ["ts", "outcome"], F.col("outcome") != "bad_request", carry)
+    seen = scan.previous(calls, ["key_id"], order, ["ts", "outcome"], F.col("outcome") != "bad_request", carry)
     gap, before = _gap_seconds(), F.col("prev.outcome")
 
     def nxt(s: int) -> Column:
@@ -186,23 +186,21 @@ def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
                 .otherwise(F.least(base + 1, F.lit(_BACKOFF_STATES - 1)))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(_BACKOFF_STATES)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], nested, order, "_f", _BACKOFF_STATES, "failures", start=carry)
+    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], order, "_f", _BACKOFF_STATES, "failures", start=carry)
     kind = F.col("outcome")
     return (out.withColumn("state", F.when(kind == "ok", "healthy").when(kind == "invalid_key", "invalid")
                            .when(kind == "quota", "quota_exhausted").when(kind == "rate_limited", "rate_limited")
                            .when(kind == "bad_request", "unchanged").otherwise("cooling"))
             .withColumn("cooldown_s", F.when(kind == "quota", QUOTA_SECONDS).when(kind == "rate_limited", RATE_SECONDS)
                         .when(kind == "unavailable", F.least(F.pow(F.lit(2), "failures"), F.lit(BACKOFF_LIMIT)))
-                        .otherwise(0).cast("int")).drop("prev", "_f"))
+                        .otherwise(0).cast("int")).drop("prev", "_f", scan.PART))
 
 
 def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``failures`` (capped at the threshold) and ``open`` per provider after each call."""
-    slot = F.date_trunc("minute", F.col("ts"))
-    nested = [F.to_date("ts"), F.date_trunc("hour", F.col("ts"))]
     order = ["ts", "call_id"]
     top = BREAKER_THRESHOLD
-    seen = scan.previous(calls, ["provider"], slot, order, ["ts", "outcome"], F.lit(True), carry)
+    seen = scan.previous(calls, ["provider"], order, ["ts", "outcome"], F.lit(True), carry)
     closed_again = F.coalesce(_gap_seconds() >= BREAKER_SECONDS, F.lit(False))
 
     def nxt(s: int) -> Column:
@@ -210,8 +208,8 @@ def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFra
         return F.when(F.col("outcome") == "ok", 0).otherwise(F.least(base + 1, F.lit(top))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(top + 1)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], nested, order, "_f", top + 1, "failures", start=carry)
-    return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f")
+    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], order, "_f", top + 1, "failures", start=carry)
+    return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f", scan.PART)
 
 
 # --- prompts ------------------------------------------------------------------------

@@ -1,91 +1,87 @@
 """Ordered scans that no single task has to carry: running totals, state folds, exact quantiles.
 
-A window ordered over a whole key puts the key's rows into one task.  Here a
-key is cut into nested time buckets; totals (or state transitions) are reduced
-per bucket first, a window runs over the few bucket rows, and only the finest
-bucket is scanned row by row.
+A window ordered over a whole key puts the key's rows into one task.  Here rows
+are range-partitioned on (key, order), which cuts even a single hot key into
+even parts; totals (or state transitions) are reduced per part, a window runs
+over the few part rows of a key, and only a part is scanned row by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docweir.session import materialise
 
-def time_buckets(ts: str) -> list[Column]:
-    """Hour, minute and the instant itself, for running totals within a day."""
-    t = F.col(ts)
-    return [F.date_trunc("hour", t), F.date_trunc("minute", t), t]
+PART = "_part"
 
 
-def running_total(df: DataFrame, keys: list[str], buckets: list[Column], order: list[str],
-                  value: str, out: str) -> DataFrame:
+def ordered_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with the number of their range part, monotone in (keys, order).
+
+    The rows are written once, because later steps join on the part number and
+    a second sampling could draw other boundaries.
+    """
+    if PART in df.columns:
+        return df
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+    return materialise(ranged.withColumn(PART, F.spark_partition_id()), "ordered-parts")
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows of the same key.
 
-    ``buckets`` are ordered coarse to fine and must be monotone in ``order``.
     ``value`` should be integral so that the order of addition cannot matter.
+    The part number stays in the result, for a further scan in the same order.
     """
-    names = [f"_b{n}" for n in range(len(buckets))]
-    rows = df.withColumns(dict(zip(names, buckets)))
-    prefix = None
-    for depth in range(1, len(names) + 1):
-        group = keys + names[:depth]
-        totals = rows.groupBy(*group).agg(F.sum(value).alias("_t"))
-        before = Window.partitionBy(*keys, *names[:depth - 1]).orderBy(names[depth - 1]) \
-            .rowsBetween(Window.unboundedPreceding, -1)
-        level = totals.withColumn("_p", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-        if prefix is not None:
-            level = level.join(prefix.withColumnRenamed("_p", "_q"), keys + names[:depth - 1]) \
-                .withColumn("_p", F.col("_p") + F.col("_q")).drop("_q")
-        prefix = level
-    joined = rows.join(prefix, keys + names)
-    inside = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col("_p") + F.coalesce(F.sum(value).over(inside), F.lit(0))) \
-        .drop("_p", *names)
-
-
-def previous(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
-             values: list[str], keep: Column, carry: DataFrame | None = None) -> DataFrame:
+    rows = ordered_parts(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, PART).agg(F.sum(value).alias("_t"))
+    prefix = totals.withColumn("_p", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    inside = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(prefix, keys + [PART]).withColumn(out, F.col("_p") + F.col("_i")).drop("_p", "_i")
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], keep: Column,
+             carry: DataFrame | None = None) -> DataFrame:
     """Adds ``prev``: struct of ``values`` of the last earlier row where ``keep`` holds.
 
-    ``carry`` (keys, prev) stands in before the first row of a key.  Within a bucket a window looks back; across buckets the last kept row of
-    each bucket is carried forward over bucket rows only.
+    ``carry`` (keys, prev) stands in before the first row of a key.  Within a part
+    a window looks back; across parts the last kept row of each part is carried
+    forward over part rows only.
     """
-    entry = F.when(keep, F.struct(*values))
-    rows = df.withColumn("_b", bucket).withColumn("_e", entry)
-    lasts = rows.filter(F.col("_e").isNotNull()).groupBy(*keys, "_b").agg(
-        F.max_by("_e", F.struct(*order)).alias("_l"))
-    every = rows.select(*keys, "_b").distinct().join(lasts, keys + ["_b"], "left")
-    back = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.withColumn("_c", F.last("_l", ignorenulls=True).over(back)).drop("_l")
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ordered_parts(df, keys, order).withColumn("_e", F.when(keep, F.struct(*values)))
+    lasts = rows.groupBy(*keys, PART).agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.struct(*order))).alias("_l"))
+    back = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_c", F.last("_l", ignorenulls=True).over(back)).drop("_l")
+    inside = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = (rows.withColumn("_i", F.last("_e", ignorenulls=True).over(inside))
-           .join(carried, keys + ["_b"]).withColumn("_p", F.coalesce("_i", "_c")))
+           .join(carried, keys + [PART]).withColumn("_p", F.coalesce("_i", "_c")))
     if carry is not None:
         out = out.join(carry.select(*keys, F.col("prev").alias("_before")), keys, "left") \
             .withColumn("_p", F.coalesce("_p", "_before")).drop("_before")
-    return out.withColumn("prev", F.col("_p")).drop("_b", "_e", "_i", "_c", "_p")
+    return out.withColumn("prev", F.col("_p")).drop("_e", "_i", "_c", "_p")
 
 
-def state_scan(df: DataFrame, keys: list[str], buckets: list[Column], order: list[str],
-               transition: str, states: int, out: str, chunk: int = 256,
-               start: DataFrame | None = None) -> DataFrame:
+def state_scan(df: DataFrame, keys: list[str], order: list[str], transition: str,
+               states: int, out: str, chunk: int = 256, start: DataFrame | None = None) -> DataFrame:
     """Fold a finite state machine in order and add the state after each row.
 
     ``start`` (keys, state) gives the state of a key before its first row, else 0.
 
     ``transition`` names an array<int> column: entry s is the next state from
     state s.  Transitions compose associatively, so each piece of ``chunk`` rows
-    is reduced to one composed transition, pieces to groups, groups to buckets,
-    buckets to keys; start states then travel back down the same levels.  Every
-    collected array is bounded by ``chunk`` or by the buckets of one level.
+    is reduced to one composed transition, pieces to groups, groups to parts,
+    parts to keys; start states then travel back down the same levels.  Every
+    collected array is bounded by ``chunk`` or by the number of parts.
     """
-    slots = [f"_b{n}" for n in range(len(buckets))]
-    rows = df.withColumns(dict(zip(slots, buckets)))
-    number = F.row_number().over(Window.partitionBy(*keys, *slots).orderBy(*order)) - 1
+    rows = ordered_parts(df, keys, order)
+    df = rows
+    number = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*order)) - 1
     rows = rows.withColumn("_n", number).withColumns({
         "_g2": F.floor(F.col("_n") / chunk ** 3), "_g1": F.floor(F.col("_n") / chunk ** 2),
         "_g0": F.floor(F.col("_n") / chunk)})
-    levels = slots + ["_g2", "_g1", "_g0"]
+    levels = [PART, "_g2", "_g1", "_g0"]
     identity = F.array(*[F.lit(s) for s in range(states)])
 
     def reduced(items: Column) -> Column:

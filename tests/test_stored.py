@@ -152,7 +152,7 @@ def test_state_scan_equals_sequential_fold_on_one_hot_key(spark):
     n, states = 3000, 4
     maps = [[rng.randrange(states) for _ in range(states)] for _ in range(n)]
     df = spark.createDataFrame([(k, 0, m) for k, m in enumerate(maps)], "id long, key int, f array<int>")
-    out = scan.state_scan(df, ["key"], [F.floor(F.col("id") / 2000)], ["id"], "f", states, "s", chunk=7)
+    out = scan.state_scan(df, ["key"], ["id"], "f", states, "s", chunk=7)
     got = {r["id"]: r["s"] for r in out.select("id", "s").collect()}
     s, want = 0, {}
     for k, m in enumerate(maps):
@@ -174,7 +174,7 @@ def test_exact_quantiles_on_skewed_values(spark):
 def test_running_total_with_equal_times(spark):
     rows = [(n, "k", 1700000000 + n // 5, n % 3) for n in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r["id"]: r["t"] for r in scan.running_total(df, ["k"], scan.time_buckets("ts"), ["ts", "id"], "v", "t").collect()}
+    got = {r["id"]: r["t"] for r in scan.running_total(df, ["k"], ["ts", "id"], "v", "t").collect()}
     total = 0
     for n, *_rest, v in rows:
         assert got[n] == total
