@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docweir.functions import text as t
 from docweir.functions.checkdigit import check_digit
 from docweir.session import spread
 

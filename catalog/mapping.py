@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from catalog import inputs as i
 from catalog.ctes import q, sql, sql_list
 from catalog.registry import register
-from catalog.scalars import apostrophes, comparable, strip, up
-from catalog.zones import TD1_FIELDS, flat
+from catalog.scalars import apostrophes, comparable, strip
+from catalog.zones import TD1_FIELDS
 from docweir import messages as msg
-from docweir.operators import gates, grounding, merge, mrz, rules
+from docweir.operators import grounding, merge, mrz, rules
 from docweir.plans import cascade
 from docweir.schema import DOCUMENT_PATHS, EXACT_MATCH_PATHS, PERSON_PATHS
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import inputs as i
-from catalog.ctes import ALPHA, cd, q, sql, sql_list, verify, wsum
+from catalog.ctes import ALPHA, q, sql, verify, wsum
 from catalog.registry import register
 from catalog.scalars import display, line_sql, title, to_cyrillic
 from docweir import messages as msg
 from docweir.functions import checkdigit as c, text as t
 from docweir.operators import mrz, repair
-from docweir.schema import CANONICAL_PATHS
 
 CONF = {ch: alts for ch, alts in repair.confusions().items()}
 CONF_VALUES = ", ".join(f"('{a}', '{b}')" for a, alts in sorted(CONF.items()) for b in alts)
