@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,18 +28,28 @@ def local_session(cores: int = 8, app: str = "docweir") -> SparkSession:
     )
 
 
+_stand_ins: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a
-    temporary folder stands in for it.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a session on one
+    machine (``local[...]``) gets a folder of its own that goes with the process;
+    any other session is refused, since a machine-local folder would not be seen
+    by the other executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="spark-docweir-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _stand_ins:
+        _stand_ins[app] = tempfile.mkdtemp(prefix="spark-docweir-")
+        atexit.register(shutil.rmtree, _stand_ins[app], ignore_errors=True)
+    return _stand_ins[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
