@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import exact_dedup, mixing, tokens
+from docweir.llm import exact_dedup, language, mixing, neighbours, pseudonyms, token_counts, tokens, toxicity
+from docweir.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +37,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+@_query()
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with pseudonyms; the key of this query is public, a real one is not."""
+    docs = pseudonyms.replace_private(_documents(spark, sf_dir).select("doc_id", "text"), b"example key of the query")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return docs.select("doc_id", F.size("found").cast("long").alias("n_found"), *map(count, pseudonyms.KINDS), "text")
+
+
 @_query("""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -67,6 +79,48 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = toxicity.fit(docs, labels, toxicity.confirmed_rows())
+    scored = toxicity.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"),
+                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query()
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    names, prototypes = language.fit(docs, F.coalesce(rest != 1, F.lit(False)))
+    found = language.identify(docs.select("doc_id", "text"), names, prototypes)
+    return found.select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score")
+
+
+@_query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache of its own in the shared folder."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
+
+
+@_query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 @_query()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")

@@ -96,8 +96,8 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Fingerprint every word; ``lower`` folds A-Z first."""
+def words_of(texts: pa.Array, lower: bool = False, head: int | None = None) -> Words:
+    """Fingerprint every word, or the first ``head`` bytes of it; ``lower`` folds A-Z first."""
     raw, ends = raw_bytes(texts)
     inside = _WORD_BYTE[raw]
     first = inside.copy()
@@ -113,7 +113,11 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     begin = np.cumsum(inside)[starts] - 1
     lengths = np.diff(begin, append=len(letters))
     place = np.arange(len(letters)) - np.repeat(begin, lengths)
-    summed = np.add.reduceat(_BYTE_KEYS[letters] * _place_keys(int(lengths.max()))[place], begin)
+    values = _BYTE_KEYS[letters] * _place_keys(int(lengths.max()))[place]
+    if head is not None:
+        values[place >= head] = 0
+        lengths = np.minimum(lengths, head)
+    summed = np.add.reduceat(values, begin)
     return Words(mix(summed + lengths.astype(np.uint64)), np.searchsorted(starts, ends))
 
 
