@@ -61,15 +61,19 @@ class KeyFilter:
     def __init__(self, spark, words: np.ndarray):
         self._shared = spark.sparkContext.broadcast(words)
 
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """The same for an array of keys, inside a task."""
+        filled = self._shared.value
+        word, bits = _place(keys, len(filled))
+        return (((filled[word][:, None] >> bits) & np.uint64(1)) == 1).all(axis=1)
+
     def test(self, key: Column) -> Column:
         """Whether the key is perhaps in the filter; null keys are not."""
-        shared = self._shared
+        own = self
 
         @F.pandas_udf("boolean")
         def perhaps(k):
-            filled = shared.value
-            word, bits = _place(k.to_numpy(np.int64), len(filled))
-            return pd.Series((((filled[word][:, None] >> bits) & np.uint64(1)) == 1).all(axis=1))
+            return pd.Series(own.holds(k.to_numpy(np.int64)))
         return perhaps(F.coalesce(key, F.lit(0).cast("long"))) & key.isNotNull()
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import exact_dedup, language, mixing, neighbours, pseudonyms, token_counts, tokens, toxicity
+from docweir.llm import exact_dedup, jaccard_join, language, mixing, neighbours, pseudonyms, token_counts, tokens, toxicity
 from docweir.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("found").cast("long").alias("n_found"), *map(count, pseudonyms.KINDS), "text")
 
 
+@_query()
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(_documents(spark, sf_dir))
+
+
 @_query("""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

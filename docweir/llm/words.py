@@ -121,8 +121,9 @@ def words_of(texts: pa.Array, lower: bool = False, head: int | None = None) -> W
     return Words(mix(summed + lengths.astype(np.uint64)), np.searchsorted(starts, ends))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches between rows so that a slice holds about ``limit`` bytes of text.
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20,
+           rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches between rows so that a slice holds about ``limit`` bytes of text and at most ``rows`` rows.
 
     A longer text is a slice of its own; no text is cut.
     """
@@ -133,6 +134,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
         at = 0
         while at < batch.num_rows:
             base = size[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(size, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(size, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
