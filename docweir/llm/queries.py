@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import exact_dedup, jaccard_join, language, mixing, neighbours, pseudonyms, token_counts, tokens, toxicity
+from docweir.llm import exact_dedup, jaccard_join, language, mixing, neighbours, pseudonyms, substring_dedup, token_counts, tokens, toxicity
 from docweir.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,25 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
 
 
+@_query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+h AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS h FROM p),
+m AS (SELECT *, CASE WHEN h IS NOT NULL AND min(doc_id) OVER (PARTITION BY h) < doc_id THEN i END AS starts FROM h),
+c AS (SELECT doc_id, i, word,
+             coalesce(max(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
+      FROM m),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+             sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @_query("""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
