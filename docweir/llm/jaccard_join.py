@@ -468,3 +468,18 @@ def near_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD,
         "doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, id_col: str = "doc_id",
+             text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that reach a smaller id, with all their columns.
+
+    Ids name documents: rows of one id stay or go together.  Rows with a null id go
+    if a row with an id is in reach.  Texts that surely stay are not shuffled.
+    """
+    groups = materialise(near_groups(docs, words, threshold, id_col, text), "jaccard-groups")
+    gone = groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    held = filter_of(gone.select(F.xxhash64("__gone").alias("key")), gone.count())
+    marked = docs.withColumn("__maybe", held.test(F.xxhash64(F.col(id_col))))
+    rest = marked.where("__maybe").join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return marked.where(~F.col("__maybe")).unionByName(rest).drop("__maybe")
