@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweir.llm import exact_dedup, mixing, tokens
+from docweir.llm import exact_dedup, jaccard_join, mixing, tokens, toxicity
 from docweir.session import materialise
 
+#: Documents with this probability of being toxic or more go.
+TOXIC = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic; it learns from the labels of these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = toxicity.fit(docs, labels, toxicity.confirmed_rows())
+    return toxicity.score(docs, weights, column="__toxic").where(F.col("__toxic") < TOXIC).drop("__toxic")
+
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that reach each other over near copies the one with the smallest id stays."""
+    return jaccard_join.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
@@ -24,9 +40,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+          ("mixing", mix_sources), ("byte-pair encoding", encode)]
 
-#: Byte-pair ids have no SQL form; tests/llm compares the result with a brute-force version.
+#: A trained classifier and byte-pair ids have no SQL form; tests/llm compares the result with a brute-force version.
 ORACLE_SQL = None
 
 
