@@ -17,10 +17,10 @@ def attach(large: DataFrame, small: DataFrame, key: str, spread: Column, rows: i
     large side is dealt over them by ``spread``, so that no key makes one task.
     """
     if rows <= SMALL_ROWS:
-        right = F.broadcast(small.withColumnRenamed(key, "_key"))
-        return large.join(right, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    right = (small.withColumnRenamed(key, "_key")
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    left = large.withColumn("_deal", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_salt"))
-    return left.join(right, on, "left").drop("_key", "_salt", "_deal")
+        right = F.broadcast(small.withColumnRenamed(key, "__key"))
+        return large.join(right, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    right = (small.withColumnRenamed(key, "__key")
+             .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    left = large.withColumn("__deal", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__deal") == F.col("__salt"))
+    return left.join(right, on, "left").drop("__key", "__salt", "__deal")

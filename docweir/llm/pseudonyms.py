@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from docweir.llm.words import slices
 
 ROUNDS = 10
-KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
+KINDS = ("email", "iban", "ip", "date", "card", "ssn", "phone")
 
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z])",
