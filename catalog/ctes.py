@@ -151,7 +151,7 @@ SELECT l_orderkey AS job_id, l_linenumber AS n, CAST(l_quantity * 1000 AS BIGINT
 cte("gen_docs")("""
 SELECT o_orderkey AS job_id, o_orderkey % 5 AS template_id, 'documents/' || o_orderkey AS storage_key,
   o_orderdate AS created_at, o_orderdate + INTERVAL 90 DAY AS expires_at
-FROM orders WHERE starts_with(o_orderpriority, '1')""")
+FROM orders""")
 
 
 def _paths() -> str:
@@ -161,7 +161,7 @@ def _paths() -> str:
 
 cte("corrections")(f"""
 SELECT l_orderkey AS job_id, {_paths()}[l_linenumber % 26 + 1] AS path, 'V' || l_partkey AS value,
-  l_shipdate AS ts, l_partkey * 100000 + l_suppkey AS seq FROM lineitem WHERE l_returnflag = 'R'""")
+  l_shipdate AS ts, l_partkey * 100000 + l_suppkey AS seq FROM lineitem""")
 
 cte("calls")("""
 SELECT event_id AS call_id, ts, 'key-' || (user_id % 5) AS key_id, 'provider-' || (user_id % 3) AS provider,
@@ -173,7 +173,7 @@ SELECT event_id AS call_id, ts, 'key-' || (user_id % 5) AS key_id, 'provider-' |
 
 cte("logits")("""
 SELECT vec_id AS image_id, CAST(label % 7 AS INT) AS label,
-  list_transform(list_slice(embedding, 1, 7), lambda x: CAST(x AS DOUBLE) * 10) AS logits FROM embeddings""")
+  list_transform(range(7), lambda k: round(10 * list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 7 = k), lambda x: CAST(x AS DOUBLE))), 9)) AS logits FROM embeddings""")
 
 cte("templates")("SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {q(text)})" for i, text in TEMPLATES.items()) + ") AS t(template_id, text)")

@@ -232,8 +232,6 @@ def _(spark, d):
 
 
 _core = sql_list(PERSON_PATHS + DOCUMENT_PATHS)
-SUMMARY = f"""SELECT doc_id, avg(confidence) AS overall_confidence, array_to_string(list_filter({_core}, lambda p:
-  NOT list_contains(list(CASE WHEN confidence >= 0.75 THEN path END), p)), '|') AS needs_review FROM merged GROUP BY doc_id"""
 SUMMARY = f"""SELECT doc_id, overall_confidence, array_to_string(list_filter({_core}, lambda p: NOT coalesce(list_contains(done, p), FALSE)), '|') AS needs_review
  FROM (SELECT doc_id, avg(confidence) AS overall_confidence, list(path) FILTER (confidence >= 0.75) AS done FROM merged GROUP BY doc_id)"""
 
@@ -249,11 +247,13 @@ def _(spark, d):
         "doc_id", F.array_join("needs_review", "|").alias("needs_review"), "status")
 
 
-@register("unresolved_request", sql("SELECT doc_id, array_to_string(list_slice(string_split(needs_review, '|'), 1, 5), '|') AS fields FROM summary",
+@register("unresolved_request", sql("""SELECT doc_id, r AS request, array_to_string(list_slice(fs, 5 * r + 1, 5 * r + 5), '|') AS fields FROM (
+  SELECT doc_id, fs, unnest(range((len(fs) + 4) // 5)) AS r FROM (SELECT doc_id, list_filter(string_split(needs_review, '|'), lambda x: x <> '') AS fs FROM summary))""",
                                     "golden", cands=CANDS, merged=MERGED, summary=SUMMARY))
 def _(spark, d):
-    return merge.review_summary(merge.merge_fields(candidates(spark, d))).select(
-        "doc_id", F.array_join(merge.unresolved_request(F.col("needs_review"), 5), "|").alias("fields"))
+    open_ = merge.review_summary(merge.merge_fields(candidates(spark, d)))
+    asked = open_.select("doc_id", F.posexplode(merge.unresolved_requests(F.col("needs_review"), 5)).alias("request", "fields"))
+    return asked.select("doc_id", F.col("request").cast("bigint").alias("request"), F.array_join("fields", "|").alias("fields"))
 
 
 @register("review_queue", sql("""

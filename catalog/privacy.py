@@ -148,11 +148,11 @@ def _(spark, d):
     return lifecycle.latest_corrections(i.corrections(spark, d)).select("job_id", "path", "value")
 
 
-_jf = f"SELECT job_id, unnest({sql_list(CANONICAL_PATHS[:8])}) AS path FROM jobs"
+_jf = f"SELECT job_id, unnest({sql_list(CANONICAL_PATHS)}) AS path FROM jobs"
 
 
 def _job_fields(spark, d):
-    return i.jobs(spark, d).select("job_id", F.explode(F.array(*[F.lit(p) for p in CANONICAL_PATHS[:8]])).alias("path")).select(
+    return i.jobs(spark, d).select("job_id", F.explode(F.array(*[F.lit(p) for p in CANONICAL_PATHS])).alias("path")).select(
         "job_id", "path", F.lit("old").alias("value"), F.lit("mrz").alias("source"), F.lit(0.98).alias("confidence"), F.lit(True).alias("validated"))
 
 
@@ -173,11 +173,9 @@ def _(spark, d):
     return lifecycle.too_many_files(i.uploads(spark, d))
 
 
-@register("pages_per_file", sql("SELECT job_id, n, size FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY storage_key, size) AS r FROM uploads) WHERE r <= 4", "uploads"))
+@register("pages_per_file", sql("SELECT job_id, n, size, row_number() OVER (PARTITION BY job_id ORDER BY storage_key, size) <= 4 AS accepted FROM uploads", "uploads"))
 def _(spark, d):
-    from pyspark.sql import Window
-    w = Window.partitionBy("job_id").orderBy("storage_key", "size")
-    return i.uploads(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 4").select("job_id", "n", "size")
+    return lifecycle.page_limit(i.uploads(spark, d)).select("job_id", "n", "size", "accepted")
 
 
 # --- retention ------------------------------------------------------------------------

@@ -106,16 +106,15 @@ def keys(spark, d):
 
 
 KEYS = """SELECT key_id, provider, max(ts) AS last_used_at, max(ts) + CASE arg_max(outcome, (ts, call_id)) WHEN 'quota' THEN INTERVAL 3600 SECOND
-  WHEN 'ok' THEN INTERVAL 0 SECOND ELSE INTERVAL 30 SECOND END AS available_at, CAST(substr(key_id, 5, 1) AS INT) % 2 = 0 AS real_ok FROM calls GROUP BY key_id, provider"""
+  WHEN 'ok' THEN INTERVAL 0 SECOND ELSE INTERVAL 30 SECOND END AS available_at, arg_max(outcome, (ts, call_id)) = 'ok' AS healthy, CAST(substr(key_id, 5, 1) AS INT) % 2 = 0 AS real_ok FROM calls GROUP BY key_id, provider"""
 KEYS_NOW = "2024-01-30 23:30:00"
 
 
 @register("acquire_key", sql(f"""
-SELECT request_id, coalesce((SELECT arg_min(key_id, (last_used_at, key_id)) FROM keys k WHERE k.provider = r.provider AND available_at <= TIMESTAMP '{KEYS_NOW}'
+SELECT request_id, coalesce((SELECT arg_min(key_id, (last_used_at, key_id)) FROM keys k WHERE k.provider = r.provider AND (healthy OR available_at <= TIMESTAMP '{KEYS_NOW}')
   AND (NOT is_real OR real_ok)), '') AS key_id FROM requests r""", "persons", "calls", requests=REQUESTS, keys=KEYS))
 def _(spark, d):
-    k = keys(spark, d).withColumn("state", F.lit("cooling"))
-    return routing.acquire_key(requests(spark, d), k, F.lit(KEYS_NOW).cast("timestamp")).select(
+    return routing.acquire_key(requests(spark, d), keys(spark, d), F.lit(KEYS_NOW).cast("timestamp")).select(
         "request_id", F.coalesce("key_id", F.lit("")).alias("key_id"))
 
 
@@ -210,18 +209,19 @@ def _(spark, d):
 
 
 @register("usage_rollup", sql("""
-SELECT coalesce(provider, '*') AS provider, coalesce(model, '*') AS model, coalesce(day, '*') AS day, count(*) AS calls, CAST(sum(cost_micros) AS BIGINT) AS cost_micros,
+SELECT coalesce(provider, '*') AS provider, coalesce(model, '*') AS model, coalesce(task, '*') AS task, coalesce(day, '*') AS day, count(*) AS calls, CAST(sum(cost_micros) AS BIGINT) AS cost_micros,
   CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(avg(latency_ms), 6) AS avg_latency_ms
-FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM calls) GROUP BY ROLLUP (provider, model, day)""", "calls"))
+FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM calls) GROUP BY ROLLUP (provider, model, task, day)""", "calls"))
 def _(spark, d):
     out = routing.usage_rollup(i.calls(spark, d))
-    return out.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in ("provider", "model", "day")], "calls", "cost_micros",
+    return out.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in ("provider", "model", "task", "day")], "calls", "cost_micros",
                       "tokens_in", "tokens_out", F.round("avg_latency_ms", 6).alias("avg_latency_ms"))
 
 
 @register("key_report", sql("""
-SELECT key_id, count(*) FILTER (outcome = 'ok') AS requests, count(*) FILTER (outcome <> 'ok') AS failures,
-  CAST(sum(CASE WHEN outcome = 'ok' THEN cost_micros ELSE 0 END) AS BIGINT) AS cost_micros, arg_max(outcome, (ts, call_id)) AS last_outcome FROM calls GROUP BY key_id""", "calls"))
+SELECT *, CASE last_outcome WHEN 'ok' THEN 'healthy' WHEN 'quota' THEN 'quota_exhausted' WHEN 'rate_limited' THEN 'rate_limited' ELSE 'cooling' END AS state FROM (
+SELECT provider, key_id, count(*) FILTER (outcome = 'ok') AS requests, count(*) FILTER (outcome <> 'ok') AS failures,
+  CAST(sum(CASE WHEN outcome = 'ok' THEN cost_micros ELSE 0 END) AS BIGINT) AS cost_micros, arg_max(outcome, (ts, call_id)) AS last_outcome FROM calls GROUP BY provider, key_id)""", "calls"))
 def _(spark, d):
     return routing.key_report(i.calls(spark, d))
 

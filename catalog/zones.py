@@ -235,7 +235,7 @@ def repair_ctes(parts: str = PARTS, key: str = "doc_id, name") -> dict[str, str]
         "ranked": f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ps, cs) AS rk,
             count(*) OVER (PARTITION BY {key}) AS n FROM cands""",
         "fixes": f"""SELECT p.*, coalesce(r.v, p.raw) AS value, r.v IS NOT NULL AS valid, coalesce(r.n > 1, FALSE) AS ambiguous,
-            coalesce(len(r.ps), 0) AS edits, coalesce(list_slice(l.vs, 1, 10), CAST([] AS VARCHAR[])) AS cands
+            coalesce(len(r.ps), 0) AS edits, coalesce(l.vs, CAST([] AS VARCHAR[])) AS cands
             FROM parts p LEFT JOIN (SELECT * FROM ranked WHERE rk = 1) r USING ({key})
             LEFT JOIN (SELECT {key}, list(v ORDER BY ps, cs) AS vs FROM cands GROUP BY {key}) l USING ({key})""",
     }
@@ -328,7 +328,7 @@ def composite_ctes(layout: mrz.Layout, zone: str) -> dict[str, str]:
     joins = " ".join(f"JOIN o_{n} USING (doc_id)" for n in layout.repaired)
     total = " + ".join(f"r_{n}" for n in layout.repaired)
     out["sols"] = (f"SELECT doc_id, {', '.join(layout.repaired)} FROM zc JOIN amb USING (doc_id) {joins} "
-                   f"WHERE na > 0 AND np <= 5000 AND (base + {total}) % 10 = want")
+                   f"WHERE na > 0 AND (base + {total}) % 10 = want")
     out["single"] = "SELECT *, count(*) OVER (PARTITION BY doc_id) AS ns FROM sols"
     case = " ".join(f"WHEN '{n}' THEN s.{n}" for n in layout.repaired)
     out["final"] = (f"SELECT f.* EXCLUDE (value, ambiguous), CASE WHEN f.ambiguous AND s.doc_id IS NOT NULL THEN CASE f.name {case} END ELSE f.value END AS value, "
@@ -427,7 +427,7 @@ def fields_sql(layout: mrz.Layout) -> dict[str, str]:
         _name_rows(),
         f"SELECT f.doc_id, 'documents.0.doc_number' AS path, CASE WHEN f.value <> f.raw AND NOT trusted THEN coalesce(NULLIF({display('f.raw')}, ''), {display('f.value')}) "
         f"ELSE {display('f.value')} END AS value, CASE WHEN trusted THEN 0.98 ELSE 0.4 END AS confidence, 'mrz' AS source, trusted AS validated, "
-        f"CASE WHEN f.value <> f.raw AND NOT trusted THEN array_to_string(list_transform(list_slice(cands, 1, 5), lambda c: {display('c')}), '|') ELSE '' END AS alternatives, "
+        f"CASE WHEN f.value <> f.raw AND NOT trusted THEN array_to_string(list_transform(cands, lambda c: {display('c')}), '|') ELSE '' END AS alternatives, "
         f"CASE WHEN f.value <> f.raw AND NOT trusted THEN {q(msg.UNVERIFIED_REPAIR)} ELSE '' END AS note FROM trust f WHERE name = 'doc_number'",
         entry("documents.0.expiry_date", "e", "expiry_date_t"), entry("person.birth_date", "b", "birth_date_t"),
         entry("person.sex", "sx", "(sx IS NOT NULL)"), entry("person.nationality", "nat", "TRUE"),

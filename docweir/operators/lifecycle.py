@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweir.functions.text import stage_label
 from docweir.schema import string_array
@@ -51,13 +51,22 @@ def too_many_files(uploads: DataFrame, limit: int = 4) -> DataFrame:
     return uploads.groupBy("job_id").agg(F.count("*").alias("files")).filter(F.col("files") > limit)
 
 
+def page_limit(pages: DataFrame, limit: int = 4, order: tuple[str, ...] = ("storage_key", "size")) -> DataFrame:
+    """Every page with its place among those of its job, and whether it is within the limit (T5).
+
+    Surplus pages stay in the result, marked; nothing is dropped.
+    """
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(*order))
+    return pages.withColumn("page_no", place).withColumn("accepted", F.col("page_no") <= limit)
+
+
 def _manifest(df: DataFrame, table: str, reason: str) -> DataFrame:
     key = F.col("storage_key") if "storage_key" in df.columns else F.lit("")
     return df.select(F.lit(table).alias("table"), "job_id", key.alias("storage_key"), F.lit(reason).alias("reason"))
 
 
 def retention_sweep(jobs: DataFrame, uploads: DataFrame, documents: DataFrame, now: Column) -> DataFrame:
-    """Deletion manifest: own expiry first, then rows whose job goes.
+    """Deletion manifest: own expiry first, then rows whose job goes (a row without an expiry goes with its job).
 
     Nothing is deleted here: the manifest drives an idempotent delete outside.
     """
@@ -65,7 +74,7 @@ def retention_sweep(jobs: DataFrame, uploads: DataFrame, documents: DataFrame, n
     parts = [_manifest(gone, "jobs", "expired")]
     for name, child in (("uploads", uploads), ("documents", documents)):
         parts.append(_manifest(child.filter(F.col("expires_at") < now), name, "expired"))
-        live = child.filter(F.col("expires_at") >= now)
+        live = child.filter(~F.coalesce(F.col("expires_at") < now, F.lit(False)))
         parts.append(_manifest(live.join(gone.select("job_id"), "job_id", "left_semi"), name, "cascade"))
     out = parts[0]
     for part in parts[1:]:

@@ -32,7 +32,7 @@ def merge_fields(candidates: DataFrame, keys: tuple[str, ...] = ("doc_id", "path
     """One winning value per key.
 
     A validated value wins, the earliest stage first; otherwise the highest
-    confidence wins and ties keep the earlier stage.  One aggregation whose
+    confidence wins and ties keep the earlier stage, then the smaller value.  One aggregation whose
     partial step keeps a single row per key and task, so repeated candidates
     for a hot key never travel.
     """
@@ -40,7 +40,7 @@ def merge_fields(candidates: DataFrame, keys: tuple[str, ...] = ("doc_id", "path
     order = F.struct(
         F.when(F.col("validated"), 0).otherwise(1).alias("a"),
         F.when(F.col("validated"), F.lit(0.0)).otherwise(-F.col("confidence")).alias("b"),
-        F.col(rank).alias("c"))
+        F.col(rank).alias("c"), F.col("value").alias("d"))
     best = F.min_by(F.struct(*rest), order).alias("_best")
     return candidates.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
@@ -70,9 +70,10 @@ def review_summary(fields: DataFrame, threshold: float = THRESHOLD,
                           .otherwise("ok")).drop("_done")
 
 
-def unresolved_request(needs_review: Column, limit: int = 25) -> Column:
-    """The fields one request may ask for, in schema order."""
-    return F.slice(needs_review, 1, limit)
+def unresolved_requests(needs_review: Column, limit: int = 25) -> Column:
+    """All open fields in schema order, as requests of at most ``limit`` fields each."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(needs_review), F.lit(limit)), lambda at: at < F.size(needs_review))
+    return F.transform(starts, lambda at: F.slice(needs_review, at + 1, limit))
 
 
 def review_queue(fields: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ def zone_field(path: str, value: Column, valid: Column,
         F.when(doubt, F.coalesce(F.nullif(t.mrz_to_display(correction["original"]), F.lit("")),
                                  value)).otherwise(value),
         F.when(doubt, LOW).otherwise(confidence), "mrz", sure & ~doubt,
-        F.when(doubt, F.transform(F.slice(correction["candidates"], 1, 5), t.mrz_to_display))
+        F.when(doubt, F.transform(correction["candidates"], t.mrz_to_display))
         .otherwise(string_array([])),
         F.when(doubt, F.lit(msg.UNVERIFIED_REPAIR)))
 

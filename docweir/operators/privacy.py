@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions.patterns import REDACTIONS
@@ -48,53 +47,47 @@ def redact_map(m: Column) -> Column:
         F.array_contains(keys, F.lower(k)) & v.isNotNull(), F.lit(REDACTED)).otherwise(redact_text(v)))
 
 
+def _quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _redacted(node: Column, depth: int) -> Column:
+    """JSON text of a redacted variant; objects and lists share one expression per level."""
+    if depth > MAX_DEPTH:
+        return F.lit(f'"{TRUNCATED}"')
+    kind = F.schema_of_variant(node)
+    is_object, is_list = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    member = "array<struct<key:string,value:variant>>"
+    members = F.when(is_object, F.map_entries(node.try_cast("map<string,variant>")).cast(member)).otherwise(
+        F.transform(node.try_cast("array<variant>"), lambda x: F.struct(
+            F.lit(None).cast("string").alias("key"), x.alias("value"))))
+    names = F.array(*[F.lit(k) for k in SENSITIVE_KEYS])
+
+    def shown(m: Column) -> Column:
+        private = F.array_contains(names, F.lower(m["key"])) & F.schema_of_variant(m["value"]).rlike(
+            r"^(STRING|BIGINT|BOOLEAN|DECIMAL\(\d+,0\))")
+        value = F.when(F.coalesce(private, F.lit(False)), F.lit(f'"{REDACTED}"')).otherwise(_redacted(m["value"], depth + 1))
+        return F.concat(F.when(m["key"].isNotNull(), F.concat(_quoted(m["key"]), F.lit(": "))).otherwise(""), value)
+
+    inner = F.array_join(F.transform(members, shown), ", ")
+    return (F.when(is_object | is_list, F.concat(F.when(is_object, "{").otherwise("["), inner,
+                                                 F.when(is_object, "}").otherwise("]")))
+            .when(kind == "STRING", _quoted(redact_text(node.try_cast("string"))))
+            .otherwise(F.to_json(node)))
+
+
 def redact_json(c: Column) -> Column:
-    """Redact arbitrary nested JSON text, by key name and by content.
+    """Redact nested JSON text, by key name and by content.
 
     Scalars under a sensitive key become ``<REDACTED>``; anything below eight
-    levels becomes ``<TRUNCATED>``.  The recursion has no bound a Column could
-    express, so this is an Arrow-batched UDF; text leaves are cleaned in it too.
+    levels becomes ``<TRUNCATED>``, so one expression per level is all it takes.
+    Keys come out in the order a variant keeps them (sorted).  Text that is not
+    JSON is redacted as text.
     """
-    patterns = [(p, label) for p, label in REDACTIONS]
-    sensitive, top = set(SENSITIVE_KEYS), MAX_DEPTH
-
-    def redact(batch: pd.Series) -> pd.Series:
-        import json
-        import re
-
-        rules = [(re.compile(re.sub(r"^\(\?[a-zA-Z]+\)", "", p),
-                             (re.M if "m" in flags else 0) | (re.I if "i" in flags else 0)), label)
-                 for p, label in patterns
-                 for flags in [(re.match(r"^\(\?([a-zA-Z]+)\)", p) or [None, ""])[1]]]
-
-        def clean(text):
-            for rule, label in rules:
-                text = rule.sub(label, text)
-            return text
-
-        def walk(node, depth):
-            if depth > top:
-                return "<TRUNCATED>"
-            if isinstance(node, str):
-                return clean(node)
-            if isinstance(node, dict):
-                return {k: ("<REDACTED>" if k.lower() in sensitive and isinstance(v, (str, int))
-                            else walk(v, depth + 1)) for k, v in node.items()}
-            if isinstance(node, list):
-                return [walk(v, depth + 1) for v in node]
-            return node
-
-        def one(text):
-            if text is None:
-                return None
-            try:
-                return json.dumps(walk(json.loads(text), 0), ensure_ascii=False)
-            except ValueError:
-                return clean(text)
-
-        return batch.map(one)
-
-    return F.pandas_udf(redact, "string")(c)
+    node = F.try_parse_json(c)
+    return F.when(node.isNull(), redact_text(c)).otherwise(_redacted(node, 0))
 
 
 def redact_secrets(df: DataFrame, text: str, secrets: dict[str, str]) -> DataFrame:

@@ -188,7 +188,7 @@ def choose(raw: Column, candidates: Column, conf: Column | None = None) -> Colum
             F.coalesce((F.size(ranked) > 1) & ~cheaper, F.lit(False)).alias("ambiguous"),
             edits.alias("edits"),
             F.coalesce((edits > 0) & weak(first["ps"]), F.lit(False)).alias("corroborated"),
-            F.transform(F.slice(ranked, 1, 10), lambda r: r["value"]).alias("candidates"),
+            F.transform(ranked, lambda r: r["value"]).alias("candidates"),
             F.coalesce(first["ps"], F.array().cast("array<int>")).alias("positions"))
 
     ranked = F.array_sort(F.transform(candidates, lambda c: F.struct(
@@ -227,34 +227,51 @@ def residue(value: Column, offset: Column) -> Column:
                        F.lit(0), lambda a, b: a + b) % 10
 
 
-def resolve_composite(fixes: Column, offsets: list[int], blanked: Column, digit: Column,
-                      max_combinations: int = 5000) -> Column:
+_PARTIAL = "array<struct<n:int,v:array<string>>>"
+
+
+def resolve_composite(fixes: Column, offsets: list[int], blanked: Column, digit: Column) -> Column:
     """The one combination of candidate values that satisfies the composite digit.
 
     ``fixes`` is an array of corrections, ``offsets`` where each stands in the
     composite, ``blanked`` the composite source with those fields replaced by
     filler.  Returns array<string>; NULL when none or several combinations fit.
-    A search above ``max_combinations`` is declined, as the semantics require.
+
+    Only the residue of the fields so far matters, so fields are folded over ten
+    residues, each with the number of combinations that lead to it (none, one or
+    several) and, while it is one, their values: exact for any number of
+    candidates, in ten entries.
     """
     options = F.transform(fixes, lambda c, i: F.struct(
         F.get(F.array(*[F.lit(o) for o in offsets]), i).alias("at"),
         F.when(c["ambiguous"], c["candidates"]).otherwise(F.array(c["value"])).alias("vs")))
-    product = F.aggregate(options, F.lit(1), lambda acc, o: acc * F.size(o["vs"]))
     need = F.pmod(digit.try_cast("int") - check_digit(blanked), F.lit(10))
-    # Fold field by field over (residue so far, values so far).
-    start = F.array(F.struct(F.lit(0).alias("r"), F.array().cast("array<string>").alias("v")))
-    partial = F.aggregate(options, start, _extend)
-    hits = F.filter(partial, lambda s: s["r"] % 10 == need)
-    solved = let(hits, lambda h: F.when(F.size(h) == 1, F.get(h, F.lit(0))["v"]))
-    return F.when((product <= max_combinations)
-                  & F.coalesce(digit.rlike("^[0-9]$"), F.lit(False)), solved)
+    start = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda r: F.struct(
+        F.when(r == 0, 1).otherwise(0).alias("n"), F.array().cast("array<string>").alias("v"))).cast(_PARTIAL)
+    folded = F.aggregate(options, start, _extend)
+    end = F.get(folded, need)
+    return F.when(F.coalesce(digit.rlike("^[0-9]$"), F.lit(False)) & (end["n"] == 1), end["v"])
 
 
 def _extend(partial: Column, option: Column) -> Column:
+    """Ten residues with one more field: every way to split a residue between what was and the field."""
     scored = F.transform(option["vs"], lambda v: F.struct(residue(v, option["at"]).alias("r"), v.alias("v")))
-    return let(scored, lambda s: F.flatten(F.transform(partial, lambda p: F.transform(
-        s, lambda o: F.struct((p["r"] + o["r"]).alias("r"),
-                              F.concat(p["v"], F.array(o["v"])).alias("v"))))))
+    tens = F.sequence(F.lit(0), F.lit(9))
+
+    def own(s: Column) -> Column:
+        return F.transform(tens, lambda r: let(F.filter(s, lambda x: x["r"] == r), lambda hit: F.struct(
+            F.least(F.size(hit), F.lit(2)).alias("n"), F.get(hit, F.lit(0))["v"].alias("v"))))
+
+    def joined(field: Column) -> Column:
+        def ways(r: Column) -> Column:
+            return F.filter(F.transform(partial, lambda p, a: let(F.get(field, F.pmod(r - a, F.lit(10))), lambda o: F.struct(
+                (p["n"] * o["n"]).alias("n"), F.concat(p["v"], F.array(o["v"])).alias("v")))), lambda w: w["n"] > 0)
+
+        return F.transform(tens, lambda r: let(ways(r), lambda w: F.struct(
+            F.least(F.aggregate(w, F.lit(0), lambda acc, x: acc + x["n"]), F.lit(2)).alias("n"),
+            F.coalesce(F.get(w, F.lit(0))["v"], F.array().cast("array<string>")).alias("v")))).cast(_PARTIAL)
+
+    return let(own(scored), joined)
 
 
 def apply_solution(correction: Column, solution: Column, index: Column) -> Column:

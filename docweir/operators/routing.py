@@ -32,8 +32,10 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, now: Column) -> DataFram
 
 
 def calls_to_make(looked_up: DataFrame) -> DataFrame:
-    """One paid call per distinct missing key."""
-    return looked_up.filter("outcome = 'miss'").dropDuplicates(["cache_key"])
+    """One paid call per distinct missing key: that of the smallest request."""
+    rest = [c for c in looked_up.columns if c != "cache_key"]
+    first = looked_up.filter("outcome = 'miss'").groupBy("cache_key").agg(F.min(F.struct(*rest)).alias("_r"))
+    return first.select("cache_key", "_r.*").select(*looked_up.columns)
 
 
 def cache_stats(looked_up: DataFrame, *by: str) -> DataFrame:
@@ -134,20 +136,28 @@ def budget_gate(calls: DataFrame, daily_micros: int, monthly_micros: int) -> Dat
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
-    """Cost, tokens and latency at provider / model / day levels and in total."""
-    return calls.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).rollup("provider", "model", "day").agg(
+    """Cost, tokens and latency at provider / model / task / day levels and in total."""
+    return calls.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).rollup("provider", "model", "task", "day").agg(
         F.count("*").alias("calls"), F.sum("cost_micros").alias("cost_micros"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
         F.avg("latency_ms").alias("avg_latency_ms"))
 
 
 def key_report(calls: DataFrame) -> DataFrame:
-    """Requests, failures and cost per key; never a secret."""
+    """Requests, failures, cost and state per provider and key; never a secret."""
     ok = F.col("outcome") == "ok"
-    return calls.drop("secret").groupBy("key_id").agg(
+    out = calls.drop("secret").groupBy("provider", "key_id").agg(
         F.count_if(ok).alias("requests"), F.count_if(~ok).alias("failures"),
         F.sum(F.when(ok, F.col("cost_micros")).otherwise(0)).alias("cost_micros"),
         F.max_by("outcome", F.struct("ts", "call_id")).alias("last_outcome"))
+    return out.withColumn("state", key_state(F.col("last_outcome")))
+
+
+def key_state(outcome: Column) -> Column:
+    """State in which a call leaves its key."""
+    return (F.when(outcome == "ok", "healthy").when(outcome == "invalid_key", "invalid")
+            .when(outcome == "quota", "quota_exhausted").when(outcome == "rate_limited", "rate_limited")
+            .when(outcome == "bad_request", "unchanged").otherwise("cooling"))
 
 
 # --- key health and circuit breaker -----------------------------------------------
@@ -188,9 +198,7 @@ def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     table = F.array(*[nxt(s) for s in range(_BACKOFF_STATES)])
     out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], order, "_f", _BACKOFF_STATES, "failures", start=carry)
     kind = F.col("outcome")
-    return (out.withColumn("state", F.when(kind == "ok", "healthy").when(kind == "invalid_key", "invalid")
-                           .when(kind == "quota", "quota_exhausted").when(kind == "rate_limited", "rate_limited")
-                           .when(kind == "bad_request", "unchanged").otherwise("cooling"))
+    return (out.withColumn("state", key_state(kind))
             .withColumn("cooldown_s", F.when(kind == "quota", QUOTA_SECONDS).when(kind == "rate_limited", RATE_SECONDS)
                         .when(kind == "unavailable", F.least(F.pow(F.lit(2), "failures"), F.lit(BACKOFF_LIMIT)))
                         .otherwise(0).cast("int")).drop("prev", "_f", scan.PART))
