@@ -238,7 +238,7 @@ HEALTH = {
 
 
 @register("key_health", sql("""
-SELECT call_id, least(c, 9) AS failures, CASE outcome WHEN 'ok' THEN 'healthy' WHEN 'quota' THEN 'quota_exhausted' WHEN 'rate_limited' THEN 'rate_limited' ELSE 'cooling' END AS state,
+SELECT call_id, c AS failures, CASE outcome WHEN 'ok' THEN 'healthy' WHEN 'quota' THEN 'quota_exhausted' WHEN 'rate_limited' THEN 'rate_limited' ELSE 'cooling' END AS state,
   CAST(CASE outcome WHEN 'quota' THEN 3600 WHEN 'rate_limited' THEN 30 WHEN 'ok' THEN 0 ELSE least(pow(2, least(c, 9)), 300) END AS INT) AS cooldown_s FROM f""", "calls", **HEALTH))
 def _(spark, d):
     return routing.key_health(i.calls(spark, d)).select("call_id", "failures", "state", "cooldown_s")
@@ -252,7 +252,7 @@ BREAKER = {
 }
 
 
-@register("circuit_breaker", sql("SELECT call_id, least(c, 5) AS failures, c >= 5 AS open FROM f", "calls", **BREAKER))
+@register("circuit_breaker", sql("SELECT call_id, c AS failures, c >= 5 AS open FROM f", "calls", **BREAKER))
 def _(spark, d):
     return routing.circuit_breaker(i.calls(spark, d)).select("call_id", "failures", "open")
 

@@ -91,14 +91,14 @@ def _halves(spark, d, name):
     return spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(src)
 
 
-@register("stream_key_health", sql("SELECT call_id, least(c, 9) AS failures FROM f", "calls", **HEALTH))
+@register("stream_key_health", sql("SELECT call_id, c AS failures FROM f", "calls", **HEALTH))
 def _(spark, d):
     out = scratch_path(spark, "docweir-streams/health")
     jobs.stream_key_health(_halves(spark, d, "health"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return jobs.read_batches(spark, f"{out}/rows").select("call_id", "failures")
 
 
-@register("stream_circuit_breaker", sql("SELECT call_id, least(c, 5) AS failures, c >= 5 AS open FROM f", "calls", **BREAKER))
+@register("stream_circuit_breaker", sql("SELECT call_id, c AS failures, c >= 5 AS open FROM f", "calls", **BREAKER))
 def _(spark, d):
     out = scratch_path(spark, "docweir-streams/breaker")
     jobs.stream_circuit_breaker(_halves(spark, d, "breaker"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()

@@ -115,7 +115,7 @@ def running_spend(calls: DataFrame) -> DataFrame:
     """Adds spend before each call in its day and month (UTC), in micro-dollars."""
     order = ["ts", "call_id"]
     by_day = scan.running_total(_dated(calls, order), ["day"], order, "cost_micros", "spent_day")
-    return scan.running_total(by_day, ["month"], order, "cost_micros", "spent_month").drop(scan.PART)
+    return scan.running_total(by_day, ["month"], order, "cost_micros", "spent_month").drop(scan.PART, scan.AT)
 
 
 def budget_gate(calls: DataFrame, daily_micros: int, monthly_micros: int) -> DataFrame:
@@ -132,7 +132,7 @@ def budget_gate(calls: DataFrame, daily_micros: int, monthly_micros: int) -> Dat
     by_month = scan.running_total(marked, ["month"], order, "_cost", "spent_month")
     return (by_month.withColumn("accepted", F.col("_ok") & (F.col("spent_month") < monthly_micros))
             .withColumn("near_limit", F.least("spent_day", F.lit(daily_micros)) >= 0.8 * daily_micros)
-            .drop("_ok", "_cost", scan.PART))
+            .drop("_ok", "_cost", scan.PART, scan.AT))
 
 
 def usage_rollup(calls: DataFrame) -> DataFrame:
@@ -174,19 +174,25 @@ def _gap_seconds() -> Column:
 
 
 def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``failures`` (capped count), ``state`` and ``cooldown_s`` after each call.
+    """Adds ``failures`` (the whole count), ``state`` and ``cooldown_s`` after each call.
 
     An expired cool-down resets the count before the call is recorded; success
-    resets it; a bad request changes nothing.  The count only matters up to the
-    point where the back-off reaches its limit, so the key is a ten-state machine.
+    resets it; a bad request changes nothing.  A failure with a ``retry_after``
+    (seconds, if the table has that column) waits so long.  The wait depends on the
+    count only up to the limit of the back-off, so a ten-state machine finds the
+    resets and the count runs on from there.
     ``carry`` (key_id, prev, state) continues from an earlier batch.
     """
+    if "retry_after" not in calls.columns:
+        return key_health(calls.withColumn("retry_after", F.lit(None).cast("double")), carry).drop("retry_after")
     order = ["ts", "call_id"]
-    seen = scan.previous(calls, ["key_id"], order, ["ts", "outcome"], F.col("outcome") != "bad_request", carry)
+    seen = scan.previous(calls, ["key_id"], order, ["ts", "outcome", "retry_after"],
+                         F.col("outcome") != "bad_request", carry)
     gap, before = _gap_seconds(), F.col("prev.outcome")
 
     def nxt(s: int) -> Column:
         wait = (F.when(before == "ok", F.lit(float("inf"))).when(before == "invalid_key", F.lit(float("inf")))
+                .when(F.col("prev.retry_after").isNotNull(), F.col("prev.retry_after"))
                 .when(before == "quota", F.lit(float(QUOTA_SECONDS)))
                 .when(before == "rate_limited", F.lit(float(RATE_SECONDS)))
                 .otherwise(F.lit(float(min(2 ** s, BACKOFF_LIMIT)))))
@@ -196,16 +202,30 @@ def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
                 .otherwise(F.least(base + 1, F.lit(_BACKOFF_STATES - 1)))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(_BACKOFF_STATES)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], order, "_f", _BACKOFF_STATES, "failures", start=carry)
+    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], order, "_f", _BACKOFF_STATES, "_low", start=carry)
+    counted = ~F.col("outcome").isin("ok", "bad_request")
+    out = _whole_count(out, "key_id", order, counted, _BACKOFF_STATES - 1, carry)
     kind = F.col("outcome")
     return (out.withColumn("state", key_state(kind))
-            .withColumn("cooldown_s", F.when(kind == "quota", QUOTA_SECONDS).when(kind == "rate_limited", RATE_SECONDS)
-                        .when(kind == "unavailable", F.least(F.pow(F.lit(2), "failures"), F.lit(BACKOFF_LIMIT)))
-                        .otherwise(0).cast("int")).drop("prev", "_f", scan.PART))
+            .withColumn("cooldown_s", F.when(~kind.isin("ok", "bad_request", "invalid_key") & F.col("retry_after").isNotNull(), F.col("retry_after"))
+                        .when(kind == "quota", QUOTA_SECONDS).when(kind == "rate_limited", RATE_SECONDS)
+                        .when(kind == "unavailable", F.least(F.pow(F.lit(2), F.least("failures", F.lit(_BACKOFF_STATES - 1))), F.lit(BACKOFF_LIMIT)))
+                        .otherwise(0).cast("int")).drop("prev", "_f", scan.PART, scan.AT))
+
+
+def _whole_count(rows: DataFrame, key: str, order: list[str], counted: Column, top: int, carry: DataFrame | None) -> DataFrame:
+    """The count behind a state ``_low`` that stops at ``top``: it runs on with every counted call since it was last below."""
+    out = scan.since(rows, [key], order, counted.cast("int"), F.col("_low") < top, "_run")
+    first = F.lit(None).cast("long")
+    if carry is not None:
+        out = scan._joined(out, carry.select(key, F.col("state").cast("long").alias("_was")), [key], [], "left")
+        first = F.col("_was")
+    above = F.when(F.col("_run.seen") | (F.coalesce(first, F.lit(0)) < top), F.lit(top - 1)).otherwise(first) + F.col("_run.total")
+    return out.withColumn("failures", F.when(F.col("_low") < top, F.col("_low").cast("long")).otherwise(above)).drop("_run", "_low", "_was")
 
 
 def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``failures`` (capped at the threshold) and ``open`` per provider after each call."""
+    """Adds ``failures`` (the whole count) and ``open`` per provider after each call."""
     order = ["ts", "call_id"]
     top = BREAKER_THRESHOLD
     seen = scan.previous(calls, ["provider"], order, ["ts", "outcome"], F.lit(True), carry)
@@ -216,8 +236,9 @@ def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFra
         return F.when(F.col("outcome") == "ok", 0).otherwise(F.least(base + 1, F.lit(top))).cast("int")
 
     table = F.array(*[nxt(s) for s in range(top + 1)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], order, "_f", top + 1, "failures", start=carry)
-    return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f", scan.PART)
+    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], order, "_f", top + 1, "_low", start=carry)
+    out = _whole_count(out, "provider", order, F.col("outcome") != "ok", top, carry)
+    return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f", scan.PART, scan.AT)
 
 
 # --- prompts ------------------------------------------------------------------------

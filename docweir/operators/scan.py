@@ -12,34 +12,71 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docweir.session import materialise
 
-PART = "_part"
+PART, AT = "_part", "_at"
 
 
 def ordered_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows with the number of their range part, monotone in (keys, order).
+    """Rows with the number of their range part and their own place, both monotone in (keys, order).
 
-    The rows are written once, because later steps join on the part number and
-    a second sampling could draw other boundaries.
+    The place is unique, so rows with equal or null keys and orders stay apart.
+    The rows are written once, because later steps join on part and place and a
+    second sampling could draw other boundaries.
     """
     if PART in df.columns:
         return df
-    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-    return materialise(ranged.withColumn(PART, F.spark_partition_id()), "ordered-parts")
+    columns = [F.col(c) for c in [*keys, *order]]
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    return materialise(ranged.withColumns({PART: F.spark_partition_id(), AT: F.monotonically_increasing_id()}), "ordered-parts")
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], exact: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, nulls equal, and on ``exact``, which are never null."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in [*keys, *exact]],
+                         *[c for c in right.columns if c not in {*keys, *exact}])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    for k in exact:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in [*keys, *exact]])
+
+
+def _before(keys: list[str], order: str) -> Window:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over earlier rows of the same key.
 
     ``value`` should be integral so that the order of addition cannot matter.
-    The part number stays in the result, for a further scan in the same order.
+    Part and place stay in the result, for a further scan in the same order.
     """
     rows = ordered_parts(df, keys, order)
-    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, PART).agg(F.sum(value).alias("_t"))
-    prefix = totals.withColumn("_p", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("_i", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(prefix, keys + [PART]).withColumn(out, F.col("_p") + F.col("_i")).drop("_p", "_i")
+    prefix = totals.withColumn("_p", F.coalesce(F.sum("_t").over(_before(keys, PART)), F.lit(0))).drop("_t")
+    summed = rows.withColumn("_i", F.coalesce(F.sum(value).over(_before([*keys, PART], AT)), F.lit(0)))
+    return _joined(summed, prefix, keys, [PART]).withColumn(out, F.col("_p") + F.col("_i")).drop("_p", "_i")
+
+
+def since(df: DataFrame, keys: list[str], order: list[str], value: Column, reset: Column, out: str) -> DataFrame:
+    """Adds ``out``: struct of ``total``, the sum of ``value`` after the last row so far where ``reset`` holds, and ``seen``.
+
+    ``seen`` tells whether there was such a row; before it the total runs from the
+    key's first row.  Only part rows are looked at across parts.
+    """
+    rows = ordered_parts(df, keys, order).withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")).withColumn(
+        "_z", F.coalesce(reset, F.lit(False)))
+    upto = Window.partitionBy(*keys, PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", F.sum("_v").over(upto)).withColumn("_m", F.max(F.when(F.col("_z"), F.col("_c"))).over(upto))
+    parts = rows.groupBy(*keys, PART).agg(F.sum("_v").alias("_t"), F.max("_m").alias("_l"))
+    back = _before(keys, PART)
+    # Totals of the parts before this one, and what of them lies before the last reset among them.
+    parts = (parts.withColumn("_b", F.coalesce(F.sum("_t").over(back), F.lit(0)))
+             .withColumn("_x", F.last(F.when(F.col("_l").isNotNull(), F.col("_b") + F.col("_l")), ignorenulls=True).over(back))
+             .select(*keys, PART, "_b", "_x"))
+    last = F.coalesce(F.col("_b") + F.col("_m"), F.col("_x"))
+    found = F.struct((F.col("_b") + F.col("_c") - F.coalesce(last, F.lit(0))).alias("total"), last.isNotNull().alias("seen"))
+    return _joined(rows, parts, keys, [PART]).withColumn(out, found).drop("_v", "_z", "_c", "_m", "_b", "_x")
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], keep: Column,
@@ -51,14 +88,12 @@ def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str]
     forward over part rows only.
     """
     rows = ordered_parts(df, keys, order).withColumn("_e", F.when(keep, F.struct(*values)))
-    lasts = rows.groupBy(*keys, PART).agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.struct(*order))).alias("_l"))
-    back = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.withColumn("_c", F.last("_l", ignorenulls=True).over(back)).drop("_l")
-    inside = Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = (rows.withColumn("_i", F.last("_e", ignorenulls=True).over(inside))
-           .join(carried, keys + [PART]).withColumn("_p", F.coalesce("_i", "_c")))
+    lasts = rows.groupBy(*keys, PART).agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.col(AT))).alias("_l"))
+    carried = lasts.withColumn("_c", F.last("_l", ignorenulls=True).over(_before(keys, PART))).drop("_l")
+    inside = rows.withColumn("_i", F.last("_e", ignorenulls=True).over(_before([*keys, PART], AT)))
+    out = _joined(inside, carried, keys, [PART]).withColumn("_p", F.coalesce("_i", "_c"))
     if carry is not None:
-        out = out.join(carry.select(*keys, F.col("prev").alias("_before")), keys, "left") \
+        out = _joined(out, carry.select(*keys, F.col("prev").alias("_before")), keys, [], "left") \
             .withColumn("_p", F.coalesce("_p", "_before")).drop("_before")
     return out.withColumn("prev", F.col("_p")).drop("_e", "_i", "_c", "_p")
 
@@ -75,9 +110,8 @@ def state_scan(df: DataFrame, keys: list[str], order: list[str], transition: str
     parts to keys; start states then travel back down the same levels.  Every
     collected array is bounded by ``chunk`` or by the number of parts.
     """
-    rows = ordered_parts(df, keys, order)
-    df = rows
-    number = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*order)) - 1
+    rows = df = ordered_parts(df, keys, order)
+    number = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(AT)) - 1
     rows = rows.withColumn("_n", number).withColumns({
         "_g2": F.floor(F.col("_n") / chunk ** 3), "_g1": F.floor(F.col("_n") / chunk ** 2),
         "_g0": F.floor(F.col("_n") / chunk)})
@@ -90,7 +124,7 @@ def state_scan(df: DataFrame, keys: list[str], order: list[str], transition: str
 
     # Upwards: one composed transition per group of every level.
     pieces = rows.groupBy(*keys, *levels).agg(F.array_sort(F.collect_list(
-        F.struct(*order, F.col(transition).alias("_f")))).alias("_items"))
+        F.struct(AT, F.col(transition).alias("_f")))).alias("_items"))
     ladder = [pieces]
     for depth in range(len(levels) - 1, -1, -1):
         maps = ladder[-1].withColumn("_f", reduced(F.col("_items")))
@@ -99,17 +133,16 @@ def state_scan(df: DataFrame, keys: list[str], order: list[str], transition: str
     # Downwards: the state in which each group, and finally each row, starts.
     starts = ladder[-1].withColumn("_s", F.lit(0))
     if start is not None:
-        starts = ladder[-1].join(start.select(*keys, F.col("state").cast("int").alias("_s")), keys, "left") \
-            .withColumn("_s", F.coalesce("_s", F.lit(0)))
+        known = start.select(*keys, F.least(F.col("state"), F.lit(states - 1)).cast("int").alias("_s"))
+        starts = _joined(ladder[-1], known, keys, [], "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
     for depth, level in enumerate(levels):
         child = starts.select(*keys, *levels[:depth], F.inline(F.transform(
             _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(
                 x["row"][level].alias(level), x["before"].alias("_s")))))
-        starts = ladder[len(levels) - 1 - depth].join(child, keys + levels[:depth + 1])
-    walked = starts.select(*keys, F.inline(F.transform(
-        _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(
-            *[x["row"][o].alias(o) for o in order], x["after"].alias(out)))))
-    return df.join(walked, keys + order)
+        starts = _joined(ladder[len(levels) - 1 - depth], child, keys, levels[:depth + 1])
+    walked = starts.select(F.inline(F.transform(
+        _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(x["row"][AT].alias(AT), x["after"].alias(out)))))
+    return df.join(walked, AT)
 
 
 def _walk(items: Column, start: Column) -> Column:

@@ -38,6 +38,7 @@ class CascadeResult:
     documents: DataFrame
     warnings: DataFrame
     requests: DataFrame
+    rejected: DataFrame | None = None
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -58,35 +59,46 @@ def zone_stage(lines: DataFrame, today: Column) -> DataFrame:
 
 
 def open_requests(merged: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, fields): what each document still lacks, at most one request long."""
+    """(doc_id, fields): everything a document still lacks, in schema order; diplomas have education fields too."""
     done = merged.filter(merge.resolved(threshold)).groupBy("doc_id").agg(
         F.collect_set("path").alias("_done"))
-    open_ = documents.join(done, "doc_id", "left").select("doc_id", merge.unresolved_request(
-        F.array_except(merge.paths_for(), F.coalesce("_done", string_array([])))).alias("fields"))
+    kind = F.coalesce("doc_type", F.lit("")) if "doc_type" in documents.columns else None
+    open_ = documents.join(done, "doc_id", "left").select("doc_id", F.array_except(
+        merge.paths_for(kind), F.coalesce("_done", string_array([]))).alias("fields"))
     return open_.filter(F.size("fields") > 0)
 
 
 def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
-            config: CascadeConfig = CascadeConfig(), image_replies: DataFrame | None = None) -> CascadeResult:
+            config: CascadeConfig = CascadeConfig(), image_replies: DataFrame | None = None,
+            doc_types: DataFrame | None = None) -> CascadeResult:
     """Run all stages over ``lines`` (doc_id, line_no, text).
 
+    ``doc_types`` (doc_id, doc_type) opens the education fields of diplomas.
+    ``requests`` has all open fields, in batches of at most 25 (doc_id, request,
+    fields); ``rejected`` the answers that the text does not bear out.
+
     ``replies`` and ``image_replies`` (doc_id, reply) hold what a model answered
     to the requests, read back from where they were written: a paid call never
     sits inside a plan that may be retried.  Documents refused before
     recognition must be filtered out by the caller (see ``admit``).
     """
     documents = lines.select("doc_id").distinct()
+    if doc_types is not None:
+        documents = documents.join(doc_types.select("doc_id", "doc_type"), "doc_id", "left")
+    kind = F.coalesce("doc_type", F.lit("")) if doc_types is not None else None
+    rejected = None
     # Zones and the free stages feed several later branches; writing each once
     # keeps the plans short and survives the loss of an executor.
     zones = zone_stage(lines, today).select("doc_id", "fields", "warnings")
     if config.materialise:
         zones = materialise(zones, "zones")
     zone_rows = mrz.explode_fields(zones, "doc_id")
-    allowed = F.array_contains(merge.paths_for(), F.col("path"))
+    allowed = F.array_contains(merge.paths_for(kind), F.col("path"))
     stages = zones.select("doc_id", F.lit(0).alias("n"), F.lit("L0_mrz").alias("stage"))
     pool = _ranked(zone_rows)
     if config.use_rules:
-        found = rules.map_by_rules(lines, config.whole_word_labels).filter(allowed)
+        found = rules.map_by_rules(lines, config.whole_word_labels)
+        found = (found if doc_types is None else found.join(documents, "doc_id")).filter(allowed)
         pool = pool.unionByName(_ranked(_as_candidates(found, "ocr_visual", config.rule_confidence)))
     first = merge.merge_fields(pool)
     if config.materialise:
@@ -94,11 +106,13 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
     stages = stages.unionByName(first.filter("source = 'ocr_visual'").select(
         "doc_id", F.lit(1).alias("n"), F.lit("L1_rules").alias("stage")).distinct())
     requests = open_requests(first, documents, config.threshold)
+    batched = requests.select("doc_id", F.posexplode(merge.unresolved_requests(F.col("fields"))).alias("request", "fields"))
     merged = first
     if config.use_replies and replies is not None:
         texts = merge.ocr_text(lines)
         answered = _answers(grounding.parse_reply(replies), requests)
         checked = grounding.ground(answered, texts, config.fuzzy_threshold)
+        rejected = checked.filter(~F.col("accepted"))
         kept = checked.filter(F.col("accepted") & ~is_empty(F.col("value")))
         merged = merge.merge_fields(merged.unionByName(_ranked(
             _as_candidates(kept, "llm_text", config.text_confidence))))
@@ -115,14 +129,15 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
 
     used = stages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(
         F.struct("n", "stage"))), lambda s: s["stage"]).alias("stages_used"))
-    summary = documents.join(merge.review_summary(merged, config.threshold), "doc_id", "left").join(
-        used, "doc_id", "left")
+    typed = merged if doc_types is None else merged.join(documents, "doc_id", "left")
+    reviewed = merge.review_summary(typed, config.threshold, kind).drop("doc_type")
+    summary = documents.join(reviewed, "doc_id", "left").join(used, "doc_id", "left")
     summary = (summary
                .withColumn("overall_confidence", F.coalesce("overall_confidence", F.lit(0.0)))
-               .withColumn("needs_review", F.coalesce("needs_review", merge.paths_for()))
+               .withColumn("needs_review", F.coalesce("needs_review", merge.paths_for(kind)))
                .withColumn("status", F.coalesce("status", F.lit("review_needed")))
                .withColumn("stages_used", F.coalesce("stages_used", string_array([]))))
-    return CascadeResult(merged, summary, warnings(zones, zone_rows, merged, lines, today, config), requests)
+    return CascadeResult(merged, summary, warnings(zones, zone_rows, merged, lines, today, config), batched, rejected)
 
 
 def _answers(parsed: DataFrame, requests: DataFrame) -> DataFrame:

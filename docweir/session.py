@@ -56,15 +56,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used before paid or non-repeatable work so that a lost executor re-reads
-    files instead of re-running the plan above them.
+    files instead of re-running the plan above them.  Once the files are written
+    the shuffles that led to them are of no more use, so Spark is asked to delete
+    them when the write ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"docweir/{name}")
-    df.write.mode("errorifexists").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

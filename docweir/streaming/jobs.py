@@ -81,7 +81,8 @@ def spend_by_month(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.sum("cost_micros").alias("cost_micros"))
 
 
-def _machine(calls: DataFrame, key: str, fold, kept: Column, out: str, checkpoint: str) -> StreamingQuery:
+def _machine(calls: DataFrame, key: str, fold, kept: Column, out: str, checkpoint: str,
+             fields: tuple[str, ...] = ("ts", "outcome")) -> StreamingQuery:
     state_path = f"{out}-state"
 
     def step(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -91,7 +92,7 @@ def _machine(calls: DataFrame, key: str, fold, kept: Column, out: str, checkpoin
         folded = fold(batch, carry)
         order = F.struct("ts", "call_id")
         state = folded.groupBy(key).agg(
-            F.max_by(F.when(kept, F.struct("ts", "outcome")), F.when(kept, order)).alias("prev"),
+            F.max_by(F.when(kept, F.struct(*[c if c in folded.columns else F.lit(None).cast("double").alias(c) for c in fields])), F.when(kept, order)).alias("prev"),
             F.max_by("failures", order).alias("state"))
         if carry is not None:
             # A batch of bad requests only leaves the earlier failure in force.
@@ -106,7 +107,8 @@ def _machine(calls: DataFrame, key: str, fold, kept: Column, out: str, checkpoin
 
 def stream_key_health(calls: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Key state after each call, continued across micro-batches that arrive in time order."""
-    return _machine(calls, "key_id", routing.key_health, F.col("outcome") != "bad_request", out, checkpoint)
+    return _machine(calls, "key_id", routing.key_health, F.col("outcome") != "bad_request", out, checkpoint,
+                    ("ts", "outcome", "retry_after"))
 
 
 def stream_circuit_breaker(calls: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

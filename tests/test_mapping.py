@@ -108,3 +108,17 @@ def test_nested_round_trip(spark):
     df = spark.createDataFrame(rows, "doc_id string, path string, value string, confidence double, source string, validated boolean")
     back = merge.flatten_result(merge.unflatten(df)).filter("value is not null")
     assert {(r["path"], r["value"], r["validated"]) for r in back.collect()} == {("person.name.surname_latin", "X", False), ("documents.0.doc_number", "Y", True)}
+
+
+def test_cascade_keeps_education_and_rejected_answers(spark):
+    docs = {"1": ["Familiyasi: KARIMOV", "Universitet: TOSHKENT UNIVERSITETI"], "2": ["Universitet: BOSHQA"]}
+    replies = spark.createDataFrame([("1", '{"person.pinfl": "31503950012345"}')], "doc_id string, reply string")
+    types = spark.createDataFrame([("1", "diploma_supplement"), ("2", "id_front")], "doc_id string, doc_type string")
+    out = cascade.cascade(lines_df(spark, docs), replies, F.lit("2026-01-01").cast("date"), doc_types=types)
+    education = out.fields.filter(F.col("path").startswith("education.") & F.col("value").isNotNull())
+    assert {r.doc_id for r in education.collect()} == {"1"}
+    review = {r.doc_id: r.needs_review for r in out.documents.collect()}
+    assert any(p.startswith("education.") for p in review["1"]) and not any(p.startswith("education.") for p in review["2"])
+    asked = {(r.doc_id, p) for r in out.requests.collect() for p in r.fields}
+    assert {p for d, p in asked if d == "1"} >= set(review["1"]) - {"documents.0.doc_number"}
+    assert [(r.doc_id, r.path) for r in out.rejected.collect()] == [("1", "person.pinfl")]
