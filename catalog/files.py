@@ -69,7 +69,7 @@ def archives(spark, d):
                 if k % 5 == 0:
                     z.writestr("../evil.txt", "x")
                 if k % 7 == 0:
-                    z.writestr("zeros.bin", "0" * 300000)
+                    z.writestr("zeros.bin", "0" * 9_000_000)
             out.append(buffer.getvalue())
         return pd.Series(out)
 
@@ -77,11 +77,10 @@ def archives(spark, d):
 
 
 @register("archive_safety", sql("""
-SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 7 = 0 THEN 'big' END, CASE WHEN page_id % 5 = 0 THEN 'path traversal' END,
-  CASE WHEN page_id % 3 = 0 THEN 'macro or active content' END], lambda x: x IS NOT NULL AND x <> 'big'), '|') AS reasons FROM pages"""))
+SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 7 = 0 THEN 'suspicious compression ratio' END, CASE WHEN page_id % 5 = 0 THEN 'path traversal' END,
+  CASE WHEN page_id % 3 = 0 THEN 'macro or active content' END], lambda x: x IS NOT NULL), '|') AS reasons FROM pages"""))
 def _(spark, d):
-    out = files.archive_safety(archives(spark, d))
-    return out.select("page_id", F.array_join(F.array_remove("reasons", "suspicious compression ratio"), "|").alias("reasons"))
+    return files.archive_safety(archives(spark, d)).select("page_id", F.array_join("reasons", "|").alias("reasons"))
 
 
 @register("archive_format", sql("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'docm' ELSE 'docx' END AS format FROM pages"))
@@ -91,11 +90,11 @@ def _(spark, d):
 
 @register("image_quality")
 def _(spark, d):
-    """Page bytes read as grey pictures 64 pixels wide."""
-    raw = i.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("b")).filter(F.length("b") >= 64)
-    rows = F.floor(F.length("b") / 64).cast("int")
+    """Page bytes read as grey pictures 64 pixels wide; the last row is filled with zeros."""
+    raw = i.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
+    rows = F.greatest(F.ceil(F.length("b") / 64), F.lit(1)).cast("int")
     images = raw.select("page_id", rows.alias("height"), F.lit(64).alias("width"), F.lit(1).alias("channels"),
-                        F.substring(F.col("b"), F.lit(1), rows * 64).alias("data"))
+                        F.rpad(F.col("b"), rows * 64, F.lit(b"\x00")).alias("data"))
     from docweir.operators import gates
     return gates.quality_gate(files.image_quality(images)).select(
         "page_id", F.round("blur_score", 3).alias("blur_score"), F.round("brightness", 3).alias("brightness"), "moire_detected", "is_acceptable")
