@@ -171,16 +171,18 @@ _FILTER = {
 
 def render_sql(text: str) -> str:
     """One literal template as a SQL expression over a person row."""
-    text = re.sub(r"\{%tr for .*?%\}.*?\{%tr endfor %\}", "", text)
     out, at = [], 0
-    block = re.compile(r"\{% if ([\w.]+) == '(\w)' %\}(.*?)\{% else %\}(.*?)\{% endif %\}|\{\{\s*([^}]+?)\s*\}\}", re.S)
+    block = re.compile(r"\{%tr for s in [\w.]+ %\}\{\{ s\.name \}\}(?P<loop>\{%tr endfor %\})|\{% if ([\w.]+) == '(\w)' %\}(.*?)\{% else %\}(.*?)\{% endif %\}|\{\{\s*([^}]+?)\s*\}\}", re.S)
     for m in block.finditer(text):
         out.append(q(text[at:m.start()]))
         at = m.end()
-        if m.group(1):
-            out.append(f"(CASE WHEN {_PATH[m.group(1)]} = {q(m.group(2))} THEN {q(m.group(3))} ELSE {q(m.group(4))} END)")
+        if m["loop"]:
+            out.append("(CASE WHEN doc_id % 3 = 0 THEN '' ELSE surname || given END)")
             continue
-        parts = [x.strip() for x in m.group(5).split("|")]
+        if m.group(2):
+            out.append(f"(CASE WHEN {_PATH[m.group(2)]} = {q(m.group(3))} THEN {q(m.group(4))} ELSE {q(m.group(5))} END)")
+            continue
+        parts = [x.strip() for x in m.group(6).split("|")]
         default = next((re.match(r"default\('?(.*?)'?\)$", f).group(1) for f in parts[1:] if f.startswith("default")), None)
         e = _PATH.get(parts[0], q(default if default is not None else ("" if parts[0].startswith("extra.") else fmt.BLANK)))
         for f in parts[1:]:
@@ -195,10 +197,13 @@ RENDER = "SELECT template_id, doc_id, CASE template_id " + " ".join(f"WHEN {t} T
 
 
 def _rendered(spark, d):
-    return tpl.render(i.templates(spark), tpl.contexts(fields(spark, d), extras(spark, d)), pairs(spark, d).filter("template_id <> 4"))
+    subjects = F.transform(F.array("surname", "given"), lambda x: F.create_map(F.lit("name"), x))
+    rows = i.persons(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 != 0, subjects).alias("subjects"))
+    ctx = tpl.contexts(fields(spark, d), extras(spark, d)).join(rows, "doc_id")
+    return tpl.render(i.templates(spark), ctx, pairs(spark, d), "subjects")
 
 
-@register("render_text", sql("SELECT * FROM rendered WHERE template_id <> 4", "persons", pairs=PAIRS, rendered=RENDER))
+@register("render_text", sql("SELECT * FROM rendered", "persons", pairs=PAIRS, rendered=RENDER))
 def _(spark, d):
     return _rendered(spark, d)
 
@@ -222,7 +227,7 @@ def _(spark, d):
     return i.persons(spark, d).select("doc_id", tpl.render_loops(body, subjects).alias("text"))
 
 
-@register("dangling_tags", sql("SELECT template_id, doc_id FROM rendered WHERE template_id <> 4 AND (contains(text, '{{') OR contains(text, '{%'))", "persons", pairs=PAIRS, rendered=RENDER))
+@register("dangling_tags", sql("SELECT template_id, doc_id FROM rendered WHERE (contains(text, '{{') OR contains(text, '{%'))", "persons", pairs=PAIRS, rendered=RENDER))
 def _(spark, d):
     return tpl.dangling_tags(_rendered(spark, d)).select("template_id", "doc_id")
 

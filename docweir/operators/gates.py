@@ -59,7 +59,7 @@ def pii_gate(requests: DataFrame, providers: DataFrame) -> DataFrame:
     stay in the output so the caller can route them to quarantine.
     """
     caps = providers.select("provider", "allows_real_pii", "data_used_for_training")
-    joined = requests.join(F.broadcast(caps), "provider", "left")
+    joined = requests.join(caps, "provider", "left")
     cleared = F.coalesce(F.col("allows_real_pii"), F.lit(False))
     real = F.coalesce(F.col("contains_real_pii"), F.lit(True))
     found = F.when(~real & ~cleared, pii_signals(F.concat_ws("\n", "system", "user_text")))

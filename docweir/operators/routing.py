@@ -59,7 +59,7 @@ def eligible_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:
     serves = providers.select("provider", "pref", F.inline(needs))
     asked = requests.withColumn("_real", F.coalesce("contains_real_pii", F.lit(True))).withColumn(
         "_vision", F.coalesce(F.col("has_images"), F.lit(False)) | (F.col("task") == "vision"))
-    return asked.join(F.broadcast(serves), ["_real", "_vision"]).drop("_real", "_vision")
+    return asked.join(serves, ["_real", "_vision"]).drop("_real", "_vision")
 
 
 def first_provider(requests: DataFrame, providers: DataFrame) -> DataFrame:
@@ -269,6 +269,6 @@ def prompt_name(doc_type: Column) -> Column:
 def prompt_for(documents: DataFrame, prompts: DataFrame, pins: dict[str, int] | None = None) -> DataFrame:
     """Adds prompt name, version and text by document type; a missing prompt is an error row."""
     chosen = latest_prompts(prompts, pins)
-    out = documents.withColumn("name", prompt_name(F.col("doc_type"))).join(F.broadcast(chosen), "name", "left")
+    out = documents.withColumn("name", prompt_name(F.col("doc_type"))).join(chosen, "name", "left")
     return out.withColumn("error", F.when(F.col("version").isNull() & F.col("error").isNull(), F.concat(
         F.lit("no prompt named "), "name")).otherwise(F.col("error")))
