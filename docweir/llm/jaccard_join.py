@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docweir.llm.filters import KeyFilter, filter_of
 from docweir.llm.words import keys, mix, slices, words_of
@@ -191,56 +192,65 @@ def _guided(kinds: DataFrame, threshold: int) -> DataFrame:
     return met.where(near).groupBy("a", F.col("sig").alias("b")).agg(F.count("*").alias("times")).where("times > 1")
 
 
+_PREFIX = "token long, center long, lo int, hi int, rest int, single boolean"
+_NAMES = ["token", "center", "lo", "hi", "rest", "single"]
+
+
 def _prefixes(docs: DataFrame, sketch: Broadcast, words: int, threshold: int,
               aside: KeyFilter | None = None) -> DataFrame:
     """The first tokens of every set under each order, for the centre its text stands behind.
 
-    ``docs`` has ``text`` and, for texts behind a centre, ``center``.  Rows: the
-    token with the number of its order in the two lowest bits, the centre, sizes
-    of the smallest and largest set, and the most tokens that any of them has from
+    ``docs`` has ``text`` and, where texts may stand behind others, ``center`` and
+    ``single`` (whether the centre has no other member).  Rows: 48 bits of the
+    token with the number of its order in the two lowest bits, the centre, sizes of
+    the smallest and largest set, and the most tokens that any of them has from
     here on.  ``aside`` are signatures that are left out (they come another way).
     """
     centered = "center" in docs.columns
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, words):
+            sizes = sets.sizes
             center = part.column("center").to_numpy() if centered else sets.signatures()
-            skip = np.zeros(len(center), bool) if aside is None else aside.holds(center)
-            seen = np.isin(np.arange(len(center)), np.unique(center, return_index=True)[1]) if not centered else True
-            open_ = (sets.sizes > 0) & ~skip & seen
+            single = part.column("single").to_numpy(zero_copy_only=False) if centered else np.ones(len(center), bool)
+            open_ = sizes > 0
+            if not centered:    # equal sets need only come once
+                open_ &= ~aside.holds(center) & np.isin(np.arange(len(center)), np.unique(center, return_index=True)[1])
             pick = open_[sets.owner]
             tokens, owner = sets.tokens[pick], sets.owner[pick]
             if not len(tokens):
                 continue
-            common = _common(sets, sketch)[pick].astype(np.uint64)
-            sizes = sets.sizes
+            common = _common(sets, sketch)[pick].astype(np.uint64) << np.uint64(48)
+            above = owner.astype(np.uint64) << np.uint64(53)
             # So many of the first tokens: with none of them shared, the rest is below the threshold.
-            reach = sizes - (threshold * sizes + 99) // 100 + 1
-            first = np.searchsorted(owner, np.arange(len(sizes)))
+            reach = (sizes - (threshold * sizes + 99) // 100 + 1)[owner]
+            place = np.arange(len(tokens)) - np.searchsorted(owner, np.arange(len(sizes)))[owner]
+            near = place < reach
+            held, rest = owner[near], (sizes[owner] - place)[near]
             for k in range(ORDERS):
-                rank = ((owner.astype(np.uint64) << np.uint64(53)) | (common << np.uint64(48))
-                        | (mix(tokens ^ _SEEDS[k]) >> np.uint64(16)))
-                order = np.argsort(rank)
-                place = np.arange(len(tokens)) - first[owner]
-                near = place < reach[owner]
-                held, at = owner[near], tokens[order][near]
-                yield _combined(((at << np.uint64(2)) | np.uint64(k)).view(np.int64), center[held], sizes[held],
-                                sizes[held], (sizes[owner] - place)[near])
+                order = np.argsort(above | common | (mix(tokens ^ _SEEDS[k]) >> np.uint64(16)))[near]
+                token = ((tokens[order] >> np.uint64(5)) << np.uint64(2)) | np.uint64(k)
+                columns = (token.view(np.int64), center[held], sizes[held], sizes[held], rest, single[held])
+                yield _combined(*columns) if centered else _batch(*columns)
+
+    return docs.mapInArrow(emit, _PREFIX)
 
-    return docs.mapInArrow(emit, "token long, center long, lo int, hi int, rest int")
+
+def _batch(token, center, lo, hi, rest, single) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(token), pa.array(center), *(pa.array(x.astype(np.int32)) for x in (lo, hi, rest)), pa.array(single)],
+        names=_NAMES)
 
 
-def _combined(token, center, lo, hi, rest) -> pa.RecordBatch:
+def _combined(token, center, lo, hi, rest, single) -> pa.RecordBatch:
     """One row for each (token, centre)."""
     order = np.lexsort((center, token))
-    token, center, lo, hi, rest = (x[order] for x in (token, center, lo, hi, rest))
+    token, center, lo, hi, rest, single = (x[order] for x in (token, center, lo, hi, rest, single))
     start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (center[1:] != center[:-1])]) if len(token) else order
     if len(start) < len(token):
         lo, hi, rest = (f.reduceat(x, start) for f, x in ((np.minimum, lo), (np.maximum, hi), (np.maximum, rest)))
-        token, center = token[start], center[start]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(token), pa.array(center), *(pa.array(x.astype(np.int32)) for x in (lo, hi, rest))],
-        names=["token", "center", "lo", "hi", "rest"])
+        token, center, single = token[start], center[start], single[start]
+    return _batch(token, center, lo, hi, rest, single)
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -250,12 +260,11 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     batch to the next, however many rows a token has.
     """
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "center", "lo", "hi", "rest"]
         carried, known_shared = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(n).to_numpy() for n in names]
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES]
             if carried is not None:
                 columns = [np.concatenate([c, x]) for c, x in zip(carried, columns)]
             merged = _combined(*columns)
@@ -267,32 +276,40 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
             if known_shared:
                 several |= token == token[0]
             # The last (token, centre) may go on in the next batch.
-            carried = [merged.column(n).to_numpy()[-1:] for n in names]
+            carried = [merged.column(n).to_numpy(zero_copy_only=False)[-1:] for n in _NAMES]
             known_shared = bool(several[-1])
             several[-1] = False
             if several.any():
                 yield merged.filter(pa.array(several))
         if carried is not None and known_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in carried], names=names)
+            yield _batch(*carried)
 
-    return (rows.repartition("token").sortWithinPartitions("token", "center")
-            .mapInArrow(reduce, "token long, center long, lo int, hi int, rest int"))
+    return rows.repartition("token").sortWithinPartitions("token", "center").mapInArrow(reduce, _PREFIX)
 
 
 def _candidates(shared: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of centres that share such a token under every order, at places where the threshold is still in reach."""
+    """Pairs of centres that share such a token under every order, at places where the threshold is still in reach.
+
+    Two single texts that already met at the shared token before are not paired
+    again: where their prefixes run alike they meet once.
+    """
+    kind = F.col("token") % 4
+    # The shared token before this one in the same prefix; balls have many prefixes and so none.
+    before = F.lag("token").over(Window.partitionBy("center", kind).orderBy(F.col("rest").desc(), "token"))
+    shared = shared.withColumn("before", F.when(F.col("single"), before)).drop("single")
     left = shared.select("token", *(F.col(c).alias(f"{c}_a") for c in shared.columns[1:]))
     right = shared.select(F.col("token").alias("_t"), *(F.col(c).alias(f"{c}_b") for c in shared.columns[1:]))
     # shared tokens >= t / (1 + t) * (sum of both sizes)
     need = threshold * (F.col("lo_a") + F.col("lo_b"))
     within = ((F.col("center_a") < F.col("center_b"))
+              & (F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b")))
               & (100 * F.col("hi_a").cast("long") >= threshold * F.col("lo_b"))
               & (100 * F.col("hi_b").cast("long") >= threshold * F.col("lo_a"))
               & ((100 + threshold) * F.col("rest_a").cast("long") >= need)
               & ((100 + threshold) * F.col("rest_b").cast("long") >= need))
     met = left.join(right, (F.col("token") == F.col("_t")) & within)
     return (met.groupBy(F.col("center_a").alias("a"), F.col("center_b").alias("b"))
-            .agg(F.bit_or(F.pow(F.lit(2), F.col("token") % 4).cast("int")).alias("orders"))
+            .agg(F.bit_or(F.pow(F.lit(2), kind).cast("int")).alias("orders"))
             .where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b"))
 
 
@@ -414,8 +431,10 @@ def links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tu
 
     # Texts that the filter holds back surely were in no such pair and are their own centres; it let through all of texts.
     alone = _prefixes(docs.select("text"), sketch, words, threshold, held)
-    others = _prefixes(texts.join(behind, "sig", "left").select("text", F.coalesce("center", "sig").alias("center")),
-                       sketch, words, threshold)
+    leads = centers.select("sig", F.lit(True).alias("leads"))
+    placed = texts.join(behind, "sig", "left").join(leads, "sig", "left").select(
+        "text", F.coalesce("center", "sig").alias("center"), (F.col("center").isNull() & F.col("leads").isNull()).alias("single"))
+    others = _prefixes(placed, sketch, words, threshold)
     shared = materialise(_shared_tokens(alone.unionByName(others)), "jaccard-tokens")
     pairs = materialise(_candidates(shared, threshold), "jaccard-pairs")
     more = _texts(docs, _either(pairs), words)
