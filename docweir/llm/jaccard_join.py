@@ -12,7 +12,8 @@ tokens with the most typical text of their bucket are verified against that one
 text and, if linked, stand behind it as a ball.  The filters then run between
 balls.  As Jaccard distance is a metric, one verification of two centres settles
 most pairs of balls; what it leaves open is settled by comparing the members of
-the two balls in tiles, which report links and not pairs.
+the two balls in tiles, which report links and not pairs.  Tiles also settle
+families: texts near a typical one that are not linked to it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ ORDERS = 3
 GUIDES = 5              # minimum tokens by which typical texts are found
 SKETCH_BITS = 20        # the sketch has 2**20 counters, whatever the corpus
 TILE = 512              # texts on each side of a tile
+FAMILY = 0.5            # distance up to which a text is of a typical text's family
 _ROWS = 1024            # texts in a slice: their numbers fit the 11 bits above a token
 _SEEDS = keys(21, ORDERS + GUIDES + 8)
 _ALMOST = 1e-9
@@ -287,12 +289,15 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "center").mapInArrow(reduce, _PREFIX)
 
 
-def _candidates(shared: DataFrame, threshold: int) -> DataFrame:
+def _candidates(shared: DataFrame, family: DataFrame, threshold: int) -> DataFrame:
     """Pairs of centres that share such a token under every order, at places where the threshold is still in reach.
 
     Two single texts that already met at the shared token before are not paired
-    again: where their prefixes run alike they meet once.
+    again: where their prefixes run alike they meet once.  Texts of one family
+    (sig, family), and the ball of its typical text, are not paired at all.
     """
+    shared = shared.join(family.withColumnRenamed("sig", "center"), "center", "left").withColumn(
+        "family", F.coalesce("family", "center")).select(*shared.columns, "family")
     kind = F.col("token") % 4
     # The shared token before this one in the same prefix; balls have many prefixes and so none.
     before = F.lag("token").over(Window.partitionBy("center", kind).orderBy(F.col("rest").desc(), "token"))
@@ -301,7 +306,7 @@ def _candidates(shared: DataFrame, threshold: int) -> DataFrame:
     right = shared.select(F.col("token").alias("_t"), *(F.col(c).alias(f"{c}_b") for c in shared.columns[1:]))
     # shared tokens >= t / (1 + t) * (sum of both sizes)
     need = threshold * (F.col("lo_a") + F.col("lo_b"))
-    within = ((F.col("center_a") < F.col("center_b"))
+    within = ((F.col("center_a") < F.col("center_b")) & (F.col("family_a") != F.col("family_b"))
               & (F.col("before_a").isNull() | F.col("before_b").isNull() | (F.col("before_a") != F.col("before_b")))
               & (100 * F.col("hi_a").cast("long") >= threshold * F.col("lo_b"))
               & (100 * F.col("hi_b").cast("long") >= threshold * F.col("lo_a"))
@@ -313,23 +318,25 @@ def _candidates(shared: DataFrame, threshold: int) -> DataFrame:
             .where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b"))
 
 
-def _tiles(doubt: DataFrame, balls: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Links between members of balls whose centres do not settle it.
-
-    ``doubt`` has centres ``a`` (the ball with more members), ``b`` and their
-    distance ``far``.  A tile holds ``TILE`` texts of either side; it reports for
-    each text on the right the first link to a text on the left, as all texts on
-    the left are of one component.
-    """
+def _doubtful(doubt: DataFrame, balls: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Members of pairs of balls whose centres do not settle whether members link: (a, sig) of the larger and of the other ball."""
     slack = 1 - threshold / 100 + _ALMOST
-    radius = balls.groupBy("center").agg(F.max("far").alias("radius"), F.count("*").alias("many"))
+    radius = balls.groupBy("center").agg(F.max("far").alias("radius"))
     right = (doubt.join(balls.select(F.col("center").alias("b"), "sig", F.col("far").alias("own")), "b")
-             .join(radius.select(F.col("center").alias("a"), "radius", "many"), "a")
-             .where(F.col("far") - F.col("own") - F.col("radius") <= slack)
-             .groupBy("a", "sig").agg(F.first("many").alias("many")))
-    counts = right.groupBy("a").agg(F.count("*").alias("rights"), F.first("many").alias("many"))
-    left = balls.select(F.col("center").alias("a"), "sig").join(counts, "a")
-    right = right.join(counts.drop("many"), "a")
+             .join(radius.select(F.col("center").alias("a"), "radius"), "a")
+             .where(F.col("far") - F.col("own") - F.col("radius") <= slack).select("a", "sig").distinct())
+    left = balls.select(F.col("center").alias("a"), "sig").join(doubt.select("a").distinct(), "a", "left_semi")
+    return left, right
+
+
+def _tiles(left: DataFrame, right: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
+    """Links that join whatever texts (a, sig) on the left and right of the same ``a`` are linked.
+
+    A tile holds ``TILE`` texts of either side at most.  It finds every link between
+    them but reports only those that join groups not yet joined in it, so its
+    result is never larger than its input.
+    """
+    counts = left.groupBy("a").agg(F.count("*").alias("lefts")).join(right.groupBy("a").agg(F.count("*").alias("rights")), "a")
 
     def chunks(n: str) -> Column:
         return F.ceil(F.col(n) / TILE).cast("long")
@@ -340,16 +347,24 @@ def _tiles(doubt: DataFrame, balls: DataFrame, texts: DataFrame, threshold: int,
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), chunks(n) - 1))
 
-    sides = (left.select("a", "sig", F.lit(True).alias("left"), deal("many").alias("row"), every("rights").alias("col"))
-             .unionByName(right.select("a", "sig", F.lit(False).alias("left"), every("many").alias("row"), deal("rights").alias("col"))))
+    sides = (left.join(counts, "a").select("a", "sig", F.lit(True).alias("left"), deal("lefts").alias("row"), every("rights").alias("col"))
+             .unionByName(right.join(counts, "a").select("a", "sig", F.lit(False).alias("left"), every("lefts").alias("row"),
+                                                         deal("rights").alias("col"))))
     placed = sides.join(texts, "sig")
 
     def links(table: pa.Table) -> pa.Table:
-        on_left = table.column("left").to_numpy().astype(bool)
+        on_left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         sig = table.column("sig").to_numpy()
-        found = {"a": [], "b": []}
         l_text, r_text = (table.column("text").filter(pa.array(x)).combine_chunks() for x in (on_left, ~on_left))
         l_sig, r_sig = sig[on_left], sig[~on_left]
+        root = {int(x): int(x) for x in sig}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found = []
         for at in range(0, len(l_sig), _ROWS):
             base = sets_of(l_text.slice(at, _ROWS), words)
             order = np.argsort(base.tokens, kind="stable")
@@ -365,12 +380,13 @@ def _tiles(doubt: DataFrame, balls: DataFrame, texts: DataFrame, threshold: int,
                     a, n = a[hit], (b - a)[hit]
                     flat = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                     both = np.bincount(owner[flat], minlength=len(base.sizes))
-                    good = np.flatnonzero((100 * both >= threshold * (base.sizes + len(own) - both))
-                                          & (l_sig[at:at + _ROWS] != r_sig[to + i]))
-                    if len(good):
-                        found["a"].append(l_sig[at + good[0]])
-                        found["b"].append(r_sig[to + i])
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
+                    for j in np.flatnonzero(100 * both >= threshold * (base.sizes + len(own) - both)):
+                        x, y = int(l_sig[at + j]), int(r_sig[to + i])
+                        u, v = find(x), find(y)
+                        if u != v:
+                            root[u] = v
+                            found.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return placed.groupBy("a", "row", "col").applyInArrow(links, "a long, b long")
 
@@ -423,20 +439,24 @@ def links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tu
     guided = materialise(_guided(kinds, threshold), "jaccard-guided")
     held = _either(guided)
     texts = _texts(docs, held, words)
-    met = materialise(_verify(guided, texts, words).where(_linked(threshold)).withColumn("far", _far()), "jaccard-near")
-    behind = met.groupBy("b").agg(F.min(F.struct("far", "a")).alias("c")).select(
+    met = materialise(_verify(guided, texts, words).withColumn("far", _far()), "jaccard-near")
+    behind = met.where(_linked(threshold)).groupBy("b").agg(F.min(F.struct("far", "a")).alias("c")).select(
         F.col("b").alias("sig"), F.col("c.a").alias("center"), F.col("c.far").alias("far"))
     behind = materialise(behind, "jaccard-behind")
     centers = behind.select(F.col("center").alias("sig"), "center", F.lit(0.0).alias("far")).distinct()
 
     # Texts that the filter holds back surely were in no such pair and are their own centres; it let through all of texts.
     alone = _prefixes(docs.select("text"), sketch, words, threshold, held)
+    # Texts near a typical one without a link to it: they are compared with its ball and with each other in tiles.
+    family = materialise(met.where(F.col("far") <= FAMILY).join(behind.select(F.col("sig").alias("b")), "b", "left_anti")
+                         .groupBy("b").agg(F.min(F.struct("far", "a")).alias("c"))
+                         .select(F.col("b").alias("sig"), F.col("c.a").alias("family")), "jaccard-family")
     leads = centers.select("sig", F.lit(True).alias("leads"))
     placed = texts.join(behind, "sig", "left").join(leads, "sig", "left").select(
         "text", F.coalesce("center", "sig").alias("center"), (F.col("center").isNull() & F.col("leads").isNull()).alias("single"))
     others = _prefixes(placed, sketch, words, threshold)
     shared = materialise(_shared_tokens(alone.unionByName(others)), "jaccard-tokens")
-    pairs = materialise(_candidates(shared, threshold), "jaccard-pairs")
+    pairs = materialise(_candidates(shared, family, threshold), "jaccard-pairs")
     more = _texts(docs, _either(pairs), words)
     judged = materialise(_verify(pairs, more, words).withColumn("far", _far()), "jaccard-judged")
 
@@ -458,7 +478,12 @@ def links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tu
     found = behind.select(F.col("sig").alias("a"), F.col("center").alias("b")).unionByName(
         judged.where(_linked(threshold)).select("a", "b"))
     if doubt.head(1):
-        found = found.unionByName(_tiles(doubt, every_ball, all_texts, threshold, words))
+        found = found.unionByName(_tiles(*_doubtful(doubt, every_ball, threshold), all_texts, threshold, words))
+    if family.head(1):
+        own = family.select(F.col("family").alias("a"), "sig")
+        typical = own.select("a", F.col("a").alias("sig")).distinct()
+        ball = behind.select(F.col("center").alias("a"), "sig").join(own.select("a").distinct(), "a", "left_semi")
+        found = found.unionByName(_tiles(own.unionByName(typical).unionByName(ball), own, texts, threshold, words))
     return rows.select("doc_id", "n", "sig"), materialise(found, "jaccard-links")
 
 
