@@ -59,17 +59,29 @@ def train(texts: pa.Array, positive: np.ndarray, prior: float, epochs: int = 200
     among the toxic texts differs from that among the unlabelled by ``least_z``
     standard errors are used.
     """
-    owner, feature = _present(texts)
     n, p = len(texts), positive.astype(bool)
     n_p, n_u = max(1, int(p.sum())), max(1, int((~p).sum()))
-    in_p = np.bincount(feature[p[owner]], minlength=FEATURES)
-    in_u = np.bincount(feature[~p[owner]], minlength=FEATURES)
-    error = np.sqrt((in_p + in_u + 1) / n * (1 / n_p + 1 / n_u))
+
+    def parts():
+        """Texts and features of a slice of the sample at a time: all of them at once would fill a worker."""
+        begin = 0
+        for part in slices(iter([pa.record_batch([texts], ["t"])]), "t"):
+            owner, feature = _present(part.column("t"))
+            yield owner + begin, feature
+            begin += part.num_rows
+
+    in_p, in_u = np.zeros(FEATURES), np.zeros(FEATURES)
+    for owner, feature in parts():
+        in_p += np.bincount(feature[p[owner]], minlength=FEATURES)
+        in_u += np.bincount(feature[~p[owner]], minlength=FEATURES)
+    error = np.sqrt((in_p + in_u + 1) / max(1, n) * (1 / n_p + 1 / n_u))
     kept = np.flatnonzero(np.abs(in_p / n_p - in_u / n_u) >= least_z * error)
     number = np.full(FEATURES, -1)
     number[kept] = np.arange(len(kept))
-    feature = number[feature]
-    owner, feature, width = owner[feature >= 0], feature[feature >= 0], max(1, len(kept))
+    pairs = [(owner[number[feature] >= 0], number[feature[number[feature] >= 0]]) for owner, feature in parts()]
+    owner = np.concatenate([x for x, _ in pairs] or [np.zeros(0, np.int64)])
+    feature = np.concatenate([x for _, x in pairs] or [np.zeros(0, np.int64)])
+    width = max(1, len(kept))
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     w_seen, b_seen = np.full(width, 1e-6), 1e-6
     for _ in range(epochs):
