@@ -13,7 +13,7 @@ text and, if linked, stand behind it as a ball.  The filters then run between
 balls.  As Jaccard distance is a metric, one verification of two centres settles
 most pairs of balls; what it leaves open is settled by comparing the members of
 the two balls in tiles, which report links and not pairs.  Tiles also settle
-families: texts near a typical one that are not linked to it.
+families: single texts near a typical one that are not linked to it.
 """
 
 from __future__ import annotations
@@ -294,7 +294,8 @@ def _candidates(shared: DataFrame, family: DataFrame, threshold: int) -> DataFra
 
     Two single texts that already met at the shared token before are not paired
     again: where their prefixes run alike they meet once.  Texts of one family
-    (sig, family), and the ball of its typical text, are not paired at all.
+    (sig, family), all of them single, and the ball of its typical text are not
+    paired at all.
     """
     shared = shared.join(family.withColumnRenamed("sig", "center"), "center", "left").withColumn(
         "family", F.coalesce("family", "center")).select(*shared.columns, "family")
@@ -447,8 +448,10 @@ def links(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> tu
 
     # Texts that the filter holds back surely were in no such pair and are their own centres; it let through all of texts.
     alone = _prefixes(docs.select("text"), sketch, words, threshold, held)
-    # Texts near a typical one without a link to it: they are compared with its ball and with each other in tiles.
-    family = materialise(met.where(F.col("far") <= FAMILY).join(behind.select(F.col("sig").alias("b")), "b", "left_anti")
+    # Single texts near a typical one without a link to it: they are compared with its ball and with each other in tiles.
+    # A text with a ball of its own is in no family, as its ball would be in no tile; it meets others in the token join.
+    placed_else = behind.select(F.col("sig").alias("b")).unionByName(centers.select(F.col("sig").alias("b")))
+    family = materialise(met.where(F.col("far") <= FAMILY).join(placed_else, "b", "left_anti")
                          .groupBy("b").agg(F.min(F.struct("far", "a")).alias("c"))
                          .select(F.col("b").alias("sig"), F.col("c.a").alias("family")), "jaccard-family")
     leads = centers.select("sig", F.lit(True).alias("leads"))

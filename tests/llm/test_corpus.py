@@ -160,6 +160,26 @@ def test_near_groups(spark, request, name, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_near_groups_of_sparse_chains(spark, monkeypatch):
+    """Small trees of copies of copies from many seeds: some members of a family have balls of their own."""
+    monkeypatch.setattr(jaccard_join, "TILE", 4)
+    rows = []
+    for seed in range(300):
+        rng = random.Random(seed)
+        tree = [[f"s{seed}.{i}" for i in range(rng.randrange(60, 160))]]
+        for i in range(rng.randrange(4, 24)):
+            w = list(rng.choice(tree))
+            for j in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = f"s{seed}.m{i}.{j}"
+            tree.append(w)
+        rows += [" ".join(w) for w in tree]
+    random.Random(0).shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard_join.near_groups(table(spark, [(i, t, "s") for i, t in enumerate(rows)])).collect()}
+    want = brute.near(list(enumerate(rows)))
+    assert {i for i in want if got[i] != want[i]} == set()
+
+
 def test_near_groups_nulls_and_repeats(spark):
     rows = [(None, "a b c", "s"), (5, "a b c", "s"), (5, "a b c", "s"), (None, "x y", "s"), (7, None, "s"), (None, None, "s")]
     got = collections.Counter(map(tuple, jaccard_join.near_groups(table(spark, rows)).collect()))
