@@ -35,6 +35,18 @@ _PATTERNS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])",
 }
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in _PATTERNS.items()}
+#: Kinds whose groups may stand beside other numbers or words, so that a part of a run can be the number.
+_SPLIT = {"iban": r"[A-Z]{2}[0-9]{2}", "card": r"[0-9]", "phone": r"[+(0-9]"}
+_INSIDE = {kind: string.digits + string.ascii_letters * (kind == "iban") for kind in _SPLIT}
+_STARTS = {kind: re.compile(rf"(?<![{_INSIDE[kind]}]){first}") for kind, first in _SPLIT.items()}
+_LONGEST = 67    # characters of 34 with a space between any two
+_IBAN_SIZES = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC",
+    32: "LC"}.items() for country in countries.split()}
+_NETWORK = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]|2[2-7]).{14}|3[47].{13}|6.{15,18}|3[0689].{12}")
+_NANP = re.compile(r"(?:1[ .-])?(?:[0-9]{3}[ .-]|\([0-9]{3}\)[ .-]?)[0-9]{3}[ .-][0-9]{4}")
 _FIRST_DAY, _LAST_DAY = dt.date(1800, 1, 1).toordinal(), dt.date(2199, 12, 31).toordinal()
 
 
@@ -171,21 +183,56 @@ _REPLACE: dict[str, Callable[[str, bytes], str | None]] = {
     "email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
 
 
+def _usual(kind: str, part: str) -> bool:
+    """Whether a part has the size or layout that its country or network gives such numbers."""
+    if kind == "iban":
+        return len(part.replace(" ", "")) == _IBAN_SIZES.get(part[:2])
+    return (_NETWORK if kind == "card" else _NANP).fullmatch(_digits(part) if kind == "card" else part) is not None
+
+
+def _parts(kind: str, text: str, start: int, end: int, last: int) -> list[tuple[int, int]]:
+    """Where a number of this kind may stand that begins in a run: the whole run, then parts of usual size, then any others.
+
+    A part begins and ends where groups do.  Nothing but its layout tells a phone
+    number, so one that begins within a run has a usual layout or another
+    separator before it than inside.
+    """
+    found, inside = [], _INSIDE[kind]
+    for m in _STARTS[kind].finditer(text, start, end):
+        a = m.start()
+        for b in range(a + 8, min(last, a + _LONGEST) + 1):
+            if text[b - 1] in inside and (b == len(text) or text[b] not in inside) and _COMPILED[kind].fullmatch(text, a, b):
+                usual = _usual(kind, text[a:b])
+                if kind != "phone" or a == start or usual or text[a - 1] not in text[a:b]:
+                    found.append(((a, b) != (start, end), not usual, a, -b))
+    return [(a, -b) for _, _, a, b in sorted(found)]
+
+
+def _numbers(kind: str, text: str, key: bytes, taken: list[tuple[int, int, str, str]], at: int = 0,
+             last: int | None = None) -> Iterator[tuple[int, int, str, str]]:
+    """Valid numbers of one kind from ``at`` to ``last``, outside of what is taken."""
+    last = len(text) if last is None else last
+    while m := _COMPILED[kind].search(text, at, last):
+        at = m.end()
+        for a, b in _parts(kind, text, *m.span(), last) if kind in _SPLIT else [m.span()]:
+            if not any(x < b and a < y for x, y, _, _ in taken) and (new := _REPLACE[kind](text[a:b], key)) is not None:
+                yield from _numbers(kind, text, key, taken, m.start(), a)    # what stands before the part
+                yield a, b, kind, new
+                at = b
+                break
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """A text with every valid value replaced, and the spans (start, end, kind) that were.
 
-    Where patterns overlap, the earlier kind in ``KINDS`` has it.
+    Where patterns overlap, the earlier kind in ``KINDS`` has it.  Where an IBAN,
+    card or phone number stands beside other groups, every part of the run is tried.
     """
     spans: list[tuple[int, int, str, str]] = []
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in _COMPILED[kind].finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in spans):
-                continue
-            new = _REPLACE[kind](m.group(), key)
-            if new is not None:
-                spans.append((m.start(), m.end(), kind, new))
+        spans += list(_numbers(kind, text, key, spans))
     if not spans:
         return text, []
     spans.sort()
