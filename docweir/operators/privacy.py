@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions.patterns import REDACTIONS
@@ -78,16 +81,67 @@ def _redacted(node: Column, depth: int) -> Column:
             .otherwise(F.to_json(node)))
 
 
+class _Object(list):
+    """Members of a JSON object in their order, repeated keys included."""
+
+
+class _Number(str):
+    """A number that is no integer, as written."""
+
+
+def _pieces(body: str | None) -> list[dict] | None:
+    """JSON text redacted by key, in pieces: ``text`` is still to be redacted by content and quoted; null if not JSON."""
+    out: list[dict] = []
+
+    def add(plain: str) -> None:
+        out.append({"plain": plain, "text": None})
+
+    def walk(node, depth: int) -> None:
+        if depth > MAX_DEPTH:
+            add(f'"{TRUNCATED}"')
+        elif isinstance(node, list):
+            named = isinstance(node, _Object)
+            add("{" if named else "[")
+            for n, x in enumerate(node):
+                key, value = x if named else (None, x)
+                add(", " * (n > 0) + (f"{json.dumps(key, ensure_ascii=False)}: " if named else ""))
+                if named and key.lower() in SENSITIVE_KEYS and isinstance(value, (str, int)) and not isinstance(value, _Number):
+                    add(f'"{REDACTED}"')
+                else:
+                    walk(value, depth + 1)
+            add("}" if named else "]")
+        elif isinstance(node, str) and not isinstance(node, _Number):
+            out.append({"plain": None, "text": node})
+        else:
+            add(node if isinstance(node, _Number) else json.dumps(node))
+
+    try:
+        walk(json.loads(body, object_pairs_hook=_Object, parse_float=_Number, parse_constant=_Number, strict=False), 0)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return out
+
+
+def _json_pieces(bodies: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("plain", pa.string()), ("text", pa.string())]))
+    return pa.array([_pieces(x.as_py()) for x in bodies], kind)
+
+
 def redact_json(c: Column) -> Column:
     """Redact nested JSON text, by key name and by content.
 
     Scalars under a sensitive key become ``<REDACTED>``; anything below eight
     levels becomes ``<TRUNCATED>``, so one expression per level is all it takes.
-    Keys come out in the order a variant keeps them (sorted).  Text that is not
-    JSON is redacted as text.
+    Keys come out in the order a variant keeps them (sorted).  An object or array
+    that no variant holds (repeated keys, too large) is parsed in Python, for those
+    rows only, and keeps its keys in their order.  Text that is not JSON is redacted
+    as text.
     """
     node = F.try_parse_json(c)
-    return F.when(node.isNull(), redact_text(c)).otherwise(_redacted(node, 0))
+    cut = F.arrow_udf(_json_pieces, "array<struct<plain:string,text:string>>")
+    pieces = cut(F.when(node.isNull() & c.rlike(r"\A\s*[\[{]"), c))
+    parsed = F.array_join(F.transform(pieces, lambda x: F.coalesce(x["plain"], _quoted(redact_text(x["text"])))), "")
+    return F.when(node.isNull(), F.coalesce(parsed, redact_text(c))).otherwise(_redacted(node, 0))
 
 
 def redact_secrets(df: DataFrame, text: str, secrets: dict[str, str]) -> DataFrame:

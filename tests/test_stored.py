@@ -77,6 +77,15 @@ def test_redaction(spark):
     assert out == ("mail <EMAIL> tel <PHONE> id <PINFL> no <DOCNO> key <APIKEY>\n<MRZ>\n<DATE> tug'ilgan\n1995-03-15 kun")
 
 
+def test_redact_json_with_repeated_keys(spark):
+    bodies = ['{"password":"x1y","password":"x2y"}', '[{"a":1,"a":2.50},{"Token":"zz9"}]',
+              '{"surname":"Doe","q":{"a":null,"a":"free \\"text\\""},"t\\u006fken":77}', '{"a": {"surname": "Roe", ', "plain"]
+    got = [r.t for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(
+        privacy.redact_json(F.col("b")).alias("t")).collect()]
+    assert got == ['{"password": "<REDACTED>", "password": "<REDACTED>"}', '[{"a": 1, "a": 2.50}, {"Token": "<REDACTED>"}]',
+                   '{"surname": "<REDACTED>", "q": {"a": null, "a": "free \\"text\\""}, "token": "<REDACTED>"}', bodies[3], "plain"]
+
+
 def test_redact_json_depth(spark):
     deep = {"a": "x"}
     for _ in range(30):
