@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import exact_dedup, jaccard_join, language, mixing, neighbours, pseudonyms, substring_dedup, token_counts, tokens, toxicity
+from docweir.llm import (exact_dedup, jaccard_join, language, mixing, neighbours, periodic_runs, pseudonyms, quality, spelling,
+                         substring_dedup, token_counts, tokens, toxicity)
 from docweir.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +154,62 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         tokens.ids_digest("ids").alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@_query()
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.learnt_rows())
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~quality.learnt_rows() & F.col("doc_id").isNotNull()).alias("held_out"),
+                         "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in a tenth of the documents the words from some place on repeat a period, both given by the CRC-32 of the id.
+
+    A row without an id stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size("_words").cast("long"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1).cast("long"))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    planted = F.concat(F.slice("_words", F.lit(1), a.cast("int")),
+                       F.transform(F.sequence(a, n - 1), lambda i: F.element_at("_words", (a + (i - a) % p + 1).cast("int"))))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"))
+    return chosen.select("doc_id", F.when(F.size("_words") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(_documents(spark, sf_dir)))
+    # The longest run; of equals the one that starts first, then the one of smaller period.
+    order = F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period")))
+    best = F.array_min(order)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        (-F.col("best.length")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def lost_letters(doc_id) -> Callable[[bytes], bytes]:
+    """Changes a lower-cased run (Latin-1) of a document: one in 199 loses a letter, as the CRC-32 of ``id:run`` tells."""
+    if doc_id is None:
+        return lambda run: run
+    begun = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(run: bytes) -> bytes:
+        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), begun)
+        return run if h % 199 else run[:h % len(run)] + run[h % len(run) + 1:]
+    return change
+
+
+@_query()
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_documents(spark, sf_dir), "[A-Za-z\u00C0-\u00FF]", 6, edit=lost_letters)
+    return spelling.group_variants(words.where("n >= 5"))
