@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from catalog import inputs as i
 from catalog.ctes import sql
@@ -33,9 +33,14 @@ def run(spark, df, name, mode="append"):
 @register("stream_extract", sql(
     "SELECT doc_id, path, coalesce(value, '') AS value, confidence FROM zf", "mrz_ocr", **TD1_FIELDS))
 def _(spark, d):
+    """The lines of every document come in three pieces, each in batches of its own; the last line tells their number."""
     src, out = scratch_path(spark, "docweir-streams/lines"), scratch_path(spark, "docweir-streams/extract")
-    i.ocr_lines(spark, d).repartition(4, "doc_id").write.parquet(src)
-    lines = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+    counted = i.ocr_lines(spark, d).select("doc_id", "line_no", "text", F.count("*").over(Window.partitionBy("doc_id")).alias("_n"))
+    piece = F.least(F.lit(2), F.floor(F.col("line_no") * 3 / (F.col("_n") + 1)))
+    pieces = counted.select("doc_id", "line_no", "text", F.when(F.col("line_no") == F.col("_n"), F.col("_n")).alias("n_lines"),
+                            F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("line_no")).alias("ts"), piece.alias("piece"))
+    pieces.repartition(3, "piece").write.partitionBy("piece").parquet(src)
+    lines = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.stream_extract(lines, f"{out}/rows", f"{out}/checkpoint", i.today()).awaitTermination()
     return jobs.read_batches(spark, f"{out}/rows").select("doc_id", "path", F.coalesce("value", F.lit("")).alias("value"), "confidence")
 

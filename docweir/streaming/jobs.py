@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docweir.operators import merge, mrz, routing
 from docweir.schema import STAGE_RANK
+from docweir.session import materialise
+from docweir.streaming.assembly import whole_documents
 
 # Job statuses after which nothing more follows.
 TERMINAL = ["ok", "review_needed", "failed", "bad_quality", "unknown_doc_type"]
@@ -43,11 +45,22 @@ def read_batches(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def stream_extract(lines: DataFrame, out: str, checkpoint: str, today: Column) -> StreamingQuery:
-    """Zone fields of newly arrived documents; a document arrives in one file."""
+def stream_extract(lines: DataFrame, out: str, checkpoint: str, today: Column, wait: str = "1 hour",
+                   delay: str = "10 minutes") -> StreamingQuery:
+    """Zone fields of documents, each once it is whole.
+
+    Lines with ``ts`` and ``n_lines`` may come in any batches (``assembly.whole_documents``
+    says when a document is whole, and that one without an end is taken as it is
+    after ``wait``); without those columns each batch holds whole documents.
+    """
     ranks = F.create_map(*[F.lit(x) for kv in STAGE_RANK.items() for x in kv])
+    pieces = {"ts", "n_lines"} <= set(lines.columns)
+    if pieces:
+        lines = whole_documents(lines, wait, delay)
 
     def extract(batch: DataFrame, _batch_id: int) -> DataFrame:
+        if pieces:    # written once, as the plan below reads it more than once and state must step on only once
+            batch = materialise(batch, "whole-documents")
         zones = mrz.parse_mrz(mrz.mrz_candidates(batch), today).filter("found")
         rows = mrz.explode_fields(zones, "doc_id").withColumn("stage_rank", F.element_at(ranks, F.col("source")))
         return merge.merge_fields(rows).drop("stage_rank")
