@@ -167,7 +167,8 @@ cte("calls")("""
 SELECT event_id AS call_id, ts, 'key-' || (user_id % 5) AS key_id, 'provider-' || (user_id % 3) AS provider,
   'model-' || (user_id % 2) AS model, CASE WHEN event_type = 'signup' THEN 'vision' ELSE 'text_mapping' END AS task,
   CASE WHEN event_type IN ('view', 'purchase') THEN 'ok' WHEN event_type = 'click' THEN 'rate_limited'
-       WHEN event_type = 'signup' THEN 'quota' ELSE 'unavailable' END AS outcome,
+       WHEN event_type = 'signup' THEN 'quota' WHEN event_id % 7 < 2 THEN 'bad_request' WHEN event_id % 53 = 5 THEN 'invalid_key' ELSE 'unavailable' END AS outcome,
+  CASE WHEN event_type IN ('click', 'signup') THEN CASE event_id % 4 WHEN 0 THEN 4000.0 WHEN 1 THEN 0.0 WHEN 2 THEN 12.5 END END::DOUBLE AS retry_after,
   CAST(floor(value * 1000) AS BIGINT) AS cost_micros, CAST(floor(value * 10) AS BIGINT) AS latency_ms,
   user_id * 10 AS tokens_in, user_id % 50 AS tokens_out FROM events""")
 

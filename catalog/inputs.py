@@ -271,7 +271,10 @@ def calls_of(e: DataFrame) -> DataFrame:
         F.concat(F.lit("model-"), (F.col("user_id") % 2).cast("string")).alias("model"),
         F.when(kind == "signup", "vision").otherwise("text_mapping").alias("task"),
         F.when(kind.isin("view", "purchase"), "ok").when(kind == "click", "rate_limited")
-        .when(kind == "signup", "quota").otherwise("unavailable").alias("outcome"),
+        .when(kind == "signup", "quota").when(F.col("event_id") % 7 < 2, "bad_request")
+        .when(F.col("event_id") % 53 == 5, "invalid_key").otherwise("unavailable").alias("outcome"),
+        F.when(kind.isin("click", "signup"), F.when(F.col("event_id") % 4 == 0, 4000.0).when(F.col("event_id") % 4 == 1, 0.0)
+               .when(F.col("event_id") % 4 == 2, 12.5)).alias("retry_after"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("cost_micros"),
         F.floor(F.col("value") * 10).cast("bigint").alias("latency_ms"),
         (F.col("user_id") * 10).cast("bigint").alias("tokens_in"),

@@ -218,28 +218,39 @@ def _(spark, d):
                       "tokens_in", "tokens_out", F.round("avg_latency_ms", 6).alias("avg_latency_ms"))
 
 
-@register("key_report", sql("""
-SELECT *, CASE last_outcome WHEN 'ok' THEN 'healthy' WHEN 'quota' THEN 'quota_exhausted' WHEN 'rate_limited' THEN 'rate_limited' ELSE 'cooling' END AS state FROM (
-SELECT provider, key_id, count(*) FILTER (outcome = 'ok') AS requests, count(*) FILTER (outcome <> 'ok') AS failures,
-  CAST(sum(CASE WHEN outcome = 'ok' THEN cost_micros ELSE 0 END) AS BIGINT) AS cost_micros, arg_max(outcome, (ts, call_id)) AS last_outcome FROM calls GROUP BY provider, key_id)""", "calls"))
+STATE = ("CASE {0} WHEN 'ok' THEN 'healthy' WHEN 'invalid_key' THEN 'invalid' WHEN 'quota' THEN 'quota_exhausted' "
+         "WHEN 'rate_limited' THEN 'rate_limited' WHEN 'unavailable' THEN 'cooling' ELSE 'healthy' END")
+
+
+@register("key_report", sql(f"""
+SELECT * EXCLUDE (bearing), {STATE.format("bearing")} AS state FROM (
+SELECT provider, key_id, count(*) FILTER (outcome = 'ok') AS requests, count(*) FILTER (outcome NOT IN ('ok', 'bad_request')) AS failures,
+  CAST(sum(CASE WHEN outcome = 'ok' THEN cost_micros ELSE 0 END) AS BIGINT) AS cost_micros, arg_max(outcome, (ts, call_id)) AS last_outcome,
+  arg_max(outcome, (ts, call_id)) FILTER (outcome <> 'bad_request') AS bearing FROM calls GROUP BY provider, key_id)""", "calls"))
 def _(spark, d):
     return routing.key_report(i.calls(spark, d))
 
 
 # --- failure state machines ------------------------------------------------------------
 
+_bears = "CASE WHEN {0}outcome = 'bad_request' THEN {1} ELSE {2} END"
+_over = """f.lk NOT IN ('ok', 'invalid_key') AND o.ts >= f.lts + to_microseconds(CAST(1000000 * CASE f.lk WHEN 'quota' THEN 3600
+  WHEN 'rate_limited' THEN coalesce(nullif(f.lr, 0), 30) ELSE least(pow(2, least(f.c, 9)), 300) END AS BIGINT))"""
 HEALTH = {
     "o": "SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY ts, call_id) AS rn FROM calls",
-    "f": """SELECT key_id, rn, call_id, ts, outcome, CASE WHEN outcome = 'ok' THEN 0 ELSE 1 END AS c FROM o WHERE rn = 1
-      UNION ALL SELECT o.key_id, o.rn, o.call_id, o.ts, o.outcome, CASE WHEN o.outcome = 'ok' THEN 0 ELSE 1 + CASE WHEN f.outcome <> 'ok'
-        AND o.ts >= f.ts + to_microseconds(1000000 * CAST(CASE f.outcome WHEN 'quota' THEN 3600 WHEN 'rate_limited' THEN 30 ELSE least(pow(2, least(f.c, 9)), 300) END AS BIGINT))
-        THEN 0 ELSE f.c END END FROM f JOIN o ON o.key_id = f.key_id AND o.rn = f.rn + 1""",
+    "f": f"""SELECT key_id, rn, call_id, outcome, retry_after, CASE WHEN outcome IN ('ok', 'bad_request') THEN 0 ELSE 1 END AS c,
+        {_bears.format("", "NULL", "outcome")} AS lk, {_bears.format("", "NULL", "ts")} AS lts, {_bears.format("", "NULL", "retry_after")} AS lr FROM o WHERE rn = 1
+      UNION ALL SELECT o.key_id, o.rn, o.call_id, o.outcome, o.retry_after, CASE WHEN o.outcome = 'ok' THEN 0
+        ELSE CASE WHEN o.outcome = 'bad_request' THEN 0 ELSE 1 END + CASE WHEN {_over} THEN 0 ELSE f.c END END,
+        {_bears.format("o.", "f.lk", "o.outcome")}, {_bears.format("o.", "f.lts", "o.ts")}, {_bears.format("o.", "f.lr", "o.retry_after")}
+        FROM f JOIN o ON o.key_id = f.key_id AND o.rn = f.rn + 1""",
 }
 
 
-@register("key_health", sql("""
-SELECT call_id, c AS failures, CASE outcome WHEN 'ok' THEN 'healthy' WHEN 'quota' THEN 'quota_exhausted' WHEN 'rate_limited' THEN 'rate_limited' ELSE 'cooling' END AS state,
-  CAST(CASE outcome WHEN 'quota' THEN 3600 WHEN 'rate_limited' THEN 30 WHEN 'ok' THEN 0 ELSE least(pow(2, least(c, 9)), 300) END AS INT) AS cooldown_s FROM f""", "calls", **HEALTH))
+@register("key_health", sql(f"""
+SELECT call_id, c AS failures, CASE WHEN c = 0 THEN 'healthy' ELSE {STATE.format("lk")} END AS state,
+  CAST(CASE outcome WHEN 'quota' THEN 3600 WHEN 'rate_limited' THEN coalesce(nullif(retry_after, 0), 30) WHEN 'unavailable' THEN least(pow(2, least(c, 9)), 300) ELSE 0 END AS DOUBLE) AS cooldown_s
+FROM f""", "calls", **HEALTH))
 def _(spark, d):
     return routing.key_health(i.calls(spark, d)).select("call_id", "failures", "state", "cooldown_s")
 

@@ -86,27 +86,28 @@ def _(spark, d):
     return jobs.latest_of_batches(spark, f"{out}/rows", "month").select(F.date_format("month", "yyyy-MM").alias("month"), "cost_micros")
 
 
-def _halves(spark, d, name):
-    """The call log as two files in time order, read one per micro-batch."""
+def _thirds(spark, d, name):
+    """The call log in three spans of time (rows without a time first), three files each; one span makes one micro-batch."""
     src = scratch_path(spark, f"docweir-streams/{name}-in")
-    c = i.calls(spark, d)
-    middle = F.lit("2024-01-15").cast("timestamp")
-    c.filter(F.col("ts") < middle).coalesce(1).write.parquet(f"{src}/part=0")
-    c.filter(F.col("ts") >= middle).coalesce(1).write.parquet(f"{src}/part=1")
-    return spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(src)
+    c = i.calls(spark, d).withColumn("_s", F.unix_micros("ts"))
+    cuts = c.approxQuantile("_s", [1 / 3, 2 / 3], 0.01)
+    span = F.when(F.col("_s") >= cuts[1], 2).when(F.col("_s") >= cuts[0], 1).otherwise(0)
+    for k in range(3):
+        c.where(span == k).drop("_s").repartition(3).write.mode("append").parquet(src)
+    return spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 3).option("latestFirst", False).parquet(src)
 
 
 @register("stream_key_health", sql("SELECT call_id, c AS failures FROM f", "calls", **HEALTH))
 def _(spark, d):
     out = scratch_path(spark, "docweir-streams/health")
-    jobs.stream_key_health(_halves(spark, d, "health"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    jobs.stream_key_health(_thirds(spark, d, "health"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return jobs.read_batches(spark, f"{out}/rows").select("call_id", "failures")
 
 
 @register("stream_circuit_breaker", sql("SELECT call_id, c AS failures, c >= 5 AS open FROM f", "calls", **BREAKER))
 def _(spark, d):
     out = scratch_path(spark, "docweir-streams/breaker")
-    jobs.stream_circuit_breaker(_halves(spark, d, "breaker"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    jobs.stream_circuit_breaker(_thirds(spark, d, "breaker"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return jobs.read_batches(spark, f"{out}/rows").select("call_id", "failures", "open")
 
 

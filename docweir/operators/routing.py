@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions.text import normalize_input
-from docweir.operators import scan
+from docweir.operators import folds, scan
 
 CACHE_NAMESPACE = "llmcache:v1"
 CACHE_TTL_SECONDS = 7 * 24 * 3600
@@ -144,20 +144,24 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 
 def key_report(calls: DataFrame) -> DataFrame:
-    """Requests, failures, cost and state per provider and key; never a secret."""
-    ok = F.col("outcome") == "ok"
+    """Requests, failures, cost and state per provider and key; never a secret.
+
+    The state is that of the last call that changed it: a bad request does not, and
+    is no failure of the key.  Waits that are over meanwhile are for the reader to judge.
+    """
+    ok, bears = F.col("outcome") == "ok", F.col("outcome") != "bad_request"
+    order = F.struct("ts", "call_id")
     out = calls.drop("secret").groupBy("provider", "key_id").agg(
-        F.count_if(ok).alias("requests"), F.count_if(~ok).alias("failures"),
+        F.count_if(ok).alias("requests"), F.count_if(~ok & bears).alias("failures"),
         F.sum(F.when(ok, F.col("cost_micros")).otherwise(0)).alias("cost_micros"),
-        F.max_by("outcome", F.struct("ts", "call_id")).alias("last_outcome"))
-    return out.withColumn("state", key_state(F.col("last_outcome")))
+        F.max_by("outcome", order).alias("last_outcome"), F.max_by("outcome", F.when(bears, order)).alias("_bearing"))
+    return out.withColumn("state", key_state(F.col("_bearing"))).drop("_bearing")
 
 
-def key_state(outcome: Column) -> Column:
-    """State in which a call leaves its key."""
-    return (F.when(outcome == "ok", "healthy").when(outcome == "invalid_key", "invalid")
-            .when(outcome == "quota", "quota_exhausted").when(outcome == "rate_limited", "rate_limited")
-            .when(outcome == "bad_request", "unchanged").otherwise("cooling"))
+def key_state(in_force: Column) -> Column:
+    """State of a key whose last bearing outcome is ``in_force``; null means none."""
+    return (F.when(in_force.isNull() | (in_force == "ok"), "healthy").when(in_force == "invalid_key", "invalid")
+            .when(in_force == "quota", "quota_exhausted").when(in_force == "rate_limited", "rate_limited").otherwise("cooling"))
 
 
 # --- key health and circuit breaker -----------------------------------------------
@@ -165,80 +169,50 @@ def key_state(outcome: Column) -> Column:
 # Cool-down seconds per failure kind, back-off and breaker limits.
 QUOTA_SECONDS, RATE_SECONDS, BACKOFF_LIMIT = 3600, 30, 300
 BREAKER_THRESHOLD, BREAKER_SECONDS = 5, 120
-_BACKOFF_STATES = 10          # 2**9 exceeds the limit, so counts from 9 on wait alike
 
 
-def _gap_seconds() -> Column:
-    return (F.unix_micros(F.col("ts").cast("timestamp"))
-            - F.unix_micros(F.col("prev.ts").cast("timestamp"))) / 1e6
+def _health_wait(last: folds.Call, count: int) -> float | None:
+    """Seconds until a key recovers from its last failure; a stated wait counts for rate limits, and zero is not stated."""
+    if last.kind in ("ok", "invalid_key"):
+        return None
+    if last.kind == "quota":
+        return QUOTA_SECONDS
+    if last.kind == "rate_limited":
+        return last.retry_after or RATE_SECONDS
+    return min(2 ** min(count, folds.ALIKE), BACKOFF_LIMIT)
+
+
+def _breaker_wait(last: folds.Call, count: int) -> float | None:
+    return BREAKER_SECONDS if count >= BREAKER_THRESHOLD else None
+
+
+HEALTH_MACHINE = folds.Machine(_health_wait, frozenset(["bad_request"]))
+BREAKER_MACHINE = folds.Machine(_breaker_wait)
 
 
 def key_health(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``failures`` (the whole count), ``state`` and ``cooldown_s`` after each call.
-
-    An expired cool-down resets the count before the call is recorded; success
-    resets it; a bad request changes nothing.  A failure with a ``retry_after``
-    (seconds, if the table has that column) waits so long.  The wait depends on the
-    count only up to the limit of the back-off, so a ten-state machine finds the
-    resets and the count runs on from there.
-    ``carry`` (key_id, prev, state) continues from an earlier batch.
+    """Adds ``failures``, ``state``, ``cooldown_s`` (what this call sets) and ``in_force`` after each call.
+
+    A cool-down that is over resets the count before the call is recorded; success
+    resets it; a bad request changes nothing else, and the state stays that of the
+    call before it, or healthy if its wait is over.  A rate limit with a positive
+    ``retry_after`` (seconds, if the table has that column) waits so long, every
+    other failure its own time.  ``carry`` continues from an earlier batch.
     """
-    if "retry_after" not in calls.columns:
-        return key_health(calls.withColumn("retry_after", F.lit(None).cast("double")), carry).drop("retry_after")
-    order = ["ts", "call_id"]
-    seen = scan.previous(calls, ["key_id"], order, ["ts", "outcome", "retry_after"],
-                         F.col("outcome") != "bad_request", carry)
-    gap, before = _gap_seconds(), F.col("prev.outcome")
-
-    def nxt(s: int) -> Column:
-        wait = (F.when(before == "ok", F.lit(float("inf"))).when(before == "invalid_key", F.lit(float("inf")))
-                .when(F.col("prev.retry_after").isNotNull(), F.col("prev.retry_after"))
-                .when(before == "quota", F.lit(float(QUOTA_SECONDS)))
-                .when(before == "rate_limited", F.lit(float(RATE_SECONDS)))
-                .otherwise(F.lit(float(min(2 ** s, BACKOFF_LIMIT)))))
-        reset = F.coalesce(gap >= wait, F.lit(False))
-        base = F.when(reset, 0).otherwise(s)
-        return (F.when(F.col("outcome") == "ok", 0).when(F.col("outcome") == "bad_request", base)
-                .otherwise(F.least(base + 1, F.lit(_BACKOFF_STATES - 1)))).cast("int")
-
-    table = F.array(*[nxt(s) for s in range(_BACKOFF_STATES)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["key_id"], order, "_f", _BACKOFF_STATES, "_low", start=carry)
-    counted = ~F.col("outcome").isin("ok", "bad_request")
-    out = _whole_count(out, "key_id", order, counted, _BACKOFF_STATES - 1, carry)
+    stated = "retry_after" if "retry_after" in calls.columns else None
+    out = folds.fold(calls, "key_id", ["call_id"], HEALTH_MACHINE, carry, stated)
     kind = F.col("outcome")
-    return (out.withColumn("state", key_state(kind))
-            .withColumn("cooldown_s", F.when(~kind.isin("ok", "bad_request", "invalid_key") & F.col("retry_after").isNotNull(), F.col("retry_after"))
-                        .when(kind == "quota", QUOTA_SECONDS).when(kind == "rate_limited", RATE_SECONDS)
-                        .when(kind == "unavailable", F.least(F.pow(F.lit(2), F.least("failures", F.lit(_BACKOFF_STATES - 1))), F.lit(BACKOFF_LIMIT)))
-                        .otherwise(0).cast("int")).drop("prev", "_f", scan.PART, scan.AT))
-
-
-def _whole_count(rows: DataFrame, key: str, order: list[str], counted: Column, top: int, carry: DataFrame | None) -> DataFrame:
-    """The count behind a state ``_low`` that stops at ``top``: it runs on with every counted call since it was last below."""
-    out = scan.since(rows, [key], order, counted.cast("int"), F.col("_low") < top, "_run")
-    first = F.lit(None).cast("long")
-    if carry is not None:
-        out = scan._joined(out, carry.select(key, F.col("state").cast("long").alias("_was")), [key], [], "left")
-        first = F.col("_was")
-    above = F.when(F.col("_run.seen") | (F.coalesce(first, F.lit(0)) < top), F.lit(top - 1)).otherwise(first) + F.col("_run.total")
-    return out.withColumn("failures", F.when(F.col("_low") < top, F.col("_low").cast("long")).otherwise(above)).drop("_run", "_low", "_was")
+    wait = F.coalesce(F.when(F.col(stated) > 0, F.col(stated)), F.lit(float(RATE_SECONDS))) if stated else F.lit(float(RATE_SECONDS))
+    backoff = F.least(F.pow(F.lit(2), F.least("failures", F.lit(folds.ALIKE))), F.lit(BACKOFF_LIMIT))
+    return out.withColumn("state", key_state(F.col("in_force"))).withColumn(
+        "cooldown_s", F.when(kind.isin("ok", "bad_request", "invalid_key"), 0).when(kind == "quota", QUOTA_SECONDS)
+        .when(kind == "rate_limited", wait).otherwise(backoff).cast("double"))
 
 
 def circuit_breaker(calls: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Adds ``failures`` (the whole count) and ``open`` per provider after each call."""
-    order = ["ts", "call_id"]
-    top = BREAKER_THRESHOLD
-    seen = scan.previous(calls, ["provider"], order, ["ts", "outcome"], F.lit(True), carry)
-    closed_again = F.coalesce(_gap_seconds() >= BREAKER_SECONDS, F.lit(False))
-
-    def nxt(s: int) -> Column:
-        base = F.when(closed_again, 0).otherwise(s) if s == top else F.lit(s)
-        return F.when(F.col("outcome") == "ok", 0).otherwise(F.least(base + 1, F.lit(top))).cast("int")
-
-    table = F.array(*[nxt(s) for s in range(top + 1)])
-    out = scan.state_scan(seen.withColumn("_f", table), ["provider"], order, "_f", top + 1, "_low", start=carry)
-    out = _whole_count(out, "provider", order, F.col("outcome") != "ok", top, carry)
-    return out.withColumn("open", F.col("failures") >= top).drop("prev", "_f", scan.PART, scan.AT)
+    out = folds.fold(calls, "provider", ["call_id"], BREAKER_MACHINE, carry)
+    return out.withColumn("open", F.col("failures") >= BREAKER_THRESHOLD)
 
 
 # --- prompts ------------------------------------------------------------------------

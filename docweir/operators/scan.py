@@ -1,9 +1,9 @@
-"""Ordered scans that no single task has to carry: running totals, state folds, exact quantiles.
+"""Ordered scans that no single task has to carry: running totals, exact quantiles (state machines: ``folds``).
 
 A window ordered over a whole key puts the key's rows into one task.  Here rows
 are range-partitioned on (key, order), which cuts even a single hot key into
-even parts; totals (or state transitions) are reduced per part, a window runs
-over the few part rows of a key, and only a part is scanned row by row.
+even parts; totals are reduced per part, a window runs over the few part rows of
+a key, and only a part is scanned row by row.
 """
 
 from __future__ import annotations
@@ -58,107 +58,6 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return _joined(summed, prefix, keys, [PART]).withColumn(out, F.col("_p") + F.col("_i")).drop("_p", "_i")
 
 
-def since(df: DataFrame, keys: list[str], order: list[str], value: Column, reset: Column, out: str) -> DataFrame:
-    """Adds ``out``: struct of ``total``, the sum of ``value`` after the last row so far where ``reset`` holds, and ``seen``.
-
-    ``seen`` tells whether there was such a row; before it the total runs from the
-    key's first row.  Only part rows are looked at across parts.
-    """
-    rows = ordered_parts(df, keys, order).withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")).withColumn(
-        "_z", F.coalesce(reset, F.lit(False)))
-    upto = Window.partitionBy(*keys, PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.sum("_v").over(upto)).withColumn("_m", F.max(F.when(F.col("_z"), F.col("_c"))).over(upto))
-    parts = rows.groupBy(*keys, PART).agg(F.sum("_v").alias("_t"), F.max("_m").alias("_l"))
-    back = _before(keys, PART)
-    # Totals of the parts before this one, and what of them lies before the last reset among them.
-    parts = (parts.withColumn("_b", F.coalesce(F.sum("_t").over(back), F.lit(0)))
-             .withColumn("_x", F.last(F.when(F.col("_l").isNotNull(), F.col("_b") + F.col("_l")), ignorenulls=True).over(back))
-             .select(*keys, PART, "_b", "_x"))
-    last = F.coalesce(F.col("_b") + F.col("_m"), F.col("_x"))
-    found = F.struct((F.col("_b") + F.col("_c") - F.coalesce(last, F.lit(0))).alias("total"), last.isNotNull().alias("seen"))
-    return _joined(rows, parts, keys, [PART]).withColumn(out, found).drop("_v", "_z", "_c", "_m", "_b", "_x")
-
-
-def previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], keep: Column,
-             carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``prev``: struct of ``values`` of the last earlier row where ``keep`` holds.
-
-    ``carry`` (keys, prev) stands in before the first row of a key.  Within a part
-    a window looks back; across parts the last kept row of each part is carried
-    forward over part rows only.
-    """
-    rows = ordered_parts(df, keys, order).withColumn("_e", F.when(keep, F.struct(*values)))
-    lasts = rows.groupBy(*keys, PART).agg(F.max_by("_e", F.when(F.col("_e").isNotNull(), F.col(AT))).alias("_l"))
-    carried = lasts.withColumn("_c", F.last("_l", ignorenulls=True).over(_before(keys, PART))).drop("_l")
-    inside = rows.withColumn("_i", F.last("_e", ignorenulls=True).over(_before([*keys, PART], AT)))
-    out = _joined(inside, carried, keys, [PART]).withColumn("_p", F.coalesce("_i", "_c"))
-    if carry is not None:
-        out = _joined(out, carry.select(*keys, F.col("prev").alias("_before")), keys, [], "left") \
-            .withColumn("_p", F.coalesce("_p", "_before")).drop("_before")
-    return out.withColumn("prev", F.col("_p")).drop("_e", "_i", "_c", "_p")
-
-
-def state_scan(df: DataFrame, keys: list[str], order: list[str], transition: str,
-               states: int, out: str, chunk: int = 256, start: DataFrame | None = None) -> DataFrame:
-    """Fold a finite state machine in order and add the state after each row.
-
-    ``start`` (keys, state) gives the state of a key before its first row, else 0.
-
-    ``transition`` names an array<int> column: entry s is the next state from
-    state s.  Transitions compose associatively, so each piece of ``chunk`` rows
-    is reduced to one composed transition, pieces to groups, groups to parts,
-    parts to keys; start states then travel back down the same levels.  Every
-    collected array is bounded by ``chunk`` or by the number of parts.
-    """
-    rows = df = ordered_parts(df, keys, order)
-    number = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(AT)) - 1
-    rows = rows.withColumn("_n", number).withColumns({
-        "_g2": F.floor(F.col("_n") / chunk ** 3), "_g1": F.floor(F.col("_n") / chunk ** 2),
-        "_g0": F.floor(F.col("_n") / chunk)})
-    levels = [PART, "_g2", "_g1", "_g0"]
-    identity = F.array(*[F.lit(s) for s in range(states)])
-
-    def reduced(items: Column) -> Column:
-        return F.aggregate(items, identity, lambda acc, r: F.transform(
-            acc, lambda s: F.get(r["_f"], s)))
-
-    # Upwards: one composed transition per group of every level.
-    pieces = rows.groupBy(*keys, *levels).agg(F.array_sort(F.collect_list(
-        F.struct(AT, F.col(transition).alias("_f")))).alias("_items"))
-    ladder = [pieces]
-    for depth in range(len(levels) - 1, -1, -1):
-        maps = ladder[-1].withColumn("_f", reduced(F.col("_items")))
-        ladder.append(maps.groupBy(*keys, *levels[:depth]).agg(F.array_sort(F.collect_list(
-            F.struct(levels[depth], "_f"))).alias("_items")))
-    # Downwards: the state in which each group, and finally each row, starts.
-    starts = ladder[-1].withColumn("_s", F.lit(0))
-    if start is not None:
-        known = start.select(*keys, F.least(F.col("state"), F.lit(states - 1)).cast("int").alias("_s"))
-        starts = _joined(ladder[-1], known, keys, [], "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
-    for depth, level in enumerate(levels):
-        child = starts.select(*keys, *levels[:depth], F.inline(F.transform(
-            _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(
-                x["row"][level].alias(level), x["before"].alias("_s")))))
-        starts = _joined(ladder[len(levels) - 1 - depth], child, keys, levels[:depth + 1])
-    walked = starts.select(F.inline(F.transform(
-        _walk(F.col("_items"), F.col("_s")), lambda x: F.struct(x["row"][AT].alias(AT), x["after"].alias(out)))))
-    return df.join(walked, AT)
-
-
-def _walk(items: Column, start: Column) -> Column:
-    """array<struct<row, before, after>> of a bounded run of transitions."""
-    empty = F.transform(F.slice(items, 1, 0), lambda r: F.struct(
-        r.alias("row"), F.lit(0).alias("before"), F.lit(0).alias("after")))
-    done = F.aggregate(
-        items, F.struct(start.alias("s"), empty.alias("seen")),
-        lambda acc, r: F.struct(
-            F.get(r["_f"], acc["s"]).alias("s"),
-            F.concat(acc["seen"], F.array(F.struct(
-                r.alias("row"), acc["s"].alias("before"),
-                F.get(r["_f"], acc["s"]).alias("after")))).alias("seen")))
-    return done["seen"]
-
-
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float],
                     accuracy: int = 10000) -> DataFrame:
     """(by…, q, value): linear-interpolated quantiles, exact at any size.

@@ -94,39 +94,57 @@ def spend_by_month(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.sum("cost_micros").alias("cost_micros"))
 
 
-def _machine(calls: DataFrame, key: str, fold, kept: Column, out: str, checkpoint: str,
-             fields: tuple[str, ...] = ("ts", "outcome")) -> StreamingQuery:
+def _machine(calls: DataFrame, key: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame], ignored: list[str],
+             out: str, checkpoint: str, forget: str) -> StreamingQuery:
+    """Fold every micro-batch from the carried counts; the folded batch is written once and the next counts derive from it.
+
+    What is carried is one row for each key with a bearing call in the last
+    ``forget`` of event time, so keys that are not used any more leave the state.
+    """
     state_path = f"{out}-state"
 
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+    def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{state_path}/batch_id={batch_id - 1}"
         carry = spark.read.parquet(before) if batch_id > 0 and _exists(spark, before) else None
-        folded = fold(batch, carry)
-        order = F.struct("ts", "call_id")
+        fold(batch, carry).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        folded = spark.read.parquet(f"{out}/batch_id={batch_id}")
+        order, bears = F.struct("ts", "call_id"), ~F.col("outcome").isin(ignored)
+        stated = F.col("retry_after").cast("double") if "retry_after" in folded.columns else F.lit(None).cast("double")
         state = folded.groupBy(key).agg(
-            F.max_by(F.when(kept, F.struct(*[c if c in folded.columns else F.lit(None).cast("double").alias(c) for c in fields])), F.when(kept, order)).alias("prev"),
-            F.max_by("failures", order).alias("state"))
+            F.max_by(F.struct(F.col("outcome").alias("kind"), "ts", stated.alias("retry_after")), F.when(bears, order)).alias("_l"),
+            F.max_by("failures", order).alias("failures"), F.max("ts").alias("_seen"))
+        state = state.select(key, "_l.*", "failures", "_seen")
         if carry is not None:
-            # A batch of bad requests only leaves the earlier failure in force.
-            older = carry.select(key, F.col("prev").alias("_p"), F.col("state").alias("_s"))
-            state = state.join(older, key, "full").select(
-                key, F.coalesce("prev", "_p").alias("prev"), F.coalesce("state", "_s").alias("state"))
+            # Keys without a call in this batch, and last bearing calls of keys that only had bad requests.
+            older = carry.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}_") for c in ("kind", "ts", "retry_after", "failures", "_seen")])
+            both = state.withColumn("_in", F.lit(True)).join(older, F.col(key).eqNullSafe(F.col("_k")), "full")
+            known = F.col("_in")
+            state = both.select(
+                F.when(known, F.col(key)).otherwise(F.col("_k")).alias(key),
+                *[F.when(known & F.col("kind").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}_")).alias(c) for c in ("kind", "ts", "retry_after")],
+                F.when(known, F.col("failures")).otherwise(F.col("_failures_")).alias("failures"),
+                F.greatest("_seen", "__seen_").alias("_seen"))
+        newest = state.agg(F.max("_seen")).first()[0]
+        if newest is not None:
+            state = state.where(F.coalesce(F.col("_seen") >= F.lit(newest) - F.expr(f"INTERVAL {forget}"), F.lit(True))
+                                | (F.col("kind") == "invalid_key"))
         state.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
-        return folded
 
-    return write_batches(calls, out, checkpoint, step)
+    return calls.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
 
 
-def stream_key_health(calls: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Key state after each call, continued across micro-batches that arrive in time order."""
-    return _machine(calls, "key_id", routing.key_health, F.col("outcome") != "bad_request", out, checkpoint,
-                    ("ts", "outcome", "retry_after"))
+def stream_key_health(calls: DataFrame, out: str, checkpoint: str, forget: str = "7 days") -> StreamingQuery:
+    """Key state after each call, continued across micro-batches that arrive in time order.
+
+    ``forget`` should be longer than any cool-down; invalid keys are never forgotten.
+    """
+    return _machine(calls, "key_id", routing.key_health, ["bad_request"], out, checkpoint, forget)
 
 
-def stream_circuit_breaker(calls: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def stream_circuit_breaker(calls: DataFrame, out: str, checkpoint: str, forget: str = "7 days") -> StreamingQuery:
     """Breaker state after each call, continued across micro-batches that arrive in time order."""
-    return _machine(calls, "provider", routing.circuit_breaker, F.lit(True), out, checkpoint)
+    return _machine(calls, "provider", routing.circuit_breaker, [], out, checkpoint, forget)
 
 
 def expire_stream(uploads: DataFrame) -> DataFrame:

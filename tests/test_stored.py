@@ -154,22 +154,6 @@ def test_key_health_and_breaker_states(spark):
     assert [opened[n] for n in range(9)] == [False] * 4 + [True, True, True, False, False]
 
 
-def test_state_scan_equals_sequential_fold_on_one_hot_key(spark):
-    """One key, one hour, many rows: the pieces must chain exactly."""
-    import random
-    rng = random.Random(2)
-    n, states = 3000, 4
-    maps = [[rng.randrange(states) for _ in range(states)] for _ in range(n)]
-    df = spark.createDataFrame([(k, 0, m) for k, m in enumerate(maps)], "id long, key int, f array<int>")
-    out = scan.state_scan(df, ["key"], ["id"], "f", states, "s", chunk=7)
-    got = {r["id"]: r["s"] for r in out.select("id", "s").collect()}
-    s, want = 0, {}
-    for k, m in enumerate(maps):
-        s = m[s]
-        want[k] = s
-    assert got == want
-
-
 def test_exact_quantiles_on_skewed_values(spark):
     import numpy as np
     values = [0.0] * 20000 + [float(x) ** 3 for x in range(15000)] + [1e12]
