@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweir.llm.filters import KeyFilter, filter_of
-from docweir.llm.words import keys, mix, slices, words_of
+from docweir.llm.words import distinct, keys, mix, slices, words_of
 from docweir.session import materialise
 
 WORDS = 5
@@ -71,7 +71,7 @@ def sets_of(texts: pa.Array, words: int = WORDS) -> Sets:
         own = [found.hashes[found.bounds[i]:found.bounds[i + 1]] for i in few]
         whole = np.array([(h * _SEEDS[:len(h)]).sum(dtype=np.uint64) + np.uint64(len(h)) for h in own], np.uint64)
         tokens, owner = np.concatenate([tokens, mix(whole)]), np.concatenate([owner, few])
-    packed = np.unique((owner.astype(np.uint64) << np.uint64(53)) | (tokens >> np.uint64(11)))
+    packed = distinct((owner.astype(np.uint64) << np.uint64(53)) | (tokens >> np.uint64(11)))
     owner = (packed >> np.uint64(53)).astype(np.int64)
     return Sets(packed & np.uint64((1 << 53) - 1), np.searchsorted(owner, np.arange(len(texts) + 1)))
 
@@ -203,8 +203,8 @@ def _prefixes(docs: DataFrame, sketch: Broadcast, words: int, threshold: int,
     """The first tokens of every set under each order, for the centre its text stands behind.
 
     ``docs`` has ``text`` and, where texts may stand behind others, ``center`` and
-    ``single`` (whether the centre has no other member).  Rows: 48 bits of the
-    token with the number of its order in the two lowest bits, the centre, sizes of
+    ``single`` (whether the centre has no other member).  Rows: the token's 48-bit
+    place in the order, with the number of the order in the two lowest bits, the centre, sizes of
     the smallest and largest set, and the most tokens that any of them has from
     here on.  ``aside`` are signatures that are left out (they come another way).
     """
@@ -230,8 +230,8 @@ def _prefixes(docs: DataFrame, sketch: Broadcast, words: int, threshold: int,
             near = place < reach
             held, rest = owner[near], (sizes[owner] - place)[near]
             for k in range(ORDERS):
-                order = np.argsort(above | common | (mix(tokens ^ _SEEDS[k]) >> np.uint64(16)))[near]
-                token = ((tokens[order] >> np.uint64(5)) << np.uint64(2)) | np.uint64(k)
+                order = np.sort(above | common | (mix(tokens ^ _SEEDS[k]) >> np.uint64(16)))[near]
+                token = ((order & np.uint64((1 << 48) - 1)) << np.uint64(2)) | np.uint64(k)
                 columns = (token.view(np.int64), center[held], sizes[held], sizes[held], rest, single[held])
                 yield _combined(*columns) if centered else _batch(*columns)
 

@@ -46,6 +46,12 @@ def _place_keys(n: int) -> np.ndarray:
     return _places
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of an array, sorted (one sort; ``np.unique`` builds a hash table first)."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.r_[True, x[1:] != x[:-1]])] if len(x) else x
+
+
 class Words:
     """Words of several texts in one row of fingerprints.
 
