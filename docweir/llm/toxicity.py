@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.words import slices, words_of
+from docweir.llm.words import distinct, slices, words_of
 from docweir.session import materialise
 
 #: Hashed words that a text can hold.
@@ -41,7 +41,7 @@ def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = words_of(plain, lower=True, head=head)
         owner = np.repeat(np.arange(len(texts)), words.counts())
         found.append(owner * FEATURES + (words.hashes % np.uint64(FEATURES)).astype(np.int64))
-    both = np.unique(np.concatenate(found))
+    both = distinct(np.concatenate(found))
     return both // FEATURES, both % FEATURES
 
 
