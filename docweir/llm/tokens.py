@@ -32,23 +32,24 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Encoded words that a Python worker keeps (about 200 bytes each), and pairs of tokens it has compared.
-MEMO_WORDS = 500_000
-MEMO_PAIRS = 500_000
+#: Bytes of encoded words that a Python worker keeps during a task, over all its memos, and pairs of tokens it has compared.
+MEMO_BYTES = 64 << 20
+MEMO_PAIRS = 250_000
+#: What an entry of a memo takes beside its word and ids: two object heads and the dictionary's slot, with room to grow.
+_ENTRY = 200
 
 
 class _Memo(dict):
-    """Packed ids of words, each encoded when first asked for; emptied when full."""
+    """Packed ids of words, each encoded when first asked for; ``room`` is told of every entry."""
 
-    def __init__(self, encode, before: str):
+    def __init__(self, encode, before: str, room):
         super().__init__()
-        self._encode, self._before = encode, before
+        self._encode, self._before, self._room = encode, before, room
 
     def __missing__(self, word: str) -> bytes:
         packed = self._encode(self._before + word)
         if len(word) <= 64:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
+            self._room(_ENTRY + 2 * len(word) + len(packed))
             self[word] = packed
         return packed
 
@@ -98,9 +99,24 @@ class ByteBpe:
         self._stretches = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
         # Where splitting at every space and line end would not give such stretches.
         self._odd_space = re.compile(rf"[ \n][{SPACE}]|[{SPACE}]\n|^[ \n]|[ \n]\Z")
-        self._words, self._spaced = _Memo(self._stretch, ""), _Memo(self._stretch, " ")
+        self._words, self._spaced = _Memo(self._stretch, "", self._room), _Memo(self._stretch, " ", self._room)
         self._agrees: list[dict[int, bool]] = [{} for _ in self.bytes_of]
-        self._pairs = 0
+        self._pairs = self._held = 0
+
+    def _room(self, more: int) -> None:
+        if self._held + more > MEMO_BYTES:
+            self._words.clear()
+            self._spaced.clear()
+            self._held = 0
+        self._held += more
+
+    def forget(self) -> None:
+        """Drop what was learnt from texts; a worker that goes on to other tasks keeps the vocabulary alone."""
+        self._words.clear()
+        self._spaced.clear()
+        for row in self._agrees:
+            row.clear()
+        self._pairs = self._held = 0
 
     @staticmethod
     def _spine(token: int, halves: dict[int, tuple[int, int, int]], side: int) -> list[tuple[int, int]]:
@@ -235,12 +251,15 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in slices(batches, text):
-            packed = [own.encode(x or "") for x in batch.column(text).to_pylist()]
-            columns = [batch.column(f.name) for f in kept] + [_packed_lists(packed)]
-            if decoded:
-                columns.append(pa.array([own.decode(x) for x in packed], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        try:
+            for batch in slices(batches, text):
+                packed = [own.encode(x or "") for x in batch.column(text).to_pylist()]
+                columns = [batch.column(f.name) for f in kept] + [_packed_lists(packed)]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in packed], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        finally:
+            own.forget()
     return docs.mapInArrow(run, schema)
 
 

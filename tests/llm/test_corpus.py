@@ -430,7 +430,7 @@ def test_codec_equals_the_library():
 
 
 def test_encode_and_decode(spark, odd, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_WORDS", 50)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 10_000)
     docs = table(spark, [*odd, (None, "<|endoftext|>", "s"), (0, None, "s")], clash=True)
     coded = tokens.encode(docs, BYTES_JSON, decoded="decoded")
     assert coded.columns == [*docs.columns, "ids", "decoded"]
