@@ -122,9 +122,16 @@ SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'no json ' || surname
  SELECT doc_id, surname, '{"person.name.surname_latin": "' || surname || '", "person.pinfl": "'
   || (CASE WHEN doc_id % 4 = 0 THEN substr(pinfl, 1, 13) || CAST((doc_id + 1) % 10 AS VARCHAR) ELSE pinfl END)
   || '", "person.birth_date": "' || strftime(birth, '%Y-%m-%d') || '", "person.address": "'
-  || (CASE WHEN doc_id % 6 = 0 THEN 'Toshkent' ELSE 'O''ZBEKISTON' END) || '", "person.phone": null}' AS body
+  || (CASE WHEN doc_id % 6 = 0 THEN 'Toshkent' ELSE 'O''ZBEKISTON' END) || '", "person.birth_place": "'
+  || (CASE doc_id % 4 WHEN 0 THEN 'OZBEKISTON RESPUBLIKSI' WHEN 1 THEN 'UZBEKISTAN RESPUBLIKASI' WHEN 2 THEN 'TOSHKENT SHAHRI' ELSE 'O''zbekiston Respublikasi' END)
+  || '", "person.phone": null}' AS body
  FROM persons)""")
 
+cte("image_replies", "persons")("""
+SELECT doc_id, '{"values": {"person.phone": "+998' || substr(pinfl, 1, 9) || '", "person.address": "RASM ' || surname || '"}, "legible": {"person.address": '
+  || (CASE WHEN doc_id % 3 = 0 THEN 'false' ELSE 'true' END) || '}}' AS reply,
+  '+998' || substr(pinfl, 1, 9) AS phone, CASE WHEN doc_id % 3 <> 0 THEN 'RASM ' || surname END AS address FROM persons WHERE doc_id % 2 = 0""")
+
 cte("golden", "persons")("""
 SELECT doc_id, path, value FROM (
   SELECT doc_id, unnest(['person.name.surname_latin', 'person.birth_date', 'person.pinfl', 'documents.0.doc_number']) AS path,

@@ -157,10 +157,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pinfl = F.when(d % 4 == 0, F.concat(F.substring("pinfl", 1, 13),
                                         ((d + 1) % 10).cast("string"))).otherwise(F.col("pinfl"))
     address = F.when(d % 6 == 0, "Toshkent").otherwise("O'ZBEKISTON")
+    # One letter lost, two letters misread, and a place that the text does not name.
+    birth_place = F.when(d % 4 == 0, "OZBEKISTON RESPUBLIKSI").when(d % 4 == 1, "UZBEKISTAN RESPUBLIKASI").when(
+        d % 4 == 2, "TOSHKENT SHAHRI").otherwise("O'zbekiston Respublikasi")
     body = F.concat(F.lit('{"person.name.surname_latin": "'), "surname",
                     F.lit('", "person.pinfl": "'), pinfl,
                     F.lit('", "person.birth_date": "'), F.date_format("birth", "yyyy-MM-dd"),
-                    F.lit('", "person.address": "'), address,
+                    F.lit('", "person.address": "'), address, F.lit('", "person.birth_place": "'), birth_place,
                     F.lit('", "person.phone": null}'))
     reply = (F.when(d % 11 == 0, F.concat(F.lit("no json "), "surname"))
              .when(d % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
@@ -169,6 +172,21 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", reply.alias("reply"))
 
 
+def image_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a vision model read on every second picture; every third address is marked illegible."""
+    d = F.col("doc_id")
+    body = F.concat(F.lit('{"values": {"person.phone": "+998'), F.substring("pinfl", 1, 9), F.lit('", "person.address": "RASM '), "surname",
+                    F.lit('"}, "legible": {"person.address": '), F.when(d % 3 == 0, "false").otherwise("true"), F.lit("}}"))
+    return persons(spark, sf_dir).where(d % 2 == 0).select("doc_id", body.alias("reply"))
+
+
+def turned_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents refused before recognition: every ninth picture is bad, every ninth of no known type."""
+    d = F.col("doc_id")
+    return persons(spark, sf_dir).where((d % 9).isin(1, 4)).select(
+        "doc_id", F.when(d % 9 == 1, "bad_quality").otherwise("unknown_doc_type").alias("status"))
+
+
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected values, long form (doc_id, path, value)."""
     p = persons(spark, sf_dir)

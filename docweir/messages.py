@@ -31,6 +31,8 @@ QUALITY = {
     "moire": "Ekrandan olingan surat aniqlandi — asl hujjatni suratga oling",
 }
 UNKNOWN_TYPE = "Hujjat turi aniqlanmadi. Pasport, ID karta yoki diplom suratini yuklang."
+REFUSED_BY_POLICY = ("Demo rejimida haqiqiy hujjat qabul qilinmaydi. Mashina o'qiydigan zona (MRZ) lokal o'qildi, lekin qolgan "
+                     "maydonlarni tahlil qilish uchun pullik rejim kerak.")
 LOCAL_ONLY = "Qo'shimcha tahlil qatlami mavjud emas — natija faqat lokal o'qish asosida"
 MISSING_REQUIRED = " ta majburiy maydon bo'sh qoldi — hujjatni yuborishdan oldin to'ldiring"
 EMPTY_FILE = "Fayl bo'sh"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir import messages as msg
 from docweir.functions import patterns as p
-from docweir.functions.similarity import fuzz_partial_ratio
+from docweir.functions.similarity import partial_at_least
 from docweir.functions.text import digits, extract_json, let, norm_for_grounding, strip
 from docweir.schema import EXACT_MATCH_PATHS, is_empty
 from docweir.session import materialise
@@ -46,8 +46,8 @@ def evidence(texts: DataFrame, text: str = "text") -> DataFrame:
 def ground(values: DataFrame, texts: DataFrame, threshold: float | None = 90) -> DataFrame:
     """Adds ``accepted`` and ``reason`` to (doc_id, path, value).
 
-    The exact tests decide almost every row inside the JVM; only values they
-    cannot decide, together with their text, go to the similarity UDF.
+    The exact tests decide almost every row inside the JVM; of the values they
+    cannot decide, only those of which a piece stands in the text go to Python.
     ``threshold=None`` leaves the fuzzy step out.
     """
     value = strip(F.col("value"))
@@ -79,10 +79,9 @@ def ground(values: DataFrame, texts: DataFrame, threshold: float | None = 90) ->
                    .when(F.col("_kind") == "id", strict_ok).otherwise(text_ok), F.lit(False))))
     if threshold is not None:
         open_case = ~F.col("_ok") & (F.col("_kind") == "text")
-        score = fuzz_partial_ratio(F.when(open_case, F.col("_vnorm")),
-                                   F.when(open_case, F.coalesce("_norm", F.lit(""))))
-        decided = decided.withColumn("_score", score).withColumn(
-            "_ok", F.col("_ok") | F.coalesce(F.col("_score") >= threshold, F.lit(False))).drop("_score")
+        near = partial_at_least(F.when(open_case, F.col("_vnorm")),
+                                F.when(open_case, F.coalesce("_norm", F.lit(""))), threshold)
+        decided = decided.withColumn("_ok", F.col("_ok") | F.coalesce(near, F.lit(False)))
     reason = (F.when(F.col("_ok"), F.lit(None).cast("string"))
               .when(F.col("_kind") == "date", REASON_DATE)
               .when(F.col("_kind") == "id", REASON_ID).otherwise(REASON_TEXT))

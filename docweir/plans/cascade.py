@@ -7,11 +7,14 @@ paid step is asked for as little as possible.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docweir import messages as msg
 from docweir.operators import gates, grounding, merge, mrz, rules
+from docweir.plans.answering import Answers
 from docweir.session import materialise
 from docweir.schema import STAGE_RANK, is_empty, string_array
 
@@ -39,6 +42,12 @@ class CascadeResult:
     warnings: DataFrame
     requests: DataFrame
     rejected: DataFrame | None = None
+    usage: DataFrame | None = None
+    not_sent: DataFrame | None = None
+
+
+#: Takes batched requests (doc_id, request, fields) and texts (doc_id, text), and answers them (``answering.answer``).
+Answerer = Callable[[DataFrame, DataFrame], Answers]
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -70,18 +79,26 @@ def open_requests(merged: DataFrame, documents: DataFrame, threshold: float) ->
 
 def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
             config: CascadeConfig = CascadeConfig(), image_replies: DataFrame | None = None,
-            doc_types: DataFrame | None = None) -> CascadeResult:
+            doc_types: DataFrame | None = None, turned_away: DataFrame | None = None,
+            answer_text: Answerer | None = None, answer_image: Answerer | None = None) -> CascadeResult:
     """Run all stages over ``lines`` (doc_id, line_no, text).
 
+    ``answer_text`` and ``answer_image`` pay for answers where ``replies`` and
+    ``image_replies`` are not given; ``usage`` then has their calls, ``documents``
+    their ``cost_micros`` and ``not_sent`` (doc_id, request, reason) what was refused
+    or failed.  ``turned_away`` (doc_id, status) are documents refused before
+    recognition (see ``admit``); they are documents without fields.
+
     ``doc_types`` (doc_id, doc_type) opens the education fields of diplomas.
     ``requests`` has all open fields, in batches of at most 25 (doc_id, request,
     fields); ``rejected`` the answers that the text does not bear out.
 
     ``replies`` and ``image_replies`` (doc_id, reply) hold what a model answered
     to the requests, read back from where they were written: a paid call never
-    sits inside a plan that may be retried.  Documents refused before
-    recognition must be filtered out by the caller (see ``admit``).
+    sits inside a plan that may be retried.
     """
+    if turned_away is not None:
+        lines = lines.join(turned_away.select("doc_id"), "doc_id", "left_anti")
     documents = lines.select("doc_id").distinct()
     if doc_types is not None:
         documents = documents.join(doc_types.select("doc_id", "doc_type"), "doc_id", "left")
@@ -107,9 +124,12 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
         "doc_id", F.lit(1).alias("n"), F.lit("L1_rules").alias("stage")).distinct())
     requests = open_requests(first, documents, config.threshold)
     batched = requests.select("doc_id", F.posexplode(merge.unresolved_requests(F.col("fields"))).alias("request", "fields"))
-    merged = first
+    merged, paid = first, []
+    texts = merge.ocr_text(lines)
+    if config.use_replies and replies is None and answer_text is not None:
+        paid.append(answer_text(batched, texts))
+        replies = paid[-1].replies
     if config.use_replies and replies is not None:
-        texts = merge.ocr_text(lines)
         answered = _answers(grounding.parse_reply(replies), requests)
         checked = grounding.ground(answered, texts, config.fuzzy_threshold)
         rejected = checked.filter(~F.col("accepted"))
@@ -118,15 +138,31 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
             _as_candidates(kept, "llm_text", config.text_confidence))))
         stages = stages.unionByName(requests.join(replies.select("doc_id"), "doc_id", "left_semi").select(
             "doc_id", F.lit(2).alias("n"), F.lit("L2_llm_text").alias("stage")))
-    if image_replies is not None:
+    if image_replies is not None or answer_image is not None:
+        if config.materialise:
+            merged = materialise(merged, "text-stages")
         left = open_requests(merged, documents, config.threshold).filter(
             F.size("fields") >= config.image_min_unresolved)
+        if image_replies is None:
+            paid.append(answer_image(left.select("doc_id", F.lit(0).alias("request"), "fields"), texts))
+            image_replies = paid[-1].replies
         seen = _answers(grounding.parse_reply(image_replies), left).filter(~is_empty(F.col("value")))
         merged = merge.merge_fields(merged.unionByName(_ranked(
             _as_candidates(seen, "vlm", config.image_confidence))))
         stages = stages.unionByName(left.join(image_replies.select("doc_id"), "doc_id", "left_semi").select(
             "doc_id", F.lit(3).alias("n"), F.lit("L3_vlm").alias("stage")))
 
+    usage = not_sent = costs = refusals = None
+    for answers in paid:
+        usage = answers.usage if usage is None else usage.unionByName(answers.usage)
+        not_sent = answers.refused if not_sent is None else not_sent.unionByName(answers.refused)
+        cost = answers.replies.select("doc_id", "cost_micros")
+        costs = cost if costs is None else costs.unionByName(cost)
+    if not_sent is not None:
+        policy = ~F.col("reason").startswith("call ")
+        refusals = not_sent.select("doc_id", F.when(policy, msg.REFUSED_BY_POLICY).otherwise(msg.LOCAL_ONLY).alias("warning")).distinct()
+        stages = stages.unionByName(not_sent.where(policy).select(
+            "doc_id", F.lit(4).alias("n"), F.lit("L2_refused_policy").alias("stage")).distinct())
     used = stages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_set(
         F.struct("n", "stage"))), lambda s: s["stage"]).alias("stages_used"))
     typed = merged if doc_types is None else merged.join(documents, "doc_id", "left")
@@ -137,7 +173,19 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
                .withColumn("needs_review", F.coalesce("needs_review", merge.paths_for(kind)))
                .withColumn("status", F.coalesce("status", F.lit("review_needed")))
                .withColumn("stages_used", F.coalesce("stages_used", string_array([]))))
-    return CascadeResult(merged, summary, warnings(zones, zone_rows, merged, lines, today, config), batched, rejected)
+    if costs is None:
+        summary = summary.withColumn("cost_micros", F.lit(0).cast("long"))
+    else:
+        summary = summary.join(costs.groupBy("doc_id").agg(F.sum("cost_micros").alias("cost_micros")), "doc_id", "left").fillna(
+            0, ["cost_micros"])
+    if turned_away is not None:
+        none = turned_away.select("doc_id", "status").withColumns({
+            "overall_confidence": F.lit(0.0), "needs_review": string_array([]), "stages_used": string_array([]), "cost_micros": F.lit(0).cast("long")})
+        summary = summary.unionByName(none, allowMissingColumns=True)
+    told = warnings(zones, zone_rows, merged, lines, today, config)
+    if refusals is not None:
+        told = told.unionByName(refusals)
+    return CascadeResult(merged, summary, told, batched, rejected, usage, not_sent)
 
 
 def _answers(parsed: DataFrame, requests: DataFrame) -> DataFrame:
