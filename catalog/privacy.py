@@ -96,6 +96,29 @@ def _(spark, d):
     return privacy.redact_secrets(e.select("event_id", line.alias("line")), "line", _SECRETS)
 
 
+_secret = "'sk-' || md5(c_custkey || '')"
+
+
+@register("redact_secrets_table", sql(f"""
+SELECT o_orderkey, 'order ' || CASE o_orderkey % 4 WHEN 0 THEN 'clean ' || o_orderstatus
+  WHEN 1 THEN 'by <redacted:c' || o_custkey || '>' WHEN 2 THEN 'by <redacted:long-c' || o_custkey || '>,<redacted:c' || o_custkey || '>'
+  ELSE '<redacted:c' || o_custkey || '><redacted:c' || o_custkey || '> ' || substr('sk-' || md5(o_custkey || ''), 1, 30) END AS line FROM orders"""))
+def _(spark, d):
+    """Two secrets for each customer, one the beginning of the other, in lines about orders."""
+    def secret(key):
+        return F.concat(F.lit("sk-"), F.md5(key.cast("string").cast("binary")))
+
+    c, key = i.table(spark, d, "customer"), F.col("c_custkey")
+    name = F.concat(F.lit("c"), key.cast("string"))
+    secrets = c.select(name.alias("key_id"), secret(key).alias("secret")).unionByName(
+        c.select(F.concat(F.lit("long-"), name).alias("key_id"), F.concat(secret(key), F.lit("/x")).alias("secret")))
+    k, s = F.col("o_orderkey") % 4, secret(F.col("o_custkey"))
+    line = (F.when(k == 0, F.concat(F.lit("clean "), "o_orderstatus")).when(k == 1, F.concat(F.lit("by "), s))
+            .when(k == 2, F.concat(F.lit("by "), s, F.lit("/x,"), s)).otherwise(F.concat(s, s, F.lit(" "), F.substring(s, 1, 30))))
+    orders = i.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("order "), line).alias("line"))
+    return privacy.redact_secrets(orders, "line", secrets)
+
+
 @register("find_unreserved_ids", sql("""
 SELECT doc_id, pinfl AS run FROM persons WHERE doc_id % 7 <> 0 AND NOT (substr(pinfl, 1, 1) IN ('3', '5') AND ends_with(pinfl, '12345'))""", "persons"))
 def _(spark, d):

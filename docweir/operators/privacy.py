@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions.patterns import REDACTIONS
+from docweir.session import materialise
 
 # Keys whose values are personal data wherever they appear.
 SENSITIVE_KEYS = [
@@ -144,17 +147,129 @@ def redact_json(c: Column) -> Column:
     return F.when(node.isNull(), F.coalesce(parsed, redact_text(c))).otherwise(_redacted(node, 0))
 
 
-def redact_secrets(df: DataFrame, text: str, secrets: dict[str, str]) -> DataFrame:
-    """Replace known key material (over six characters) by its label.
-
-    ``secrets`` maps key id to secret; they are credentials of the calling
-    process and therefore few.
+#: Characters by which a secret is found, and the fewest it has.
+SEED = 7
+#: Secrets that may be sent to every executor (some megabytes), and words of the filter that stands for more of them (2 MB).
+SMALL_SECRETS = 100_000
+FILTER_WORDS = 1 << 18
+
+
+def _seeds(text: str) -> np.ndarray:
+    """A fingerprint for every ``SEED`` characters of a text, in order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(max(0, len(codes) - SEED + 1), np.uint64)
+    for k in range(SEED):
+        h = h * np.uint64(1099511628211) + codes[k:k + len(h)]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _places(texts: list[str | None], found) -> Iterator[tuple[int, int, int]]:
+    """(row, place, fingerprint) where ``found`` says that a secret may begin; what runs over a text's end is for the caller to notice."""
+    plain = [t or "" for t in texts]
+    begins = np.cumsum([0, *(len(t) for t in plain)])
+    marks = _seeds("".join(plain))
+    at = np.flatnonzero(found(marks))
+    for p, row in zip(at.tolist(), (np.searchsorted(begins, at, side="right") - 1).tolist()):
+        yield row, p - int(begins[row]), int(marks[p].view(np.int64))
+
+
+def _labelled(text: str, hits: list[tuple[int, int, str]]) -> str:
+    """A text with its hits (place, length, key) replaced by labels: longer secrets first, each from left to right."""
+    taken: list[tuple[int, int, str]] = []
+    free = np.ones(len(text), bool)
+    for at, size, key in sorted(hits, key=lambda h: (-h[1], h[2], h[0])):
+        if free[at:at + size].all():
+            free[at:at + size] = False
+            taken.append((at, size, key))
+    out, done = [], 0
+    for at, size, key in sorted(taken):
+        out += [text[done:at], f"<redacted:{key}>"]
+        done = at + size
+    return "".join([*out, text[done:]])
+
+
+def redact_secrets(df: DataFrame, text: str, secrets: dict[str, str] | DataFrame) -> DataFrame:
+    """Replace known key material (over six characters) by its label ``<redacted:key_id>``.
+
+    ``secrets`` maps key ids to secrets, or is a table (key_id, secret) of any size.
+    The result is that of replacing one secret after the other, longer ones first
+    (of equal ones the smaller key id), where labels are not searched again.  Null
+    texts stay null; null and short secrets count for nothing.
+
+    Texts are searched for the first seven characters of all secrets at once, so
+    the plan does not depend on their number.  Up to ``SMALL_SECRETS`` (counted) go
+    to every executor and nothing is shuffled; beyond that a filter of fixed size
+    picks places that may begin a secret, and only those meet the table.
     """
-    out = F.col(text)
-    for key_id, secret in secrets.items():
-        if secret and len(secret) > 6:
-            out = F.replace(out, F.lit(secret), F.lit(f"<redacted:{key_id}>"))
-    return df.withColumn(text, out)
+    if isinstance(secrets, dict):
+        known = [(k, v) for k, v in secrets.items() if v and len(v) >= SEED]
+    else:
+        usable = secrets.where(F.length("secret") >= SEED).groupBy("secret").agg(F.min(F.col("key_id").cast("string")).alias("key_id"))
+        usable = materialise(usable, "secrets")
+        if usable.count() > SMALL_SECRETS:
+            return _redact_from_table(df, text, usable)
+        known = [(r["key_id"], r["secret"]) for r in usable.collect()]
+    by_seed: dict[str, list[tuple[str, str]]] = {}
+    for key, secret in known:
+        by_seed.setdefault(secret[:SEED], []).append((secret, key))
+    marks = np.sort(np.array([_seeds(s)[0] for s in by_seed], np.uint64))
+    shared = df.sparkSession.sparkContext.broadcast((by_seed, marks))
+
+    def found(own: np.ndarray) -> np.ndarray:
+        held = shared.value[1]
+        return held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own if len(held) else np.zeros(len(own), bool)
+
+    @F.arrow_udf("string")
+    def redacted(column: pa.Array) -> pa.Array:
+        texts, hits = column.to_pylist(), {}
+        for row, at, _ in _places(texts, found):
+            own = texts[row]
+            for secret, key in shared.value[0].get(own[at:at + SEED], ()):
+                if own.startswith(secret, at):
+                    hits.setdefault(row, []).append((at, len(secret), key))
+        for row, own in hits.items():
+            texts[row] = _labelled(texts[row], own)
+        return pa.array(texts, pa.string())
+    return df.withColumn(text, redacted(F.col(text)))
+
+
+def _redact_from_table(df: DataFrame, text: str, secrets: DataFrame) -> DataFrame:
+    """The same with secrets that meet their places in a join; ``secrets`` are unique."""
+    spark = df.sparkSession
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "texts-with-secrets")
+    seed = F.arrow_udf(lambda c: pa.array([int(_seeds(s)[0].view(np.int64)) for s in c.to_pylist()], pa.int64()), "long")
+    marked = materialise(secrets.withColumn("mark", seed(F.substring("secret", 1, SEED))), "secret-marks")
+    longest = marked.agg(F.max(F.length("secret"))).first()[0]
+    word = F.col("mark").bitwiseAND(FILTER_WORDS - 1)
+    bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(mark, 40) & 63 AS INT))")
+    words = marked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    filled = np.zeros(FILTER_WORDS, np.uint64)
+    filled[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(filled)
+
+    def found(own: np.ndarray) -> np.ndarray:
+        bits = shared.value[(own & np.uint64(FILTER_WORDS - 1)).astype(np.int64)]
+        return ((bits >> ((own >> np.uint64(40)) & np.uint64(63))) & np.uint64(1)) == 1
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("_row").to_pylist(), batch.column(text).to_pylist()
+            got = [(ids[r], at, mark, texts[r][at:at + longest]) for r, at, mark in _places(texts, found) if at + SEED <= len(texts[r])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*got) if got else ([],) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["_row", "at", "mark", "tail"])
+
+    met = rows.select("_row", text).mapInArrow(places, "_row long, at long, mark long, tail string").join(marked, "mark")
+    hits = met.where(F.startswith("tail", "secret")).groupBy("_row").agg(
+        F.collect_list(F.struct("at", F.length("secret").alias("size"), "key_id")).alias("_hits"))
+
+    @F.arrow_udf("string")
+    def redacted(column: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array([t if not h else _labelled(t, [(x["at"], x["size"], x["key_id"]) for x in h])
+                         for t, h in zip(column.to_pylist(), own.to_pylist())], pa.string())
+    joined = rows.join(hits, "_row", "left")
+    return joined.withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("_hits")))).select(*df.columns)
 
 
 def find_unreserved_ids(df: DataFrame, text: str, *keys: str) -> DataFrame:
