@@ -5,6 +5,7 @@ import json
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweir.operators import evaluation, files, grounding, privacy, routing, scan, templates as tpl
@@ -154,14 +155,26 @@ def test_key_health_and_breaker_states(spark):
     assert [opened[n] for n in range(9)] == [False] * 4 + [True, True, True, False, False]
 
 
-def test_exact_quantiles_on_skewed_values(spark):
+@pytest.mark.parametrize("targets", [0, 100_000])
+def test_exact_quantiles_equal_percentile(spark, monkeypatch, targets):
+    """Skewed, constant, tiny, negative and infinite values, null groups and values, with and without a broadcast."""
     import numpy as np
-    values = [0.0] * 20000 + [float(x) ** 3 for x in range(15000)] + [1e12]
-    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", 2.0)], "g string, v double")
-    got = {(r["g"], r["q"]): r["value"] for r in scan.exact_quantiles(df, ["g"], "v", [0.02, 0.5, 0.75, 0.98]).collect()}
-    for q in (0.02, 0.5, 0.75, 0.98):
-        assert abs(got["a", q] - np.quantile(values, q)) <= 1e-6 * max(1, abs(np.quantile(values, q)))
-    assert got["b", 0.5] == 1.5
+    monkeypatch.setattr(scan, "SMALL_TARGETS", targets)
+    rng = np.random.default_rng(1)
+    groups = {"skew": [0.0] * 20000 + [float(x) ** 3 for x in range(15000)] + [1e12], "pair": [1.0, 2.0], "one": [7.5], "same": [3.25] * 500,
+              "tiny": [-0.0, 0.0, 5e-324, -5e-324, 1e-300], "close": [1.0 + k * 2.0 ** -50 for k in range(300)],
+              "signs": rng.normal(0, 1e3, 4000).tolist(), "wide": (10.0 ** rng.uniform(-300, 300, 3000)).tolist(), None: [4.0, 5.0, 9.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("pair", None), ("nothing", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.02, 0.5, 0.75, 0.98, 1.0]
+    out = scan.exact_quantiles(df, ["g"], "v", qs)
+    got = {(r["g"], r["q"]): r["value"] for r in out.collect()}
+    want = {(r["g"], q): r["p"][k] for r in df.groupBy("g").agg(F.percentile("v", qs).alias("p")).collect() if r["p"] for k, q in enumerate(qs)}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12, abs=0) for k in want)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    every = {r["q"]: r["value"] for r in scan.exact_quantiles(df, [], "v", [0.5]).collect()}
+    assert every[0.5] == df.agg(F.percentile("v", F.lit(0.5))).first()[0]
 
 
 def test_running_total_with_equal_times(spark):
