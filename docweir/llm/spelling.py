@@ -235,7 +235,9 @@ def near_words(words: DataFrame) -> DataFrame:
         return pa.table({"word": pa.array(list(near), pa.string()), "n_near": pa.array([x[0] for x in rows], pa.int64()),
                          "best_n": pa.array([x[1] for x in rows], pa.int64()), "best": pa.array([x[2] for x in rows], pa.string())})
 
-    met = owners.unionByName(guests).groupBy("key", "row", "col").applyInArrow(search, _PAIRS)
+    # One column names a tile, so that the tiles of one subtree are dealt apart.
+    tile = F.concat_ws("/", F.hex("key"), "row", "col").alias("tile")
+    met = owners.unionByName(guests).select("word", "n", "used", tile).groupBy("tile").applyInArrow(search, _PAIRS)
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     return met.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select(
         "word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.word").alias("best"))
