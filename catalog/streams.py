@@ -83,7 +83,8 @@ def _(spark, d):
 def _(spark, d):
     out = scratch_path(spark, "docweir-streams/month")
     jobs.write_batches(jobs.spend_by_month(call_stream(spark, d)), f"{out}/rows", f"{out}/checkpoint", mode="update").awaitTermination()
-    return jobs.latest_of_batches(spark, f"{out}/rows", "month").select(F.date_format("month", "yyyy-MM").alias("month"), "cost_micros")
+    days = jobs.latest_of_batches(spark, f"{out}/rows", "day")
+    return jobs.months_of(days).select(F.date_format("month", "yyyy-MM").alias("month"), "cost_micros")
 
 
 def _thirds(spark, d, name):
@@ -127,7 +128,7 @@ def _(spark, d):
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
     out = scratch_path(spark, "docweir-streams/progress")
     jobs.write_batches(jobs.job_progress(e), f"{out}/rows", f"{out}/checkpoint", mode="update").awaitTermination()
-    return jobs.latest_of_batches(spark, f"{out}/rows", "job_id").select("job_id", "status", "terminal")
+    return jobs.latest_of_batches(spark, f"{out}/rows", "job_id", ["ts", "seq"]).select("job_id", "status", "terminal")
 
 
 @register("review_sessions", sql("""

@@ -1,11 +1,11 @@
-"""Documents whose lines arrive in pieces (ST1): keyed state that holds a document until it is whole."""
+"""Keyed state with a life time: documents whose lines arrive in pieces (ST1), and the progress of jobs (ST8)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # State stores with several column families and timers need this provider.
@@ -68,12 +68,67 @@ def whole_documents(lines: DataFrame, wait: str = "1 hour", delay: str = "10 min
 
     Lines meet by document, so no group is larger than one.
     """
-    spark = lines.sparkSession
-    spark.conf.set(_PROVIDER_CONF, STATE_PROVIDER)
+    wait_ms = _millis(lines.sparkSession, wait)
     usable = lines.where("doc_id IS NOT NULL AND line_no IS NOT NULL AND ts IS NOT NULL").select(
         "doc_id", F.col("line_no").cast("long").alias("line_no"), "text", F.col("n_lines").cast("long").alias("n_lines"), "ts",
         F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
     shape = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, line_no long, text string, whole boolean"
-    wait_ms = spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {wait})").first()[0]
     return usable.groupBy("doc_id").transformWithStateInPandas(
-        _Assembly(int(wait_ms)), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+        _Assembly(wait_ms), outputStructType=shape, outputMode="Append", timeMode="EventTime")
+
+
+def _millis(spark: SparkSession, wait: str) -> int:
+    """An interval in milliseconds; also turns to the state provider that timers need."""
+    spark.conf.set(_PROVIDER_CONF, STATE_PROVIDER)
+    return int(spark.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {wait})").first()[0])
+
+
+class _Progress(StatefulProcessor):
+    """Keeps the latest status of an open job; a job that ends or falls silent leaves the store."""
+
+    def __init__(self, wait_ms: int, terminal: list[str]):
+        self._wait_ms, self._terminal = wait_ms, set(terminal)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._latest = handle.getValueState("latest", "ms long, seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        best = None
+        for part in rows:
+            for x in zip(part["ms"], part["seq"], part["status"], part["ts"]):
+                if best is None or x[:2] > best[:2]:
+                    best = x
+        known = tuple(self._latest.get()) if self._latest.exists() else None
+        if known is not None and known >= tuple(int(x) for x in best[:2]):
+            return
+        terminal = best[2] in self._terminal
+        if terminal:
+            self._latest.clear()
+        else:
+            self._latest.update((int(best[0]), int(best[1])))
+            self._handle.registerTimer(max(int(best[0]), timerValues.getCurrentWatermarkInMs()) + self._wait_ms)
+        yield pd.DataFrame({"job_id": [key[0]], "status": [best[2]], "ts": [best[3]], "seq": [int(best[1])], "terminal": [terminal]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._latest.exists() and self._latest.get()[0] + self._wait_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self._latest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def job_progress(statuses: DataFrame, terminal: list[str], wait: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Stream of (job_id, status, ts, seq, terminal): a row whenever a batch brings a later status of a job; for update mode.
+
+    ``statuses``: job_id, status, ts, seq.  Only open jobs are in the state, and those
+    only until nothing was heard of them for ``wait``; readers take the row of largest
+    (ts, seq), so a status that comes late to a job that has left does no harm.
+    """
+    wait_ms = _millis(statuses.sparkSession, wait)
+    usable = statuses.where("job_id IS NOT NULL AND ts IS NOT NULL").select(
+        "job_id", "status", "ts", F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.unix_millis("ts").alias("ms")).withWatermark("ts", delay)
+    shape = f"job_id {statuses.schema['job_id'].dataType.simpleString()}, status string, ts timestamp, seq long, terminal boolean"
+    return usable.groupBy("job_id").transformWithStateInPandas(
+        _Progress(wait_ms, terminal), outputStructType=shape, outputMode="Update", timeMode="EventTime")

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docweir.operators import merge, mrz, routing
 from docweir.schema import STAGE_RANK
 from docweir.session import materialise
+from docweir.streaming import assembly
 from docweir.streaming.assembly import whole_documents
 
 # Job statuses after which nothing more follows.
@@ -89,9 +90,20 @@ def spend_by_day(calls: DataFrame, daily_micros: int, delay: str = "10 minutes")
                        (F.col("cost_micros") >= daily_micros).alias("over_limit"))
 
 
-def spend_by_month(calls: DataFrame) -> DataFrame:
-    """(month, cost_micros), updated as calls arrive."""
-    return calls.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.sum("cost_micros").alias("cost_micros"))
+def spend_by_month(calls: DataFrame, delay: str = "2 days") -> DataFrame:
+    """(month, day, cost_micros), updated as calls arrive; for update mode.
+
+    Only days that may still change are in the state; ``months_of`` adds the days up.
+    Calls more than ``delay`` behind the newest do not count any more.
+    """
+    days = calls.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.sum("cost_micros").alias("cost_micros"))
+    day = F.to_date("window.start")
+    return days.select(F.trunc(day, "month").alias("month"), day.alias("day"), "cost_micros")
+
+
+def months_of(days: DataFrame) -> DataFrame:
+    """(month, cost_micros) from the newest row of each day."""
+    return days.groupBy("month").agg(F.sum("cost_micros").alias("cost_micros"))
 
 
 def _machine(calls: DataFrame, key: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame], ignored: list[str],
@@ -153,18 +165,44 @@ def expire_stream(uploads: DataFrame) -> DataFrame:
     return seen.groupBy("storage_key", "job_id", "expires_at").agg(F.count("*").alias("copies"))
 
 
-def job_progress(statuses: DataFrame) -> DataFrame:
-    """Latest status per job with its terminal flag; for update mode."""
-    latest = statuses.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"),
-                                            F.max("ts").alias("ts"))
-    return latest.withColumn("terminal", F.col("status").isin(TERMINAL))
+def job_progress(statuses: DataFrame, wait: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Latest status per job with its terminal flag; for update mode (``assembly.job_progress``)."""
+    return assembly.job_progress(statuses, TERMINAL, wait, delay)
 
 
-def latest_of_batches(spark: SparkSession, out: str, key: str) -> DataFrame:
-    """The newest version of every key an update-mode job wrote."""
-    df = read_batches(spark, out)
-    rest = [c for c in df.columns if c not in (key, "batch_id")]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(key, "r.*")
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Batch ids for which ``path`` has a folder ``name=<id>``."""
+    if not _exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    names = [f.getPath().getName() for f in listed]
+    return sorted(int(n[len(name) + 1:]) for n in names if n.startswith(f"{name}="))
+
+
+def latest_of_batches(spark: SparkSession, out: str, key: str, order: list[str] | None = None) -> DataFrame:
+    """The newest version of every key an update-mode job wrote: largest ``order``, else latest batch.
+
+    Reads the newest summary that ``sum_up`` has written and only the batches after it.
+    """
+    base = _numbers(spark, f"{out}-summary", "upto")
+    batches = [n for n in _numbers(spark, out, "batch_id") if not base or n > base[-1]]
+    parts = [spark.read.parquet(f"{out}/batch_id={n}").withColumn("_batch", F.lit(n)) for n in batches[:1]]
+    if len(batches) > 1:
+        parts = [spark.read.option("basePath", out).parquet(*[f"{out}/batch_id={n}" for n in batches]).withColumnRenamed("batch_id", "_batch")]
+    if base:
+        parts.append(spark.read.parquet(f"{out}-summary/upto={base[-1]}").withColumn("_batch", F.lit(base[-1])))
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rest = [c for c in df.columns if c not in (key, "_batch")]
+    by = F.struct(*(order or []), "_batch")
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), by).alias("r")).select(key, "r.*")
+
+
+def sum_up(spark: SparkSession, out: str, key: str, order: list[str] | None = None) -> None:
+    """Write the newest version of every key up to now, so that readers need not open the batches before."""
+    batches = _numbers(spark, out, "batch_id")
+    if batches:
+        latest_of_batches(spark, out, key, order).write.mode("overwrite").parquet(f"{out}-summary/upto={batches[-1]}")
 
 
 def review_sessions(corrections: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:

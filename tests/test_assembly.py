@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -70,3 +71,72 @@ def test_fields_do_not_depend_on_batches(spark, tmp_path, piecewise):
                         today).awaitTermination()
     a, b = ({(r.doc_id, r.path, r.value, r.confidence) for r in jobs.read_batches(spark, o).collect()} for o in (out, f"{tmp_path}/out2"))
     assert a and a == b
+
+
+def test_state_of_jobs_stays_flat(spark, tmp_path):
+    """A hundred batches of new jobs, most of which end, some of which fall silent; results read with and without a summary."""
+    src, out, cp = (f"{tmp_path}/{x}" for x in ("src", "out", "cp"))
+    os.makedirs(src)
+    schema, rows = "job_id long, status string, ts timestamp, seq long", []
+    for k in range(100):
+        at = START + dt.timedelta(hours=k)
+        new = [(10 * k + j, "extracting", at + dt.timedelta(seconds=j), 0) for j in range(4)]
+        new += [(10 * k + j, "ok", at + dt.timedelta(seconds=30), 1) for j in range(3)] + [(10 * k, "extracting", at, 0), (None, "ok", at, 0)]
+        rows += new
+        path = f"{src}/{k:03d}.json"
+        with open(path, "w") as f:
+            f.writelines(json.dumps({"job_id": j, "status": s, "ts": t.isoformat(), "seq": q}) + "\n" for j, s, t, q in new)
+        os.utime(path, (1_600_000_000 + k, 1_600_000_000 + k))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
+        sizes = []
+        query = jobs.write_batches(jobs.job_progress(stream, wait="5 hours"), out, cp, mode="update")
+        query.awaitTermination()
+        sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(sizes) >= 99 and max(sizes) <= 16, sizes
+    want = {}
+    for j, s, t, q in rows:
+        if j is not None and (t, q) >= want.get(j, (dt.datetime.min, 0))[:2]:
+            want[j] = (t, q, s)
+    plain = {r.job_id: (r.ts, r.seq, r.status) for r in jobs.latest_of_batches(spark, out, "job_id", ["ts", "seq"]).collect()}
+    assert plain == want
+    jobs.sum_up(spark, out, "job_id", ["ts", "seq"])
+    last = jobs.latest_of_batches(spark, out, "job_id", ["ts", "seq"])
+    assert {r.job_id: (r.ts, r.seq, r.status) for r in last.collect()} == want
+    assert "batch_id=" not in " ".join(last.inputFiles())
+
+
+def test_machines_continue_and_repeat(spark, tmp_path):
+    """Three batches, the last of them run twice: the same counts as one fold over all calls."""
+    from docweir.operators import routing
+    schema = "call_id long, ts timestamp, key_id string, provider string, outcome string, retry_after double"
+    kinds = ["unavailable", "bad_request", "rate_limited", "ok", "unavailable", "quota", "invalid_key", "unavailable"]
+    rows = [(n, START + dt.timedelta(seconds=n * (1 + n % 40)) if n % 17 else None, f"k{n % 3}" if n % 11 else None, "p", kinds[n % 8 if n % 5 else 0], 3.0 if n % 2 else 0.0)
+            for n in range(240)]
+    rows.sort(key=lambda r: (r[1] is not None, r[1]))
+    # Rows without a time come first in the fold of all, so the first batch has them.
+    out = f"{tmp_path}/out"
+    for batch, (a, b) in enumerate(((0, 90), (90, 91), (91, 240), (91, 240))):
+        number = min(batch, 2)
+        src = f"{tmp_path}/src{batch}"
+        spark.createDataFrame(rows[a:b], schema).write.parquet(src)
+        held = []
+
+        class Once:
+            """Stands for a stream of one batch with a given number."""
+            writeStream = property(lambda self: self)
+
+            def foreachBatch(self, sink):
+                held.append(sink)
+                return self
+
+            def __getattr__(self, name):
+                return lambda *a, **k: self
+        jobs.stream_key_health(Once(), out, f"{tmp_path}/cp")
+        held[0](spark.read.parquet(src), number)
+    got = {r.call_id: (r.failures, r.state) for r in jobs.read_batches(spark, out).collect()}
+    want = {r.call_id: (r.failures, r.state) for r in routing.key_health(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and len(got) == 240
