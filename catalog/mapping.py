@@ -346,6 +346,41 @@ def _(spark, d):
     return merge.flatten_result(_nested(spark, d)).select("doc_id", "path", F.coalesce("value", F.lit("")).alias("value"))
 
 
+def _listed(spark, d):
+    """Two documents and up to three subjects for each person, with a second and worse reading of some."""
+    k = F.col("doc_id")
+
+    def row(path, value, confidence=0.9):
+        return F.struct(F.lit(path).alias("path"), value.cast("string").alias("value"), F.lit(confidence).alias("confidence"))
+    rows = [row("documents.1.doc_number", F.reverse("doc_no")), row("documents.0.doc_number", F.col("doc_no")),
+            row("documents.0.doc_number", F.lit("misread"), 0.4), row("education.subjects.10.name", F.concat(F.lit("s10-"), "surname")),
+            row("education.subjects.2.name", F.concat(F.lit("s2-"), "surname")), row("education.subjects.2.grade", k % 6),
+            row("education.subjects.2.grade", k % 6 + 1, 0.3), row("person.name.surname_latin", F.col("surname")), row("person.unknown", F.lit("x"))]
+    third = F.when(k % 2 == 0, F.array(row("education.subjects.0.name", F.concat(F.lit("s0-"), "surname")))).otherwise(
+        F.slice(F.array(rows[0]), 1, 0))
+    return i.persons(spark, d).select("doc_id", F.inline(F.concat(F.array(*rows), third))).withColumns({"source": F.lit("mrz"), "validated": F.lit(False)})
+
+
+@register("unflatten_lists", sql("""
+SELECT doc_id, doc_no || '|' || reverse(doc_no) AS numbers, CASE WHEN doc_id % 2 = 0 THEN 's0-' || surname || '|' ELSE '' END || 's2-' || surname || '|s10-' || surname AS subjects,
+  CASE WHEN doc_id % 2 = 0 THEN '-|' ELSE '' END || (doc_id % 6) || '|-' AS grades, surname FROM persons""", "persons"))
+def _(spark, d):
+    def values(items, leaf):
+        return F.array_join(F.transform(items, lambda x: F.coalesce(x[leaf]["value"], F.lit("-"))), "|")
+    return merge.unflatten(_listed(spark, d)).select(
+        "doc_id", values(F.col("documents"), "doc_number").alias("numbers"), values(F.col("education.subjects"), "name").alias("subjects"),
+        values(F.col("education.subjects"), "grade").alias("grades"), F.col("person.name.surname_latin.value").alias("surname"))
+
+
+@register("flatten_lists", sql("""
+SELECT * FROM (SELECT doc_id, unnest(['documents.0.doc_number', 'documents.1.doc_number', 'person.name.surname_latin', 'education.subjects.' || b || '.name',
+  'education.subjects.' || (b + 1) || '.name', 'education.subjects.' || b || '.grade', CASE WHEN b = 1 THEN 'education.subjects.0.name' END]) AS path,
+  unnest([doc_no, reverse(doc_no), surname, 's2-' || surname, 's10-' || surname, CAST(doc_id % 6 AS VARCHAR), CASE WHEN b = 1 THEN 's0-' || surname END]) AS value
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS b FROM persons)) WHERE path IS NOT NULL""", "persons"))
+def _(spark, d):
+    return merge.flatten_result(merge.unflatten(_listed(spark, d))).where("value IS NOT NULL").select("doc_id", "path", "value")
+
+
 @register("get_field", sql("SELECT doc_id, value FROM actual WHERE path = 'documents.0.doc_number'", "actual"))
 def _(spark, d):
     return merge.get_field(_nested(spark, d), "documents.0.doc_number")

@@ -10,7 +10,8 @@ from docweir.functions.similarity import fuzz_ratio
 from docweir.functions.text import norm_for_compare
 from docweir.operators.gates import confidence_band
 from docweir.schema import (CANONICAL_PATHS, DOCUMENT_PATHS, EDUCATION_PATHS, FIELD,
-                            KNOWN_PATHS, PERSON_PATHS, is_empty, string_array)
+                            KNOWN_PATHS, PERSON_PATHS, STAGE_RANK, SUBJECT_LEAVES, is_empty,
+                            string_array)
 
 THRESHOLD = 0.75
 BAND_RANK = {"doubtful": 0, "uncertain": 1, "confident": 2}
@@ -148,40 +149,68 @@ def mrz_in_visual(fields: DataFrame, texts: DataFrame) -> DataFrame:
 
 # --- nested <-> long ---------------------------------------------------------
 
+def _positions(fields: Column, start: str) -> Column:
+    """The positions of a list that a map of fields knows, in order."""
+    own = F.filter(F.map_keys(fields), lambda p: F.startswith(p, F.lit(start)))
+    at = F.transform(own, lambda p: F.split_part(F.substr(p, F.lit(len(start) + 1)), F.lit("."), F.lit(1)).cast("int"))
+    return F.array_sort(F.array_distinct(at))
+
+
 def _nested(get) -> dict[str, Column]:
-    """Nested result columns, each leaf built by ``get(path)``."""
-    def group(paths: list[str], prefix: str) -> Column:
-        return F.struct(*[get(p).alias(p[len(prefix):]) for p in paths])
+    """Nested result columns, each leaf built by ``get(path)``, a path being text or a column."""
+    def group(paths: list[str], prefix: str) -> list[Column]:
+        return [get(p).alias(p[len(prefix):]) for p in paths]
+
+    def items(start: str, leaves: list[str]) -> Column:
+        return F.transform(_positions(F.col("_m"), start), lambda i: F.struct(*[
+            get(F.concat(F.lit(start), i.cast("string"), F.lit(f".{leaf}"))).alias(leaf) for leaf in leaves]))
 
     names = [p for p in PERSON_PATHS if p.startswith("person.name.")]
     person = F.struct(
-        group(names, "person.name.").alias("name"),
+        F.struct(*group(names, "person.name.")).alias("name"),
         *[get(p).alias(p[len("person."):]) for p in PERSON_PATHS if p not in names])
+    found = items("documents.", [p.split(".")[-1] for p in DOCUMENT_PATHS])
     return {"person": person,
-            "documents": F.array(group(DOCUMENT_PATHS, "documents.0.")),
-            "education": group(EDUCATION_PATHS, "education.")}
+            # A result always has a document, if only an empty one.
+            "documents": F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(*group(DOCUMENT_PATHS, "documents.0.")))),
+            "education": F.struct(*group(EDUCATION_PATHS, "education."), items("education.subjects.", SUBJECT_LEAVES).alias("subjects"))}
+
+
+_LISTED = (r"^(?:documents\.(?:0|[1-9][0-9]{0,5})\.(?:" + "|".join(p.split(".")[-1] for p in DOCUMENT_PATHS)
+           + r")|education\.subjects\.(?:0|[1-9][0-9]{0,5})\.(?:" + "|".join(SUBJECT_LEAVES) + "))$")
 
 
 def unflatten(fields: DataFrame) -> DataFrame:
-    """Long fields to one nested row per document; absent paths are empty fields."""
+    """Long fields to one nested row per document; absent paths are empty fields.
+
+    ``documents.<n>.…`` and ``education.subjects.<n>.…`` become lists in the order of
+    their positions, gaps closed.  Of a path that comes several times the value
+    stands that ``merge_fields`` picks (the source tells the stage).  Unknown paths
+    are left out.
+    """
     leaf = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in fields.columns
                       else F.lit(None).cast(f.dataType).alias(f.name) for f in FIELD.fields])
-    known = fields.filter(F.col("path").isin(CANONICAL_PATHS))
-    grouped = known.groupBy("doc_id").agg(F.map_from_entries(
-        F.collect_list(F.struct("path", leaf.alias("field")))).alias("_m"))
+    known = fields.filter(F.col("path").isin(PERSON_PATHS + EDUCATION_PATHS) | F.col("path").rlike(_LISTED))
+    ranks = F.create_map(*[F.lit(x) for kv in STAGE_RANK.items() for x in kv])
+    rows = known.select("doc_id", "path", leaf.alias("field")).select(
+        "doc_id", "path", "field", F.coalesce("field.validated", F.lit(False)).alias("validated"),
+        F.coalesce("field.confidence", F.lit(0.0)).alias("confidence"), F.col("field.value").alias("value"),
+        F.coalesce(F.try_element_at(ranks, F.col("field.source")), F.lit(9)).alias("stage_rank"))
+    grouped = merge_fields(rows).groupBy("doc_id").agg(F.map_from_entries(
+        F.collect_list(F.struct("path", "field"))).alias("_m"))
     blank = F.struct(*[
         (string_array([]) if f.name == "alternatives" else
          F.lit({"confidence": 0.0, "source": "ocr_visual", "validated": False}.get(f.name)))
         .cast(f.dataType).alias(f.name) for f in FIELD.fields])
 
-    def get(path: str) -> Column:
-        return F.coalesce(F.try_element_at("_m", F.lit(path)), blank)
+    def get(path: str | Column) -> Column:
+        return F.coalesce(F.try_element_at("_m", F.lit(path) if isinstance(path, str) else path), blank)
 
     return grouped.select("doc_id", *[c.alias(n) for n, c in _nested(get).items()])
 
 
 def flatten_result(results: DataFrame) -> DataFrame:
-    """Nested rows to the long field table, repeated documents by position."""
+    """Nested rows to the long field table, repeated documents and subjects by position."""
     def entries(prefix: str, paths: list[str], root: Column) -> list[Column]:
         out = []
         for p in paths:
@@ -191,18 +220,17 @@ def flatten_result(results: DataFrame) -> DataFrame:
             out.append(F.struct(F.lit(p).alias("path"), leaf.alias("field")))
         return out
 
-    person = entries("person.", PERSON_PATHS, F.col("person"))
-    education = entries("education.", EDUCATION_PATHS, F.col("education"))
-
-    def document(d: Column, i: Column) -> Column:
-        return F.array(*[F.struct(
-            F.concat(F.lit("documents."), i.cast("string"), F.lit("." + p.split(".")[-1]))
-            .alias("path"), d[p.split(".")[-1]].alias("field")) for p in DOCUMENT_PATHS])
-
-    documents = F.flatten(F.transform("documents", document))
-    every = F.concat(F.array(*person), documents,
-                     F.when(F.col("education").isNotNull(), F.array(*education))
-                     .otherwise(F.slice(F.array(*education), 1, 0)))
+    def listed(items: Column, start: str, leaves: list[str]) -> Column:
+        return F.flatten(F.transform(items, lambda x, i: F.array(*[F.struct(
+            F.concat(F.lit(start), i.cast("string"), F.lit(f".{leaf}")).alias("path"), x[leaf].alias("field")) for leaf in leaves])))
+
+    education = F.array(*entries("education.", EDUCATION_PATHS, F.col("education")))
+    if "subjects" in results.schema["education"].dataType.names:
+        education = F.concat(education, listed(F.coalesce(F.col("education.subjects"), F.slice(F.col("education.subjects"), 1, 0)),
+                                               "education.subjects.", SUBJECT_LEAVES))
+    every = F.concat(F.array(*entries("person.", PERSON_PATHS, F.col("person"))),
+                     listed(F.col("documents"), "documents.", [p.split(".")[-1] for p in DOCUMENT_PATHS]),
+                     F.when(F.col("education").isNotNull(), education).otherwise(F.slice(education, 1, 0)))
     return results.select("doc_id", F.inline(every)).select("doc_id", "path", "field.*")
 
 

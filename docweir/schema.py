@@ -45,6 +45,7 @@ EDUCATION_PATHS = [
     "education.speciality_code", "education.graduation_year",
     "education.diploma_number", "education.gpa",
 ]
+SUBJECT_LEAVES = ["name", "hours", "credits", "grade"]
 CANONICAL_PATHS = PERSON_PATHS + DOCUMENT_PATHS + EDUCATION_PATHS
 ALIAS_PATHS = [p.replace("documents.0", "documents[0]") for p in DOCUMENT_PATHS]
 KNOWN_PATHS = sorted(set(CANONICAL_PATHS + ALIAS_PATHS))
