@@ -85,10 +85,10 @@ def comparable(e: str) -> str:
     """Marks dropped, upper, A-Z 0-9 and Cyrillic; decomposition by character map."""
     body = e
     for ch, folded in t._FOLD_MANY.items():
-        body = f"replace({body}, {q(ch)}, {q(folded)})"
-    ones = "".join(c for c in t._FOLD_FROM)
-    return (f"regexp_replace(translate({body}, {q(ones)}, {q(t._FOLD_TO)}), "
-            r"'[^A-Z0-9\x{0400}-\x{04ff}]', '', 'g')")
+        if ord(ch) < 0x400:    # the given tables have none of the others
+            body = f"replace({body}, {q(ch)}, {q(folded)})"
+    ones, to = "".join(t._FOLD_ONE) + t._FOLD_GONE, "".join(t._FOLD_ONE.values())
+    return f"regexp_replace(translate({body}, {q(ones)}, {q(to)}), " r"'[^A-Z0-9\x{0400}-\x{04ff}]', '', 'g')"
 
 
 _text("norm_for_grounding", t.norm_for_grounding, comparable("text"))

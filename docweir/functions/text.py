@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 TURNED_COMMA = "ʻ"
@@ -136,81 +135,54 @@ def rule_norm(c: Column) -> Column:
     return strip(F.lower(normalize_apostrophes(c)))
 
 
-def _comparable(text: str) -> str:
-    """Fold one string to A-Z 0-9 and Cyrillic: decompose, drop marks, upper."""
-    kept = (ch for ch in unicodedata.normalize("NFKD", text)
-            if not unicodedata.combining(ch))
-    return "".join(ch for ch in "".join(kept).upper()
-                   if "A" <= ch <= "Z" or "0" <= ch <= "9" or "\u0400" <= ch <= "\u04ff")
+# Blocks with characters that stand for Latin letters, digits or Cyrillic.
+_FOLD_BLOCKS = [(0x30, 0x233), (0x2B0, 0x2E3), (0x400, 0x4FF), (0x1C80, 0x1C8F), (0x1D2C, 0x1DBF), (0x1E00, 0x1EFF), (0x2070, 0x20A8),
+                (0x2100, 0x218F), (0x2460, 0x24FF), (0x2C60, 0x2C7F), (0x3200, 0x33FF), (0xA640, 0xA69F), (0xA7F2, 0xA7F9), (0xFB00, 0xFB06),
+                (0xFF10, 0xFF5A), (0x10780, 0x107BA), (0x1D400, 0x1D7FF), (0x1E030, 0x1E08F), (0x1F100, 0x1F1FF), (0x1FBF0, 0x1FBF9)]
+_FOLD_KEPT = r"A-Z0-9\x{0400}-\x{04ff}"
 
 
-def _fold_table() -> tuple[str, str, dict[str, str], str]:
-    """Character map for the scripts the JVM path covers, built from Unicode data."""
-    covered = [chr(cp) for lo, hi in ((0x00, 0x24F), (0x2B0, 0x36F), (0x400, 0x4FF),
-                                      (0x1E00, 0x1EFF), (0x2010, 0x2044))
-               for cp in range(lo, hi + 1)]
-    one, to, many, gone = [], [], {}, []
-    for ch in covered:
-        folded = _comparable(ch)
-        if folded == ch:
-            continue
-        if len(folded) == 1:
-            one.append(ch)
-            to.append(folded)
-        elif folded:
-            many[ch] = folded
-        else:
-            gone.append(ch)
-    return "".join(one), "".join(to), many, "".join(gone)
+def _fold_table() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters with one comparison character, those with several, and those of the kept class with none.
 
-
-_FOLD_FROM, _FOLD_TO, _FOLD_MANY, _FOLD_GONE = _fold_table()
-_FOLD_COVERED = (r"\x{0000}-\x{024f}\x{02b0}-\x{036f}\x{0400}-\x{04ff}"
-                 r"\x{1e00}-\x{1eff}\x{2010}-\x{2044}")
-
-
-def _fold_udf():
-    def fold(batch: pd.Series) -> pd.Series:
-        import unicodedata as ud
-
-        def one(text):
-            if text is None:
-                return None
-            kept = "".join(ch for ch in ud.normalize("NFKD", text) if not ud.combining(ch))
-            return "".join(ch for ch in kept.upper()
-                           if "A" <= ch <= "Z" or "0" <= ch <= "9" or "\u0400" <= ch <= "\u04ff")
-
-        return batch.map(one)
-
-    return F.pandas_udf(fold, "string")
-
-
-def fold_covered(c: Column) -> Column:
-    """JVM-side folding, exact for text inside the covered scripts."""
-    out = c
-    for ch, folded in _FOLD_MANY.items():
-        out = F.replace(out, F.lit(ch), F.lit(folded))
-    return F.translate(out, _FOLD_FROM + _FOLD_GONE, _FOLD_TO)
-
-
-def is_covered(c: Column) -> Column:
-    return ~c.rlike(f"[^{_FOLD_COVERED}]")
-
-
-def norm_for_grounding(c: Column, python_fallback: bool = True) -> Column:
-    """Comparison form: marks dropped, upper, A-Z 0-9 and Cyrillic kept.
-
-    Text in the covered scripts never leaves the JVM; anything else is folded
-    by an Arrow-batched UDF which receives NULL for all other rows.
+    The compatibility decomposition of a character, without marks and in upper case,
+    does not depend on its neighbours, so a table of single characters is exact.
+    """
+    one, many, none = {}, {}, []
+    for first, last in _FOLD_BLOCKS:
+        for ch in map(chr, range(first, last + 1)):
+            parts = [x for x in unicodedata.normalize("NFKD", ch) if unicodedata.combining(x) == 0]
+            shown = "".join(x for x in "".join(parts).upper() if x.isascii() and x.isalnum() or 0x400 <= ord(x) < 0x500)
+            if len(shown) > 1:
+                many[ch] = shown
+            elif shown and shown != ch:
+                one[ch] = shown
+            elif not shown and 0x400 <= ord(ch) < 0x500:
+                none.append(ch)
+    return one, many, "".join(none)
+
+
+_FOLD_ONE, _FOLD_MANY, _FOLD_GONE = _fold_table()
+
+
+def norm_for_grounding(c: Column) -> Column:
+    """Comparison form: marks dropped, upper, A-Z 0-9 and Cyrillic kept, of any script, inside the JVM.
+
+    Plain ASCII needs no table.  Sharp s, the one common letter that becomes two,
+    is replaced; texts with one of the rare signs that become several characters
+    (fractions, units, numbered lists) are looked up character by character; then
+    one ``translate``, and one class drops what is left.
     """
-    # Plain ASCII, the common case, needs no character table.
     ascii_only = c.rlike(r"^[\x00-\x7f]*\z")
-    folded = F.when(ascii_only, F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "")).when(
-        is_covered(c), fold_covered(c))
-    if not python_fallback:
-        return folded
-    rest = F.when(~is_covered(c), c)
-    return F.coalesce(folded, _fold_udf()(rest))
+    spread = F.replace(c, F.lit("ß"), F.lit("SS"))
+    rare = "".join(ch for ch in _FOLD_MANY if ch != "ß")
+    table = F.create_map(*[F.lit(x) for ch in rare for x in (ch, _FOLD_MANY[ch])])
+    each = F.regexp_extract_all(spread, F.lit(r"(?s)."), F.lit(0))
+    spelled = F.array_join(F.transform(each, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    known = F.when(spread.rlike(f"[{rare}]"), spelled).otherwise(spread)
+    shown = F.translate(known, "".join(_FOLD_ONE) + _FOLD_GONE, "".join(_FOLD_ONE.values()))
+    return F.when(ascii_only, F.regexp_replace(F.upper(c), "[^A-Z0-9]+", "")).otherwise(
+        F.regexp_replace(shown, f"[^{_FOLD_KEPT}]+", ""))
 
 
 def strip_fences(c: Column) -> Column:

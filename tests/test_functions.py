@@ -152,3 +152,19 @@ def test_ood_decision_rejects_wrong_length(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "logits array<double>")
     with pytest.raises(Exception, match="does not match"):
         gates.ood_decision(df).collect()
+
+
+def test_comparison_form_of_every_code_point(spark):
+    """The table against the decomposition of whole strings, with no Python in the plan."""
+    import unicodedata
+    points = [chr(n) for n in range(1, 0x110000) if not 0xD800 <= n < 0xE000]
+    rows = ["".join(points[k:k + 37]) for k in range(0, len(points), 37)] + ["Straße ½ kg ㎏", "e\u0301\u0327x", "\u0483й", "가나 ①② 𝐀𝟙 ﬃ"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+
+    def plain(text):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).upper()
+        return "".join(x for x in bare if "A" <= x <= "Z" or "0" <= x <= "9" or "\u0400" <= x <= "\u04ff")
+
+    out = df.select("t", t.norm_for_grounding(F.col("t")).alias("n"))
+    assert [(r.t, r.n) for r in out.collect() if r.n != plain(r.t)] == []
+    assert "Python" not in out._jdf.queryExecution().toString() and "ArrowEval" not in out._jdf.queryExecution().toString()
