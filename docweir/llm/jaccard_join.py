@@ -35,7 +35,7 @@ WORDS = 5
 THRESHOLD = 80          # per cent
 ORDERS = 3
 GUIDES = 5              # minimum tokens by which typical texts are found
-SKETCH_BITS = 20        # the sketch has 2**20 counters, whatever the corpus
+SKETCH_BITS = 22        # the sketch has 2**22 counters, whatever the corpus
 TILE = 512              # texts on each side of a tile
 FAMILY = 0.5            # distance up to which a text is of a typical text's family
 _ROWS = 1024            # texts in a slice: their numbers fit the 11 bits above a token
@@ -82,20 +82,21 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
 
 
 def _sketch(docs: DataFrame, words: int) -> Broadcast:
-    """How common the tokens of each of the 2**20 buckets are: 0, or the log of their excess over the mean."""
+    """How common the tokens of each bucket are: 0, or the log of their excess over the mean."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, sets in _sets(batches, words):
             total += np.bincount((sets.tokens >> np.uint64(53 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        often = np.flatnonzero(total >= max(2, int(3 * total.mean())))
+        often = np.flatnonzero(total >= max(4, int(3 * total.mean())))
         yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(total[often])], names=["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = materialise(docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")),
+                       "jaccard-sketch")
     common = np.zeros(1 << SKETCH_BITS, np.uint8)
-    if len(sums):
-        usual = max(2.0, 3 * float(sums["n"].sum()) / len(common))
-        excess = np.floor(np.log2(np.maximum(sums["n"].to_numpy() / usual, 1)))
-        common[sums["bucket"].to_numpy()] = np.minimum(excess, 31).astype(np.uint8)
+    usual = max(2.0, 3 * float(sums.agg(F.sum("n")).first()[0] or 0) / len(common))
+    above = sums.where(F.col("n") >= 2 * usual).toPandas()
+    excess = np.floor(np.log2(above["n"].to_numpy(float) / usual))
+    common[above["bucket"].to_numpy(np.int64)] = np.minimum(excess, 31).astype(np.uint8)
     return docs.sparkSession.sparkContext.broadcast(common)
 
 
