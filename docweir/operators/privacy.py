@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,18 @@ def redact_map(m: Column) -> Column:
         F.array_contains(keys, F.lower(k)) & v.isNotNull(), F.lit(REDACTED)).otherwise(redact_text(v)))
 
 
+#: Kinds of values that a sensitive key hides: how a variant's schema and how JSON text show them.
+HIDDEN_KINDS = {
+    "string": ("STRING", r'"(?:[^"\\]|\\.)*(?:"|\Z)'),
+    "whole": (r"BIGINT|DECIMAL\(\d+,0\)", r"-?\d+(?![\w.+-])"),
+    "flag": ("BOOLEAN", r"(?:true|false)(?!\w)"),
+}
+_HIDDEN_SCHEMA = "^(?:" + "|".join(schema for schema, _ in HIDDEN_KINDS.values()) + ")$"
+_TOKEN = re.compile("|".join(f"(?P<{name}>{shape})" for name, (_, shape) in HIDDEN_KINDS.items())
+                    + r"|(?P<literal>(?:null|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w))|(?P<open>[{\[])|(?P<shut>[}\]])|(?P<mark>[,:])|(?P<space>\s+)"
+                    r"|(?P<bare>(?:[^\s{}\[\],:\"]|\s+(?=[^\s{}\[\],:\"]))+|\")", re.S)
+
+
 def _quoted(text: Column) -> Column:
     """A string as JSON text."""
     listed = F.to_json(F.array(text))
@@ -72,8 +85,7 @@ def _redacted(node: Column, depth: int) -> Column:
     names = F.array(*[F.lit(k) for k in SENSITIVE_KEYS])
 
     def shown(m: Column) -> Column:
-        private = F.array_contains(names, F.lower(m["key"])) & F.schema_of_variant(m["value"]).rlike(
-            r"^(STRING|BIGINT|BOOLEAN|DECIMAL\(\d+,0\))")
+        private = F.array_contains(names, F.lower(m["key"])) & F.schema_of_variant(m["value"]).rlike(_HIDDEN_SCHEMA)
         value = F.when(F.coalesce(private, F.lit(False)), F.lit(f'"{REDACTED}"')).otherwise(_redacted(m["value"], depth + 1))
         return F.concat(F.when(m["key"].isNotNull(), F.concat(_quoted(m["key"]), F.lit(": "))).otherwise(""), value)
 
@@ -84,49 +96,65 @@ def _redacted(node: Column, depth: int) -> Column:
             .otherwise(F.to_json(node)))
 
 
-class _Object(list):
-    """Members of a JSON object in their order, repeated keys included."""
-
-
-class _Number(str):
-    """A number that is no integer, as written."""
+def _decoded(token: str) -> str:
+    try:
+        return json.loads(token, strict=False)
+    except ValueError:    # a broken escape or a missing end
+        return token[1:].removesuffix('"')
 
 
 def _pieces(body: str | None) -> list[dict] | None:
-    """JSON text redacted by key, in pieces: ``text`` is still to be redacted by content and quoted; null if not JSON."""
-    out: list[dict] = []
-
-    def add(plain: str) -> None:
-        out.append({"plain": plain, "text": None})
-
-    def walk(node, depth: int) -> None:
-        if depth > MAX_DEPTH:
-            add(f'"{TRUNCATED}"')
-        elif isinstance(node, list):
-            named = isinstance(node, _Object)
-            add("{" if named else "[")
-            for n, x in enumerate(node):
-                key, value = x if named else (None, x)
-                add(", " * (n > 0) + (f"{json.dumps(key, ensure_ascii=False)}: " if named else ""))
-                if named and key.lower() in SENSITIVE_KEYS and isinstance(value, (str, int)) and not isinstance(value, _Number):
-                    add(f'"{REDACTED}"')
-                else:
-                    walk(value, depth + 1)
-            add("}" if named else "]")
-        elif isinstance(node, str) and not isinstance(node, _Number):
-            out.append({"plain": None, "text": node})
-        else:
-            add(node if isinstance(node, _Number) else json.dumps(node))
+    """Text that begins as a JSON object or array, token by token: ``plain`` stands, ``text`` and ``bare`` are still to be redacted by content.
 
-    try:
-        walk(json.loads(body, object_pairs_hook=_Object, parse_float=_Number, parse_constant=_Number, strict=False), 0)
-    except (TypeError, ValueError, RecursionError):
+    Tokens are judged as they come, so text that breaks JSON's rules (a comma too
+    many, an end that is missing) still loses what stands under sensitive keys.
+    """
+    if body is None:
         return None
+    out: list[dict] = []
+    keys: list[str | None] = []     # the key in force in each open container; None in a list or before a key
+    names: list[bool] = []          # whether the next string of each open container is a key
+    beyond = 0                      # containers open inside a part that is cut off
+
+    def tell(kind: str, token: str) -> None:
+        out.append({"plain": None, "text": None, "bare": None} | {kind: token})
+
+    for match in _TOKEN.finditer(body):
+        kind, token = match.lastgroup, match.group()
+        if beyond:
+            beyond += (kind == "open") - (kind == "shut")
+        elif kind == "mark":
+            if names and token == ",":
+                names[-1], keys[-1] = keys[-1] is not None or names[-1], None
+            elif names:
+                names[-1] = False
+            tell("plain", f"{token} ")
+        elif kind == "shut":
+            if names:
+                names.pop()
+                keys.pop()
+            tell("plain", token)
+        elif kind in ("string", "bare") and names and names[-1]:
+            keys[-1] = _decoded(token) if kind == "string" else token.strip(" '")
+            tell("plain", json.dumps(keys[-1], ensure_ascii=False))
+        elif (kind in HIDDEN_KINDS or kind == "bare") and keys and (keys[-1] or "").lower() in SENSITIVE_KEYS:
+            tell("plain", f'"{REDACTED}"')
+        elif kind != "space" and len(names) > MAX_DEPTH:
+            tell("plain", f'"{TRUNCATED}"')
+            beyond = int(kind == "open")
+        elif kind == "open":
+            names.append(token == "{")
+            keys.append(None)
+            tell("plain", token)
+        elif kind == "string":
+            tell("text", _decoded(token))
+        elif kind != "space":
+            tell("bare" if kind == "bare" else "plain", token)
     return out
 
 
 def _json_pieces(bodies: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("plain", pa.string()), ("text", pa.string())]))
+    kind = pa.list_(pa.struct([(name, pa.string()) for name in ("plain", "text", "bare")]))
     return pa.array([_pieces(x.as_py()) for x in bodies], kind)
 
 
@@ -135,15 +163,16 @@ def redact_json(c: Column) -> Column:
 
     Scalars under a sensitive key become ``<REDACTED>``; anything below eight
     levels becomes ``<TRUNCATED>``, so one expression per level is all it takes.
-    Keys come out in the order a variant keeps them (sorted).  An object or array
-    that no variant holds (repeated keys, too large) is parsed in Python, for those
-    rows only, and keeps its keys in their order.  Text that is not JSON is redacted
-    as text.
+    Keys come out in the order a variant keeps them (sorted).  What begins as an object
+    or array but is no variant (repeated keys, too large, not quite JSON) is read
+    token by token in Python, for those rows only, and keeps its order.  Other text
+    that is not JSON is redacted as text.
     """
     node = F.try_parse_json(c)
-    cut = F.arrow_udf(_json_pieces, "array<struct<plain:string,text:string>>")
+    cut = F.arrow_udf(_json_pieces, "array<struct<plain:string,text:string,bare:string>>")
     pieces = cut(F.when(node.isNull() & c.rlike(r"\A\s*[\[{]"), c))
-    parsed = F.array_join(F.transform(pieces, lambda x: F.coalesce(x["plain"], _quoted(redact_text(x["text"])))), "")
+    parsed = F.array_join(F.transform(pieces, lambda x: F.coalesce(
+        x["plain"], F.when(x["text"].isNotNull(), _quoted(redact_text(x["text"]))), redact_text(x["bare"]))), "")
     return F.when(node.isNull(), F.coalesce(parsed, redact_text(c))).otherwise(_redacted(node, 0))
 
 

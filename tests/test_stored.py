@@ -84,7 +84,30 @@ def test_redact_json_with_repeated_keys(spark):
     got = [r.t for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(
         privacy.redact_json(F.col("b")).alias("t")).collect()]
     assert got == ['{"password": "<REDACTED>", "password": "<REDACTED>"}', '[{"a": 1, "a": 2.50}, {"Token": "<REDACTED>"}]',
-                   '{"surname": "<REDACTED>", "q": {"a": null, "a": "free \\"text\\""}, "token": "<REDACTED>"}', bodies[3], "plain"]
+                   '{"surname": "<REDACTED>", "q": {"a": null, "a": "free \\"text\\""}, "token": "<REDACTED>"}', '{"a": {"surname": "<REDACTED>", ', "plain"]
+
+
+def test_redact_text_that_is_almost_json(spark):
+    """A comma too many, missing ends, single quotes and noise: sensitive keys still lose their values."""
+    bodies = ['{"password": "x1y", "n": 5,}', '{"a": [{"token": 77}, {"surname": true, "b": false}', '{"password": "x1y" "n": 31503950012345}',
+              '[note] call 31503950012345 now', '{"password": null, "address": {"city": "T"}, "pinfl": [1, "31503950012345"],}', '{"password": "x1y', '{]}:,"a"', '{"secret": tr}']
+    got = [r["t"] for r in spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string").orderBy("k").select(
+        privacy.redact_json(F.col("b")).alias("t")).collect()]
+    assert got[0] == '{"password": "<REDACTED>", "n": 5, }' and got[1] == '{"a": [{"token": "<REDACTED>"}, {"surname": "<REDACTED>", "b": false}'
+    assert "x1y" not in got[2] and got[3] == "[note]call <PINFL> now"
+    assert got[4] == '{"password": null, "address": {"city": "T"}, "pinfl": [1, "<PINFL>"], }' and all(isinstance(x, str) for x in got)
+    assert got[5] == '{"password": "<REDACTED>"' and got[7] == '{"secret": "<REDACTED>"}'
+
+
+@pytest.mark.parametrize("depth", range(1, 11))
+def test_both_forms_of_json_redaction_agree(spark, depth):
+    body = {"token": "t", "x": 1.5, "pinfl": 12, "ok": True, "none": None, "list": ["a", {"email": "e"}]}
+    for k in range(depth):
+        body = {"deeper": body, "token": k} if k % 2 else [body, "s", 3]
+    text = json.dumps(body)
+    pieces = "".join(x["plain"] if x["plain"] is not None else json.dumps(x["text"]) for x in privacy._pieces(text))
+    variant = spark.range(1).select(privacy.redact_json(F.lit(text)).alias("t")).first()["t"]
+    assert json.loads(pieces) == json.loads(variant)
 
 
 def test_redact_json_depth(spark):
