@@ -132,7 +132,9 @@ def _(spark, d):
     return ev.ood_catch_rate(i.logits(spark, d), 6, -3.0).select(F.round("caught", 6).alias("caught"))
 
 
-@register("score_logits")
+@register("score_logits", sql("""
+SELECT vec_id, label, CAST(list_position(l, list_max(l)) - 1 AS INT) AS predicted FROM (SELECT vec_id, label, list_transform(range(7), lambda k:
+  list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 7 = k), lambda x: CAST(x AS DOUBLE)))) AS l FROM embeddings)"""))
 def _(spark, d):
     def factory():
         def model(batch):
@@ -142,7 +144,8 @@ def _(spark, d):
     return ev.score_logits(e, factory, "embedding", 7).select("vec_id", "label", scores.top_class(F.col("logits")).alias("predicted"))
 
 
-@register("split_train_val")
+@register("split_train_val", sql("""
+SELECT vec_id, label, CASE WHEN CAST('0x' || substr(md5('0:' || vec_id), 1, 8) AS BIGINT) % 100 < 15 THEN 'val' ELSE 'train' END AS split FROM embeddings"""))
 def _(spark, d):
     return ev.split_train_val(i.table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
 

@@ -317,7 +317,7 @@ def _(spark, d):
 @register("keys_in_both_zones", sql("""
 SELECT doc_id, path FROM golden WHERE doc_id % 3 <> 0 INTERSECT SELECT doc_id, path FROM actual""", "golden", "actual"))
 def _(spark, d):
-    return i.golden(spark, d).filter("doc_id % 3 <> 0").select("doc_id", "path").intersect(i.actual(spark, d).select("doc_id", "path"))
+    return merge.keys_in_both(i.golden(spark, d).filter("doc_id % 3 <> 0"), i.actual(spark, d))
 
 
 # --- nested form --------------------------------------------------------------------

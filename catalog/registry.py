@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["scalars", "zones", "mapping", "routing", "privacy", "evaluation", "templating", "files",
-           "streams"]
+           "stored", "streams"]
 
 _queries: dict = {}
 _sql: dict[str, str] = {}

@@ -163,10 +163,11 @@ def _(spark, d):
 
 
 @register("cache_stats", sql(
-    "SELECT conv_id % 2 AS tenant, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS hit_rate FROM looked GROUP BY 1", **CACHE))
+    "SELECT conv_id % 2 AS tenant, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS hit_rate, count(DISTINCT CASE WHEN NOT hit THEN cache_key END) AS stores FROM looked GROUP BY 1", **CACHE))
 def _(spark, d):
     out = routing.cache_lookup(cache_requests(spark, d), cache_table(spark, d), i.now())
-    return routing.cache_stats(out.withColumn("tenant", F.col("conv_id") % 2), "tenant")
+    out = out.withColumn("tenant", F.col("conv_id") % 2)
+    return routing.cache_stats(out, "tenant", stored=routing.calls_to_make(out))
 
 
 @register("calls_to_make", sql("SELECT DISTINCT cache_key FROM looked WHERE NOT hit", **CACHE))

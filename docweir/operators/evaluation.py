@@ -154,9 +154,10 @@ def expected_values(cases: DataFrame, expected: str = "expected") -> DataFrame:
 
 
 def split_train_val(df: DataFrame, key: str, percent: int = 15, seed: int = 0) -> DataFrame:
-    """Adds ``split`` from a hash of the key: stable under repartitioning and reruns."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100)) < percent, "val")
-                         .otherwise("train"))
+    """Adds ``split`` from a digest of the key: stable under repartitioning and reruns, and the same in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
+    return df.withColumn("split", F.when(place < percent, "val").otherwise("train"))
 
 
 def score_logits(df: DataFrame, model_factory: Callable[[], Callable[[list], list]], features: str,

@@ -131,6 +131,12 @@ def cross_check(zone: DataFrame, visual: DataFrame, threshold: int = 85) -> Data
             F.lit("'")).alias("warning"))
 
 
+def keys_in_both(zone: DataFrame, visual: DataFrame, *keys: str) -> DataFrame:
+    """Distinct ``keys`` (doc_id and path, if none are named) that two readings both have, nulls equal (U4)."""
+    keys = keys or ("doc_id", "path")
+    return zone.select(*keys).intersect(visual.select(*keys))
+
+
 def mrz_in_visual(fields: DataFrame, texts: DataFrame) -> DataFrame:
     """Zone surname and number that do not occur in the rest of the document text.
 

@@ -38,11 +38,17 @@ def calls_to_make(looked_up: DataFrame) -> DataFrame:
     return first.select("cache_key", "_r.*").select(*looked_up.columns)
 
 
-def cache_stats(looked_up: DataFrame, *by: str) -> DataFrame:
+def cache_stats(looked_up: DataFrame, *by: str, stored: DataFrame | None = None) -> DataFrame:
+    """Hits, misses, their rate and, from the entries written (``stored``, with the columns ``by``), the stores."""
     hits, misses = F.count_if(F.col("outcome") == "hit"), F.count_if(F.col("outcome") == "miss")
-    return looked_up.groupBy(*by).agg(
-        hits.alias("hits"), misses.alias("misses"),
-        F.coalesce(F.try_divide(hits.cast("double"), F.count("*")), F.lit(0.0)).alias("hit_rate"))
+    looked = looked_up.groupBy(*by).agg(hits.alias("hits"), misses.alias("misses"))
+    if stored is None:
+        looked = looked.withColumn("stores", F.lit(0).cast("long"))
+    else:
+        kept = stored.groupBy(*by).agg(F.count("*").alias("stores"))
+        looked = (looked.join(kept, list(by), "full") if by else looked.crossJoin(kept)).fillna(0, ["hits", "misses", "stores"])
+    rate = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("hits") + F.col("misses")), F.lit(0.0))
+    return looked.withColumn("hit_rate", rate)
 
 
 def eligible_providers(requests: DataFrame, providers: DataFrame) -> DataFrame:

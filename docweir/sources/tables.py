@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docweir.functions.scores import polygon_bbox
+from docweir.functions.text import strip
 
 KEY_VERSION = "01"
 
@@ -71,7 +72,7 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     name = F.regexp_extract("_metadata.file_name", r"^([a-z0-9_]+)\.v(\d+)\.txt$", 1)
     version = F.regexp_extract("_metadata.file_name", r"^([a-z0-9_]+)\.v(\d+)\.txt$", 2)
     df = spark.read.text(path, wholetext=True).select(
-        name.alias("name"), version.try_cast("int").alias("version"), F.trim("value").alias("text"))
+        name.alias("name"), version.try_cast("int").alias("version"), strip(F.col("value")).alias("text"))
     return df.filter(F.col("name") != "")
 
 
@@ -119,14 +120,31 @@ def read_table(spark: SparkSession, name: str, path: str | None = None, jdbc: di
     return spark.read.schema(TABLES[name]).parquet(path)
 
 
+def _newest(entries: DataFrame) -> DataFrame:
+    """One entry for each tenant and key: the one that expires last, of equals the larger value."""
+    rest = [c for c in entries.columns if c not in ("tenant", "cache_key")]
+    order = F.struct(*[F.col(c) for c in ("expires_at", "value")])
+    return entries.groupBy("tenant", "cache_key").agg(F.max_by(F.struct(*rest), order).alias("_e")).select(
+        "tenant", "cache_key", "_e.*").select(*entries.columns)
+
+
 def write_cache(df: DataFrame, path: str) -> None:
-    """Append answers (tenant, cache_key, value, expires_at), one folder per tenant."""
-    df.write.mode("append").partitionBy("tenant").parquet(path)
+    """Append answers (tenant, cache_key, value, expires_at), one folder per tenant and one entry for each key.
+
+    Earlier entries of a key stay in their files; ``read_cache`` gives the newest, and
+    ``compact_cache`` writes the newest ones anew.
+    """
+    _newest(df).write.mode("append").partitionBy("tenant").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Live cache entries; the tenant filter of a caller prunes folders."""
-    return spark.read.parquet(path).filter(F.col("expires_at") > now)
+    """Live cache entries, the newest of each key; the tenant filter of a caller prunes folders."""
+    return _newest(spark.read.parquet(path)).filter(F.col("expires_at") > now)
+
+
+def compact_cache(spark: SparkSession, path: str, to: str, now: Column) -> None:
+    """Write the live entries of ``path`` to a new folder ``to``, one for each key."""
+    read_cache(spark, path, now).write.mode("errorifexists").partitionBy("tenant").parquet(to)
 
 
 def write_documents(df: DataFrame, path: str, days: int = 90) -> None:
