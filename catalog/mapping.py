@@ -66,7 +66,20 @@ def _(spark, d):
     return rules.map_by_rules(i.ocr_lines(spark, d))
 
 
-@register("map_by_rules_whole_word")
+# Whole words: what stands before the first such label is empty or ends in no word character.
+_word = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+_edge = "'(?s)^((?:.*?[^' || substr('" + _word + "', 2) || ')??)' || regexp_escape(nl) || '(?:[^' || substr('" + _word + "', 2) || '|$)'"
+WHOLE_CTES = dict(
+    {k: RULE_CTES[k] for k in ("labels", "low")},
+    held="SELECT * FROM low JOIN labels ON contains(low, nl)",
+    hit0=f"SELECT doc_id, line_no, text, low, path, label, nl, row_number() OVER (PARTITION BY doc_id, line_no, path ORDER BY rank) AS rn "
+         f"FROM held WHERE regexp_matches(low, {_edge})",
+    hit=f"SELECT doc_id, line_no, path, {strip(f'ltrim(substr(text, length(regexp_extract(low, {_edge}, 1)) + 1 + length(label)), ' + q(rules.LABEL_EDGE) + ')')} AS tail "
+        "FROM hit0 WHERE rn = 1",
+    **{k: v for k, v in RULE_CTES.items() if k not in ("labels", "low", "hit0", "hit")})
+
+
+@register("map_by_rules_whole_word", sql("SELECT doc_id, path, value FROM rulev", "ocr_lines", **WHOLE_CTES))
 def _(spark, d):
     return rules.map_by_rules(i.ocr_lines(spark, d), whole_word=True)
 

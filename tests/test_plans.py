@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 
 from catalog import inputs
-from docweir.operators import grounding, merge, rules
+from docweir.operators import routing, grounding, merge, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,11 @@ def test_exact_grounding_keeps_similarity_out(spark):
     v = spark.createDataFrame([(1, "p", "v")], "doc_id int, path string, value string")
     t = spark.createDataFrame([(1, "text")], "doc_id int, text string")
     assert plan(grounding.ground(v, t, None)).count("ArrowEvalPython") <= 2
+
+
+def test_state_machines_need_one_exchange(spark):
+    """Calls are dealt by range once, before they are written; both passes only read."""
+    calls = spark.range(50).selectExpr("id AS call_id", "timestamp_seconds(id) AS ts", "'k' AS key_id", "'p' AS provider", "'unavailable' AS outcome")
+    for fold in (routing.key_health, routing.circuit_breaker):
+        text = plan(fold(calls))
+        assert "Exchange" not in text and "Window" not in text and "Sort" not in text
