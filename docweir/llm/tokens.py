@@ -111,7 +111,7 @@ class ByteBpe:
         self._held += more
 
     def forget(self) -> None:
-        """Drop what was learnt from texts; a worker that goes on to other tasks keeps the vocabulary alone."""
+        """Drop what was learnt from texts."""
         self._words.clear()
         self._spaced.clear()
         for row in self._agrees:
@@ -224,7 +224,7 @@ _loaded: dict[str, ByteBpe] = {}
 
 
 def codec(path: str) -> ByteBpe:
-    """The codec of a vocabulary file, loaded once in each Python process."""
+    """The codec of a vocabulary file, loaded when a task first asks for it."""
     if path not in _loaded:
         _loaded[path] = ByteBpe(path)
     return _loaded[path]
@@ -258,8 +258,9 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
                 if decoded:
                     columns.append(pa.array([own.decode(x) for x in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        finally:
+        finally:    # a worker that goes on to tasks of other stages keeps nothing of this one
             own.forget()
+            _loaded.pop(vocabulary, None)
     return docs.mapInArrow(run, schema)
 
 
