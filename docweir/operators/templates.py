@@ -10,10 +10,13 @@ from docweir.functions.similarity import fuzz_ratio
 from docweir.functions.text import collapse, let, strip
 from docweir.operators import gates
 from docweir.schema import KNOWN_PATHS, is_empty, string_array
+from docweir.session import materialise
 
 # Names the renderer supplies, and the namespace of typed-in values.
 BUILTINS = ["today", "doc_type", "now"]
 USER_ROOT = "extra"
+# Most distinct unknown names whose suggestions are broadcast.
+MOST_BROADCAST = 100_000
 # Leaf names authors use for canonical ones.
 SYNONYMS = {
     "middle_name": "patronymic", "father_name": "patronymic", "otchestvo": "patronymic",
@@ -24,11 +27,19 @@ SYNONYMS = {
 
 def template_vars(templates: DataFrame) -> DataFrame:
     """(template_id, seq, raw, path, filters, required) per variable tag, in order."""
-    raws = templates.select("template_id", F.posexplode(
-        F.regexp_extract_all("text", F.lit(p.VARIABLE), F.lit(1))).alias("seq", "raw"))
+    return _variables(templates).drop("_aliases")
+
+
+def _variables(templates: DataFrame) -> DataFrame:
+    """``template_vars`` with ``_aliases``, the loop names of the template, found once for all its tags."""
+    tags = F.regexp_extract_all("text", F.lit(p.VARIABLE), F.lit(1))
+    raws = templates.select("template_id", F.posexplode(let(
+        F.transform(loops(F.col("text")), lambda x: x["alias"]),
+        lambda names: F.transform(tags, lambda raw: F.struct(raw.alias("raw"), names.alias("names"))))).alias("seq", "_tag")).select(
+        "template_id", "seq", F.col("_tag.raw").alias("raw"), F.col("_tag.names").alias("_aliases"))
     parts = F.transform(F.split("raw", r"\|"), strip)
     out = raws.withColumn("_p", parts).select(
-        "template_id", "seq", "raw", F.get("_p", F.lit(0)).alias("path"),
+        "template_id", "seq", "raw", "_aliases", F.get("_p", F.lit(0)).alias("path"),
         F.slice("_p", F.lit(2), F.greatest(F.size("_p"), F.lit(1))).alias("filters"))
     keep = (F.col("path") != "") & ~F.col("path").rlike("^[%#]")
     return out.filter(keep).withColumn(
@@ -58,10 +69,11 @@ def unknown_filters(variables: DataFrame) -> DataFrame:
 
 
 def classify_variables(templates: DataFrame) -> DataFrame:
-    """Adds ``kind`` to every variable: required, optional, extra, builtin, loop or unknown."""
-    aliases = templates.select("template_id", F.transform(
-        loops(F.col("text")), lambda x: x["alias"]).alias("_aliases"))
-    v = template_vars(templates).join(aliases, "template_id")
+    """Adds ``kind`` to every variable: required, optional, extra, builtin, loop or unknown.
+
+    The loop names of a template go along with its variables, so nothing is joined.
+    """
+    v = _variables(templates)
     root = F.regexp_extract("path", r"^([^.\[]*)", 1)
     known = F.replace("path", F.lit("[0]"), F.lit(".0")).isin(KNOWN_PATHS) | F.col("path").isin(KNOWN_PATHS)
     kind = (F.when(F.array_contains("_aliases", root), "loop").when(root.isin(BUILTINS), "builtin")
@@ -87,7 +99,8 @@ def template_spec(templates: DataFrame) -> DataFrame:
         gates.unbalanced_tags(F.col("text")).alias("unbalanced"),
         gates.check_for_injection(F.col("text")).alias("injection"))
     empty = string_array([])
-    out = shape.join(groups, "template_id", "left")
+    # Both sides grow with the templates and compress so well that Spark would broadcast one.
+    out = shape.join(groups.hint("merge"), "template_id", "left")
     return out.withColumns({c: F.coalesce(c, empty) for c in ("required", "optional", "extra", "unknown")})
 
 
@@ -111,9 +124,16 @@ def suggest_paths(paths: DataFrame, minimum: float = 70.0) -> DataFrame:
 
 
 def unknown_variables(templates: DataFrame) -> DataFrame:
-    """(template_id, path, suggestion) for names the schema cannot supply."""
+    """(template_id, path, suggestion) for names the schema cannot supply.
+
+    Suggestions are broadcast while there are few names (counted); more meet their
+    templates by name.
+    """
     unknown = classify_variables(templates).filter("kind = 'unknown'").select("template_id", "path").distinct()
-    return unknown.join(suggest_paths(unknown), "path", "left")
+    names = materialise(unknown.select("path").distinct(), "unknown-paths")
+    suggested = suggest_paths(names)
+    few = names.count() <= MOST_BROADCAST
+    return unknown.join(F.broadcast(suggested) if few else suggested.hint("merge"), "path", "left")
 
 
 def missing_fields(required: DataFrame, fields: DataFrame, pairs: DataFrame) -> DataFrame:

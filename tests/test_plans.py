@@ -55,3 +55,23 @@ def test_state_machines_need_one_exchange(spark):
     for fold in (routing.key_health, routing.circuit_breaker):
         text = plan(fold(calls))
         assert "Exchange" not in text and "Window" not in text and "Sort" not in text
+
+
+def test_template_variables_are_not_joined_with_their_templates(spark):
+    """Both sides would grow with the templates, and compress so well that Spark would send one to every executor."""
+    from docweir.operators import templates as tpl
+    t = spark.range(20).selectExpr("id AS template_id", "'{{ s.name }} {{ person.x }}{%tr for s in education.subjects %}' AS text")
+    assert "Join" not in plan(tpl.classify_variables(t))
+    text = plan(tpl.template_spec(t))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    kinds = {(r.path, r.kind) for r in tpl.classify_variables(t).collect()}
+    assert kinds == {("s.name", "loop"), ("person.x", "unknown")}
+
+
+def test_many_unknown_names_are_not_broadcast(spark, monkeypatch):
+    from docweir.operators import templates as tpl
+    t = spark.range(30).selectExpr("id AS template_id", "'{{ person.middle_name }} {{ thing.n' || id || ' }}' AS text")
+    few = {tuple(r) for r in tpl.unknown_variables(t).collect()}
+    monkeypatch.setattr(tpl, "MOST_BROADCAST", 3)
+    many = tpl.unknown_variables(t)
+    assert "SortMergeJoin" in plan(many) and {tuple(r) for r in many.collect()} == few and len(few) == 60
