@@ -59,19 +59,18 @@ def archives(spark, d):
         import io
         import zipfile
 
-        out = []
-        for k, text in zip(ids, html):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("word/document.xml", text)
-                if k % 3 == 0:
-                    z.writestr("word/vbaProject.bin", "x")
-                if k % 5 == 0:
-                    z.writestr("../evil.txt", "x")
-                if k % 7 == 0:
-                    z.writestr("zeros.bin", "0" * 9_000_000)
-            out.append(buffer.getvalue())
-        return pd.Series(out)
+        def zipped(base: bytes, members: dict[str, str]) -> bytes:
+            buffer = io.BytesIO(base)
+            with zipfile.ZipFile(buffer, "a", zipfile.ZIP_DEFLATED) as z:
+                for name, text in members.items():
+                    z.writestr(name, text)
+            return buffer.getvalue()
+
+        # The large member is the same in every archive, so it is packed once for a batch.
+        zeros = zipped(b"", {"zeros.bin": "0" * 9_000_000}) if (ids % 7 == 0).any() else b""
+        return pd.Series([zipped(zeros if k % 7 == 0 else b"", {
+            "word/document.xml": text, **({"word/vbaProject.bin": "x"} if k % 3 == 0 else {}), **({"../evil.txt": "x"} if k % 5 == 0 else {})})
+            for k, text in zip(ids, html)], dtype=object)
 
     return i.table(spark, d, "pages").select("page_id", F.pandas_udf(pack, "binary")(F.col("page_id"), F.col("html")).alias("content"))
 
