@@ -81,3 +81,19 @@ def test_files_are_packed_and_listed_once_for_their_format(spark):
     """Two branches over the same files packed and listed each of them several times."""
     text = plan(entry.queries()["archive_format"](spark, SF))
     assert text.count("ArrowEvalPython [") == 2 and "Union" not in text
+
+
+def test_rare_signs_are_looked_for_in_uncommon_characters_only(spark):
+    """The class of rare signs costs a test for each of them and character, so common characters never meet it."""
+    import unicodedata
+    from pyspark.sql import functions as F
+    from docweir.functions.text import norm_for_grounding
+    texts = ["Ünïcode é" * 50, "№ 5 ½ été ß ㎏ x", "Ёлка №12 ™", "plain text", "", "ﬁne ⅷ Ⅻ " + "a" * 999, "日本 ㍿ \U0001d54f"]
+
+    def brute(t):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)).upper()
+        return "".join(x for x in bare if x.isascii() and x.isalnum() or 0x400 <= ord(x) < 0x500)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", norm_for_grounding(F.col("t")).alias("n"))
+    assert all(r.n == brute(r.t) for r in df.collect())
+    assert "RLIKE(regexp_replace(" in plan(df)
