@@ -140,3 +140,25 @@ def test_machines_continue_and_repeat(spark, tmp_path):
     got = {r.call_id: (r.failures, r.state) for r in jobs.read_batches(spark, out).collect()}
     want = {r.call_id: (r.failures, r.state) for r in routing.key_health(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and len(got) == 240
+
+
+def test_many_documents_share_few_calls(spark, tmp_path, monkeypatch):
+    """The state has at most one row for each group, with documents of one group finished, open and timed out apart."""
+    monkeypatch.setattr(assembly, "GROUPS", 2)
+    src, out, cp = (f"{tmp_path}/{x}" for x in ("src", "out", "cp"))
+    os.makedirs(src)
+
+    def feed(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        query = jobs.write_batches(assembly.whole_documents(spark.readStream.schema(SCHEMA).parquet(src)), out, cp)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert feed([line(d, 1, d) for d in range(40)]) == 2
+    assert feed([line(d, 2, 40, of=2) for d in range(0, 40, 2)]) == 2
+    assert feed([line(99, 1, 90, of=1)]) == 2, "documents fall due one after another"
+    assert feed([line(99, 1, 500, of=1)]) == 0
+    got = {}
+    for r in jobs.read_batches(spark, out).where("doc_id < 40").collect():
+        got.setdefault(r.doc_id, []).append((r.line_no, r.text, r.whole))
+    assert {d: sorted(x) for d, x in got.items()} == {d: [(1, f"{d}/1", d % 2 == 0)] + [(2, f"{d}/2", True)] * (d % 2 == 0) for d in range(40)}
