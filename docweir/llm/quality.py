@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweir.llm.words import distinct, raw_bytes, slices, words_of
+from docweir.operators import scan
 from docweir.session import materialise
 
-#: Most texts (expected) of each label from which a model learns, pairs of them, and models that are averaged.
-SAMPLE = 8000
+#: Texts (expected) of each label in one model's share of the training rows, and least pairs of them.
+SHARE = 8000
 PAIRS = 40_000
-MODELS = 4
 #: Score at the threshold strength.
 THRESHOLD = 0.7
 
@@ -102,11 +102,27 @@ def train(good: np.ndarray, bad: np.ndarray, seed: int = 0, pairs: int = PAIRS,
     Minimises the mean of ``log(1 + exp(-w . (x_good - x_bad)))`` plus
     ``decay / 2 * |w|^2`` by Newton's method; differences have no bias.
     """
-    width = good.shape[1]
     if not len(good) or not len(bad):
-        return np.zeros(width)
+        return np.zeros(good.shape[1])
     rng = np.random.default_rng(seed)
-    x = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
+    return _newton(good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)], decay, rounds)
+
+
+def train_on_all(good: np.ndarray, bad: np.ndarray, seed: int = 0, pairs: int = PAIRS, decay: float = 1e-3,
+                 rounds: int = 25) -> np.ndarray:
+    """``train`` on seeded pairs among which every text of both tables is, whatever their number."""
+    if not len(good) or not len(bad):
+        return np.zeros(good.shape[1])
+    rng, pairs = np.random.default_rng(seed), max(pairs, len(good), len(bad))
+
+    def shuffled(n: int) -> np.ndarray:
+        return np.concatenate([rng.permutation(n) for _ in range(-(-pairs // n))])[:pairs]
+    return _newton(good[shuffled(len(good))] - bad[shuffled(len(bad))], decay, rounds)
+
+
+def _newton(x: np.ndarray, decay: float, rounds: int) -> np.ndarray:
+    """Weights that make the differences ``x`` of preferred and other texts likeliest."""
+    pairs, width = x.shape
     w = np.zeros(width)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(np.clip(x @ w, -30, 30)))
@@ -132,17 +148,18 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_id", text: str = "text",
-        label: str = "quality", sample: int = SAMPLE, models: int = MODELS, seed: int = 0) -> Model:
-    """Learn from the rows of ``docs`` for which ``learns`` holds.
+        label: str = "quality", share: int = SHARE, seed: int = 0) -> Model:
+    """Learn from all labelled rows of ``docs`` for which ``learns`` holds.
 
     ``learns`` is asked before any label is read.  An id with several labels is good
-    only if all of them say so.  ``models`` models learn in tasks of their own, each
-    from ``sample`` texts of each label at most (expected numbers); their weights
-    are averaged.  The threshold is the quantile of strengths that leaves the share
-    of good ones above, over the same sample, weighted back to all labelled training
-    rows.  Without texts of both labels no preference is
-    known: all strengths are equal and every score is ``THRESHOLD``.  Rows without
-    an id are not learnt from.
+    only if all of them say so.  The rows are dealt by a hash of their id to as many
+    models as give each about ``share`` texts of the commoner label; of the rarer
+    one each text goes to as many models as it takes to balance them.  The models learn in
+    tasks of their own, from pairs among which all their texts are, and their weights
+    are averaged.  The threshold is the exact quantile of the strengths of all
+    labelled training rows that leaves the share of good ones above.  Without texts
+    of both labels no preference is known: all strengths are equal and every score
+    is ``THRESHOLD``.  Rows without an id are not learnt from.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_good")).where(
         "_id IS NOT NULL AND _good IS NOT NULL").groupBy("_id").agg(F.min("_good").alias("_good"))
@@ -152,42 +169,43 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column, id_col: str = "doc_i
         for part in slices(batches, "_text"):
             table = features(part.column("_text")).astype(np.float32)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), WIDTH).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_good"), flat], names=["_id", "_good", "_x"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), flat], names=["_id", "_x"])
 
+    # Texts stay where they are; what travels to the labels is a few numbers for each, and neither side is sent to all.
     id_type = docs.schema[id_col].dataType.simpleString()
-    narrow = materialise(known.join(rows.select("_id"), "_id", "left_semi"), "quality-labels")
-    n_good, n_known = narrow.agg(F.coalesce(F.sum(F.col("_good").cast("long")), F.lit(0)), F.count("*")).first()
+    described = rows.mapInArrow(describe, f"_id {id_type}, _x array<float>")
+    marked = materialise(described.join(known.hint("merge"), "_id"), "quality-features")
+    n_good, n_known = marked.agg(F.coalesce(F.sum(F.col("_good").cast("long")), F.lit(0)), F.count("*")).first()
     if not 0 < n_good < n_known:
         return Model(np.zeros(WIDTH), 0.0, 1.0)
-    room = sample * models
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30))
-    shares = [min(1.0, room / (n_known - n_good)), min(1.0, room / n_good)]
-    share = F.when(F.col("_good") == 1, shares[1]).otherwise(shares[0])
-    # The ids of the sample are few (its size is bounded), the texts stay where they are.
-    chosen = narrow.where(place < (share * (1 << 30)).cast("long"))
-    drawn = materialise(rows.join(F.broadcast(chosen), "_id").mapInArrow(describe, f"_id {id_type}, _good int, _x array<float>")
-                        .withColumn("_model", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.lit(models)).cast("int")),
-                        "quality-features")
+    models = -(-max(n_good, n_known - n_good) // share)
+    times = [min(models, max(1, models * share // n)) for n in (n_known - n_good, n_good)]
+    times = [1 if 2 * n > n_known else t for n, t in zip((n_known - n_good, n_good), times)]
+    first = F.xxhash64(F.lit(seed + 1), F.col("_id"))
+    copies = F.sequence(F.lit(0), F.when(F.col("_good") == 1, times[1] - 1).otherwise(times[0] - 1))
+    dealt = marked.select("*", F.explode(F.transform(copies, lambda k: F.pmod(F.pmod(first, F.lit(models)) + k, F.lit(models)).cast("int"))).alias("_model"))
 
     def learn(table: pa.Table) -> pa.Table:
         number = table.column("_model")[0].as_py()
         order = np.argsort(table.column("_id").to_numpy(), kind="stable")
         x = table.column("_x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH).astype(float)[order]
         good = table.column("_good").to_numpy()[order] == 1
-        w = train(x[good], x[~good], seed + number)
-        return pa.table({"model": pa.array([number] * WIDTH, pa.int32()), "at": np.arange(WIDTH), "w": w})
+        w = train_on_all(x[good], x[~good], seed + number)
+        return pa.table({"at": np.arange(WIDTH), "w": w, "n": np.full(WIDTH, float(min(good.sum(), (~good).sum())))})
 
-    learnt = drawn.groupBy("_model").applyInArrow(learn, "model int, at long, w double").toPandas()
+    learnt = dealt.groupBy("_model").applyInArrow(learn, "at long, w double, n double").where("n > 0")
+    # Decimals add up to the same sum in any order.
+    mean = learnt.groupBy("at").agg(F.sum((F.col("w") * F.col("n")).cast("decimal(38,12)")).cast("double").alias("w"), F.sum("n").alias("n")).toPandas()
     weights = np.zeros(WIDTH)
-    for _, one in learnt.groupby("model"):
-        weights[one["at"].to_numpy()] += one["w"].to_numpy() / learnt["model"].nunique()
+    weights[mean["at"].to_numpy()] = mean["w"].to_numpy() / mean["n"].to_numpy()
 
     strength = F.aggregate(F.zip_with("_x", F.array(*map(F.lit, weights.tolist())), lambda x, w: x.cast("double") * w),
                            F.lit(0.0), lambda a, b: a + b)
-    seen = drawn.select("_good", strength.alias("s")).toPandas().sort_values("s")
-    # Each text of the sample stands for as many as its label's share of the sample says.
-    mass = np.cumsum(1 / np.array(shares)[seen["_good"].to_numpy()])
-    at = seen["s"].to_numpy()[np.minimum(np.searchsorted(mass / mass[-1], [1 - n_good / n_known, 0.05, 0.95]), len(mass) - 1)]
+    # Ranks from 0, so that no strength is interpolated between two texts.
+    ranks = [(min(n_known, max(1, int(np.ceil(q * n_known - 1e-9)))) - 1) / max(1, n_known - 1) for q in (1 - n_good / n_known, 0.05, 0.95)]
+    found = scan.exact_quantiles(marked.select(F.lit(0).alias("_all"), strength.alias("_s")), ["_all"], "_s", sorted(set(ranks))).collect()
+    value = {r["q"]: r["value"] for r in found}
+    at = [value[q] for q in ranks]
     return Model(weights, float(at[0]), max(1e-6, float(at[2] - at[1]) / 6))
 
 

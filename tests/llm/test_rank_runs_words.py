@@ -86,6 +86,28 @@ def test_held_out_labels_never_change_the_model(spark):
     assert (a.weights == b.weights).all() and (a.at, a.spread) == (b.at, b.spread)
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Any one training row moves the model, in shares far smaller than the table, and the threshold is the whole table's."""
+    rows, labels = marked(spark, n=200)
+    docs = table(spark, rows)
+    model = quality.fit(docs, labels, quality.learnt_rows(), share=10)
+    texts = dict(rows)
+    usable = labels.where(quality.learnt_rows()).where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    known = {r.doc_id: r.q for r in usable.collect() if r.doc_id in texts}
+    strengths = np.sort(quality.features(pa.array([texts[i] for i in known])).astype(np.float32).astype(float) @ model.weights)
+    at = strengths[int(np.ceil((1 - sum(known.values()) / len(known)) * len(known) - 1e-9)) - 1]
+    assert abs(at - model.at) < 1e-6
+    for i in sorted(known)[::40]:
+        fewer = quality.fit(docs, labels.where(F.col("doc_id") != i), quality.learnt_rows(), share=10)
+        assert not np.allclose(fewer.weights, model.weights, atol=1e-9)
+
+
+def test_pairs_hold_every_text():
+    x = np.eye(50)
+    w = quality.train_on_all(x[:45], x[45:], pairs=10)
+    assert (w[:45] > 0).all() and (w[45:] < 0).all()
+
+
 def test_pairwise_training_is_logistic_regression_on_differences():
     rng = np.random.default_rng(3)
     good, bad = rng.normal(0.4, 1, (300, 3)), rng.normal(0, 1, (200, 3))
