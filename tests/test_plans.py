@@ -97,3 +97,18 @@ def test_rare_signs_are_looked_for_in_uncommon_characters_only(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", norm_for_grounding(F.col("t")).alias("n"))
     assert all(r.n == brute(r.t) for r in df.collect())
     assert "RLIKE(regexp_replace(" in plan(df)
+
+
+def test_contamination_compares_written_candidates(spark):
+    """Texts were brought into comparison form again in every filter above their second reading."""
+    found = entry.queries()["contamination"](spark, SF)
+    assert not any("/documents.parquet" in f for f in found.inputFiles())
+
+
+def test_usual_signs_are_dropped_by_a_table(spark):
+    """A class that matches at every blank cost more than the rest of the comparison form."""
+    from pyspark.sql import functions as F
+    from docweir.functions.text import norm_for_grounding
+    df = spark.createDataFrame([("«Ça va?» – “oui”… a_b\u0301 c\x00d",), ("a-b c!",)], "t string").select("t", norm_for_grounding(F.col("t")).alias("n"))
+    assert [r.n for r in df.collect()] == ["CAVAOUIABCD", "ABC"]
+    assert "[^A-Z0-9]+" not in plan(df) and "«" in plan(df)
