@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docweir.functions import patterns as p
 from docweir.functions.text import normalize_apostrophes, rule_norm, strip
+from docweir.session import materialise
 
 # The printed labels that introduce each field.
 LABELS: dict[str, list[str]] = {
@@ -102,15 +103,27 @@ def coerce(path: Column, raw: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def label_hits(lines: DataFrame, whole_word: bool = False) -> DataFrame:
-    """(doc_id, line_no, path, tail): text after the label, empty when there is none."""
+def _with_hits(lines: DataFrame, whole_word: bool) -> DataFrame:
+    """(doc_id, line_no, text, hits): the labels of each line, array<struct(path, end)>."""
     low = lines.select("doc_id", "line_no", "text", rule_norm(F.col("text")).alias("_low"))
-    hits = F.array_compact(F.array(*[_hit(path, F.col("_low"), whole_word) for path in LABELS]))
+    # One column for each path keeps the tests in generated code; an array function around them would not.
+    each = [f"_h{k}" for k in range(len(LABELS))]
+    tested = low.select("doc_id", "line_no", "text", *[
+        _hit(path, F.col("_low"), whole_word).alias(name) for name, path in zip(each, LABELS)])
+    return tested.select("doc_id", "line_no", "text", F.array_compact(F.array(*each)).alias("hits"))
+
+
+def _tails(hits: DataFrame) -> DataFrame:
     tail = F.ltrim(F.expr("substring(text, end + 1)"), F.lit(LABEL_EDGE))
-    return low.select("doc_id", "line_no", "text", F.inline(hits)).select(
+    return hits.select("doc_id", "line_no", "text", F.inline("hits")).select(
         "doc_id", "line_no", "path", strip(tail).alias("tail"))
 
 
+def label_hits(lines: DataFrame, whole_word: bool = False) -> DataFrame:
+    """(doc_id, line_no, path, tail): text after the label, empty when there is none."""
+    return _tails(_with_hits(lines, whole_word))
+
+
 def _next_line(rows: DataFrame, lines: DataFrame, column: str) -> DataFrame:
     below = lines.select("doc_id", (F.col("line_no") - 1).alias("line_no"),
                          F.col("text").alias(column))
@@ -123,16 +136,31 @@ def map_by_rules(lines: DataFrame, whole_word: bool = False) -> DataFrame:
     ``lines`` has doc_id, dense line_no and text.  A personal number or document
     number without any label is taken from the first line that holds one.
     """
-    hits = label_hits(lines, whole_word)
+    # Four branches look at the lines, so what they need of each is worked out once and written.
+    shown = _with_hits(lines, whole_word).withColumns(_shapes())
+    shown = materialise(shown, "label-lines")
+    hits = _tails(shown)
     inline = hits.filter(F.col("tail") != "").withColumnRenamed("tail", "raw")
-    below = _next_line(hits.filter(F.col("tail") == "").drop("tail"), lines, "raw")
+    below = _next_line(hits.filter(F.col("tail") == "").drop("tail"), shown, "raw")
     found = inline.unionByName(below).select(
         "doc_id", "line_no", "path", coerce(F.col("path"), F.col("raw")).alias("value")) \
-        .filter(F.col("value").isNotNull()).withColumn("fallback", F.lit(0))
-    every = found.unionByName(unlabelled(lines).withColumn("fallback", F.lit(1)))
-    best = every.groupBy("doc_id", "path").agg(
-        F.min_by("value", F.struct("fallback", "line_no")).alias("value"))
-    return best
+        .withColumn("fallback", F.lit(0))
+    every = found.unionByName(_by_shape(shown).withColumn("fallback", F.lit(1)))
+    # Without a value there is no rank; a filter here would work out every value twice.
+    rank = F.when(F.col("value").isNotNull(), F.struct("fallback", "line_no"))
+    best = every.groupBy("doc_id", "path").agg(F.min_by("value", rank).alias("value"))
+    return best.filter(F.col("value").isNotNull())
+
+
+def _shapes() -> dict[str, Column]:
+    """Per line: the personal number and the document number by shape (else empty), and whether a number may go on below."""
+    upper = F.upper("text")
+    number = F.regexp_extract(upper, p.RULE_DOC_NUMBER, 1)
+    # Either number needs six digits, either end two capitals: most lines fail the plain test.
+    digits = F.col("text").rlike(r"(?U)\d")
+    return {"_pinfl": F.when(digits, F.regexp_extract(F.translate("text", " ", ""), p.RULE_PINFL, 1)),
+            "_number": F.when(digits, F.regexp_replace(number, " ", "")),
+            "_open": upper.rlike(r"(?U)\b[A-Z]{2}$")}
 
 
 def unlabelled(lines: DataFrame) -> DataFrame:
@@ -141,18 +169,16 @@ def unlabelled(lines: DataFrame) -> DataFrame:
     A document number may break across two lines after its letters, so a line
     that ends in two capitals is also read together with the one below it.
     """
-    upper = F.upper("text")
-    pinfl = F.regexp_extract(F.translate("text", " ", ""), p.RULE_PINFL, 1)
-    number = F.regexp_extract(upper, p.RULE_DOC_NUMBER, 1)
-    same = lines.select("doc_id", "line_no", F.inline(F.array(
-        F.struct(F.lit("person.pinfl").alias("path"), pinfl.alias("value")),
-        F.struct(F.lit("documents.0.doc_number").alias("path"),
-                 F.regexp_replace(number, " ", "").alias("value")))))
+    return _by_shape(lines.select("doc_id", "line_no", "text").withColumns(_shapes()))
+
+
+def _by_shape(shown: DataFrame) -> DataFrame:
+    same = shown.select("doc_id", "line_no", F.inline(F.array(
+        F.struct(F.lit("person.pinfl").alias("path"), F.col("_pinfl").alias("value")),
+        F.struct(F.lit("documents.0.doc_number").alias("path"), F.col("_number").alias("value")))))
     same = same.filter(F.col("value") != "")
-    open_end = lines.filter(upper.rlike(r"(?U)\b[A-Z]{2}$")
-                            & (F.regexp_extract(upper, p.RULE_DOC_NUMBER, 1) == "")) \
-        .select("doc_id", "line_no", "text")
-    broken = _next_line(open_end, lines.withColumn("text", F.col("text")), "below").select(
+    open_end = shown.filter(F.col("_open") & (F.coalesce("_number", F.lit("")) == "")).select("doc_id", "line_no", "text")
+    broken = _next_line(open_end, shown, "below").select(
         "doc_id", "line_no", F.lit("documents.0.doc_number").alias("path"),
         F.regexp_replace(F.regexp_extract(F.upper(F.concat_ws("\n", "text", "below")),
                                           p.RULE_DOC_NUMBER, 1), " ", "").alias("value"))

@@ -112,3 +112,9 @@ def test_usual_signs_are_dropped_by_a_table(spark):
     df = spark.createDataFrame([("«Ça va?» – “oui”… a_b\u0301 c\x00d",), ("a-b c!",)], "t string").select("t", norm_for_grounding(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == ["CAVAOUIABCD", "ABC"]
     assert "[^A-Z0-9]+" not in plan(df) and "«" in plan(df)
+
+
+def test_label_rules_look_at_each_line_once(spark):
+    """Two branches over the labels and three over the lines derived and tested every line again."""
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "cast(doc_id as int) as line_no", "text")
+    assert not any("/documents.parquet" in f for f in rules.map_by_rules(lines).inputFiles())
