@@ -118,3 +118,12 @@ def test_label_rules_look_at_each_line_once(spark):
     """Two branches over the labels and three over the lines derived and tested every line again."""
     lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "cast(doc_id as int) as line_no", "text")
     assert not any("/documents.parquet" in f for f in rules.map_by_rules(lines).inputFiles())
+
+
+def test_whole_words_are_searched_plainly_first(spark):
+    """A pattern for each label and line cost more than all else; the plain search refuses almost every line."""
+    lines = spark.createDataFrame([("d", 1, "passport no AA1234567"), ("d", 2, "nothing")], "doc_id string, line_no int, text string")
+    hits = rules.label_hits(lines, whole_word=True)
+    text = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Contains(") >= 25 or "AND RLIKE(" in text
+    assert {(r.path, r.tail) for r in hits.collect()} == {("documents.0.doc_number", "AA1234567")}
