@@ -366,8 +366,10 @@ def parse_mrz(df: DataFrame, today: Column, lines: str = "lines",
 def is_zone_line(text: Column) -> Column:
     """Lines that look like a zone: at least 28 characters, two fillers, no punctuation."""
     s = as_zone_text(text)
+    # Upper case lengthens only what is not ASCII: a short plain line needs no pattern.
+    may = (F.length(text) >= 28) | (F.octet_length(text) > F.length(text))
     fillers = F.length(s) - F.length(F.replace(s, F.lit("<"), F.lit("")))
-    return (F.length(s) >= 28) & (fillers >= 2) & s.rlike(r"^[\p{L}\p{N}<]+$")
+    return may & (F.length(s) >= 28) & (fillers >= 2) & s.rlike(r"^[\p{L}\p{N}<]+$")
 
 
 def as_zone_text(text: Column) -> Column:

@@ -99,7 +99,14 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
     """
     if turned_away is not None:
         lines = lines.join(turned_away.select("doc_id"), "doc_id", "left_anti")
-    documents = lines.select("doc_id").distinct()
+    # Every stage reads the lines, and several the texts of documents.
+    lines = lines.select("doc_id", "line_no", "text")
+    if config.materialise:
+        lines = materialise(lines, "lines")
+    texts = merge.ocr_text(lines)
+    if config.materialise:
+        texts = materialise(texts, "texts")
+    documents = texts.select("doc_id")
     if doc_types is not None:
         documents = documents.join(doc_types.select("doc_id", "doc_type"), "doc_id", "left")
     kind = F.coalesce("doc_type", F.lit("")) if doc_types is not None else None
@@ -125,7 +132,6 @@ def cascade(lines: DataFrame, replies: DataFrame | None, today: Column,
     requests = open_requests(first, documents, config.threshold)
     batched = requests.select("doc_id", F.posexplode(merge.unresolved_requests(F.col("fields"))).alias("request", "fields"))
     merged, paid = first, []
-    texts = merge.ocr_text(lines)
     if config.use_replies and replies is None and answer_text is not None:
         paid.append(answer_text(batched, texts))
         replies = paid[-1].replies

@@ -127,3 +127,12 @@ def test_whole_words_are_searched_plainly_first(spark):
     text = hits._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Contains(") >= 25 or "AND RLIKE(" in text
     assert {(r.path, r.tail) for r in hits.collect()} == {("documents.0.doc_number", "AA1234567")}
+
+
+def test_cascade_reads_its_lines_once(spark):
+    """Zones, rules, texts and the list of documents each derived the lines again."""
+    from docweir.plans import cascade
+    lines = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "1 AS line_no", "substr(text, 1, 200) AS text")
+    out = cascade.cascade(lines, None, inputs.today())
+    for part in (out.fields, out.documents, out.warnings, out.requests):
+        assert not any("/documents.parquet" in f for f in part.inputFiles())
