@@ -42,7 +42,14 @@ def redaction_hits(c: Column) -> Column:
 
 def redaction_report(df: DataFrame, text: str, *by: str) -> DataFrame:
     """Hits per pattern and group; counting happens before the shuffle."""
-    hits = df.select(*by, F.inline(redaction_hits(F.col(text))))
+    # One projection a pattern: a text used twice is not worked out again from the first.
+    left, counts = df.select(*by, F.col(text).alias("_left")), []
+    for n, (pattern, label) in enumerate(REDACTIONS):
+        left = left.select(*by, *counts, F.size(F.regexp_extract_all("_left", F.lit(pattern), F.lit(0))).alias(f"_n{n}"),
+                           F.regexp_replace("_left", pattern, label).alias("_left"))
+        counts.append(f"_n{n}")
+    hits = left.select(*by, F.inline(F.array(*[F.struct(
+        F.lit(f"{n}{label}").alias("label"), F.col(f"_n{n}").alias("hits")) for n, (_, label) in enumerate(REDACTIONS)])))
     return hits.groupBy(*by, "label").agg(F.sum("hits").alias("hits"),
                                           F.count_if(F.col("hits") > 0).alias("rows_hit"))
 

@@ -136,3 +136,13 @@ def test_cascade_reads_its_lines_once(spark):
     out = cascade.cascade(lines, None, inputs.today())
     for part in (out.fields, out.documents, out.warnings, out.requests):
         assert not any("/documents.parquet" in f for f in part.inputFiles())
+
+
+def test_redaction_report_replaces_each_pattern_once(spark):
+    """Every count began again from the whole text, so eight patterns took 28 replacements."""
+    from docweir.functions.patterns import REDACTIONS
+    from docweir.operators import privacy
+    df = spark.createDataFrame([("a", "AB1234567 31503950012345 a@b.uz +998901234567"), ("a", ""), ("b", None)], "k string, t string")
+    report = privacy.redaction_report(df, "t", "k")
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= len(REDACTIONS)
+    assert {r.label[0]: r.hits for r in report.collect() if r.k == "a"} == dict(zip("01234567", [1, 1, 0, 0, 1, 1, 0, 0]))
