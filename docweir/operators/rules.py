@@ -116,8 +116,9 @@ def _with_hits(lines: DataFrame, whole_word: bool) -> DataFrame:
 
 def _tails(hits: DataFrame) -> DataFrame:
     tail = F.ltrim(F.expr("substring(text, end + 1)"), F.lit(LABEL_EDGE))
-    return hits.select("doc_id", "line_no", "text", F.inline("hits")).select(
-        "doc_id", "line_no", "path", strip(tail).alias("tail"))
+    # An inner inline is preceded by a filter on its array, which would test every label again, each on a line normalised anew.
+    each = hits.select("doc_id", "line_no", "text", F.inline_outer("hits")).filter(F.col("path").isNotNull())
+    return each.select("doc_id", "line_no", "path", strip(tail).alias("tail"))
 
 
 def label_hits(lines: DataFrame, whole_word: bool = False) -> DataFrame:

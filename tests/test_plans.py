@@ -129,6 +129,16 @@ def test_whole_words_are_searched_plainly_first(spark):
     assert {(r.path, r.tail) for r in hits.collect()} == {("documents.0.doc_number", "AA1234567")}
 
 
+def test_label_hits_normalise_each_line_once(spark):
+    """The filter that Spark puts before an inner inline tested every label again, each on a line normalised anew."""
+    rows = [("d", 1, "Familiyasi: ALIYEV"), ("d", 2, "JINSI:"), ("d", 3, "xyz"), ("d", 4, None), ("d", 5, "")]
+    lines = spark.createDataFrame(rows, "doc_id string, line_no int, text string")
+    for whole_word in (False, True):
+        hits = rules.label_hits(lines, whole_word=whole_word)
+        assert hits._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+        assert {tuple(r) for r in hits.collect()} == {("d", 1, "person.name.surname_latin", "ALIYEV"), ("d", 2, "person.sex", "")}
+
+
 def test_cascade_reads_its_lines_once(spark):
     """Zones, rules, texts and the list of documents each derived the lines again."""
     from docweir.plans import cascade
